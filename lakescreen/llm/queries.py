@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontam, mixing, simhash
 from .common import table
 
 
@@ -13,6 +13,20 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op2_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document."""
+    return mixing.op3_digest(table(spark, sf_dir, "documents"))
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
+    return decontam.op9_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    "op2_simhash_near_dedup": op2_simhash_near_dedup,
+    "op3_source_mixing": op3_source_mixing,
+    "op9_decontamination": op9_decontamination,
+}
+
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.OP3_SQL}
