@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, simhash
+from . import decontam, linededup, mixing, simhash
 from .common import table
 
 
@@ -23,10 +23,16 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op9_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed, runs, clean_md5 of every document."""
+    return linededup.op10_digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op9_decontamination": op9_decontamination,
+    "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.OP3_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.OP3_SQL, "op10_line_dedup": linededup.OP10_SQL}
