@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, simhash, toxicity
+from . import decontam, linededup, mixing, simhash, tokenbin, tokencount, toxicity
 from .common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, n_edits, n_tokens_edited, n_chars_encoded of every document."""
+    return tokencount.counts(table(spark, sf_dir, "documents"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.op2_digest(table(spark, sf_dir, "documents"))
@@ -18,6 +23,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op3_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """slot, shard, byte_offset, n_tokens, doc_ids, ids of every sequence, in training order within its shard."""
+    return tokenbin.training_order(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -35,8 +45,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
+    "op4_token_binary": op4_token_binary,
     "op7_toxicity": op7_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
