@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, simhash, tokenbin, tokencount, toxicity
+from . import decontam, linededup, mixing, simhash, tokenbin, tokencount, topk, toxicity
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.training_order(table(spark, sf_dir, "documents"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 5 best of every query vector."""
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     docs = table(spark, sf_dir, "documents")
@@ -49,9 +54,10 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_binary": op4_token_binary,
+    "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.OP3_SQL, "op10_line_dedup": linededup.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.OP3_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_line_dedup": linededup.OP10_SQL}
