@@ -40,37 +40,46 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def windows(of: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, t, first, last, chosen, c, d) of each window of ``least`` words; chosen: the line it selects; c, d: content."""
+    """(doc_id, t, first, last, chosen, at, c, d) of each window of ``least`` words, once.
+
+    chosen, at: the line hash that the window selects, its least, and that line; c, d: the window's content.
+    """
     doc = Window.partitionBy("doc_id", "t")
-    at = of.groupBy("doc_id", "t", "line").agg(*(F.first(c).alias(c) for c in ("words", "h", "g")))
-    run = at.withColumn("upto", F.sum("words").over(doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
+    lines_ = of.groupBy("doc_id", "t", "line").agg(*(F.first(c).alias(c) for c in ("words", "h", "g")))
+    run = lines_.withColumn("upto", F.sum("words").over(doc.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)))
     run = run.withColumn("before", F.col("upto") - F.col("words"))
     # Every line has a word, so lines are in the order of their words; a frame holds at most ``least`` lines.
     ahead, behind = doc.orderBy("before").rangeBetween(0, least - 1), doc.orderBy("upto").rangeBetween(1 - least, 0)
 
-    def way(over: Window, edge: F.Column) -> F.Column:
+    def way(over: Window, full: F.Column) -> F.Column:
         return F.struct(
             F.min("line").over(over).alias("first"),
             F.max("line").over(over).alias("last"),
-            F.min("h").over(over).alias("chosen"),
+            F.min(F.struct("h", "line")).over(over).alias("least"),
             F.xxhash64(F.collect_list("h").over(over)).alias("c"),
             F.xxhash64(F.collect_list("g").over(over)).alias("d"),
-            (edge >= least).alias("full"),
+            full.alias("full"),
         )
 
     words = F.sum("words")
-    both = run.select("doc_id", "t", way(ahead, words.over(ahead)).alias("a"), way(behind, words.over(behind)).alias("b"))
-    each = both.select("doc_id", "t", F.explode(F.array("a", "b")).alias("w")).select("doc_id", "t", "w.*")
-    return each.where("full").drop("full")
+    # A window read backwards is also one read forwards, unless it holds enough words without its last line.
+    both = run.select(
+        "doc_id",
+        "t",
+        way(ahead, words.over(ahead) >= least).alias("a"),
+        way(behind, words.over(behind) - F.col("words") >= least).alias("b"),
+    )
+    each = both.select("doc_id", "t", F.explode(F.filter(F.array("a", "b"), lambda w: w["full"])).alias("w"))
+    return each.select("doc_id", "t", "w.first", "w.last", F.col("w.least.h").alias("chosen"), F.col("w.least.line").alias("at"), "w.c", "w.d")
 
 
 def repeated_windows(of: DataFrame) -> DataFrame:
     """Windows whose content has an earlier place: (doc_id, t, first, last, from_doc, from_line)."""
-    once = of.groupBy("doc_id", "t", "first", "last").agg(*(F.first(c).alias(c) for c in ("chosen", "c", "d")))
-    places = once.groupBy("chosen").agg((F.min(F.struct("doc_id", "t", "first")) < F.max(F.struct("doc_id", "t", "first"))).alias("many"))
-    live = once.join(places.where("many").select("chosen"), "chosen", "left_semi")
+    place = F.xxhash64("doc_id", "t", "at")
+    many = of.groupBy("chosen").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("chosen")
+    live = of.join(many, "chosen", "left_semi").select("doc_id", "t", "first", "last", "c", "d")
     earliest = live.groupBy("c", "d").agg(F.min(F.struct("doc_id", "t", "first")).alias("from"), F.count("*").alias("n"))
-    matched = live.join(earliest.where("n > 1"), ["c", "d"])
+    matched = live.join(earliest.where("n > 1").drop("n"), ["c", "d"])
     later = ~F.struct("doc_id", "t", "first").eqNullSafe(F.col("from"))
     return matched.where(later).select(
         "doc_id", "t", "first", "last", F.col("from.doc_id").alias("from_doc"), F.col("from.first").alias("from_line")
@@ -79,7 +88,7 @@ def repeated_windows(of: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, t, runs): for each document in which runs repeat earlier ones, the runs (first, last) in order."""
-    found = staged(windows(staged(lines(docs), "lines"), least), "windows")
+    found = staged(windows(lines(docs), least), "windows")
     doc = Window.partitionBy("doc_id", "t")
     order = doc.orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
