@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, simhash, tokenbin, tokencount, topk, toxicity
+from . import decontam, linededup, mixing, pii, simhash, tokenbin, tokencount, topk, toxicity, urlrules
 from .common import table
 
 
@@ -28,6 +28,11 @@ def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.training_order(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans of every document."""
+    return pii.op5_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score: the 5 best of every query vector."""
     return topk.search(table(spark, sf_dir, "embeddings"))
@@ -39,6 +44,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule, verdict of every page."""
+    return urlrules.op8_digest(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document."""
     return decontam.op9_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -54,8 +64,10 @@ QUERIES = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_source_mixing": op3_source_mixing,
     "op4_token_binary": op4_token_binary,
+    "op5_pii": op5_pii,
     "op6_exact_top_k": op6_exact_top_k,
     "op7_toxicity": op7_toxicity,
+    "op8_url_rules": op8_url_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
 }
