@@ -1,0 +1,420 @@
+"""The detectors as one table of declarations, and one pass over the texts that runs those a scan needs.
+
+Each declaration has a pattern, a validity rule over the hit, and what it shows. All hits of a document come from one
+projection over its text and one explode; rules, snippets and first-of-a-value choices work on the few rows after it.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from functools import reduce
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import checks as C
+from ..functions import rx
+from ..plans import dims
+from ..plans import patterns as P
+
+Expr = Callable[["Hit"], Column]
+
+
+class Hit:
+    """An exploded hit, for rules to read."""
+
+    def __init__(self, row: Column):
+        self.row, self.m, self.pre, self.post = row, row["m"], row["pre"], row["post"]
+
+    def g(self, k: int) -> Column:
+        return F.coalesce(F.get(self.row["g"], F.lit(k - 1)), F.lit(""))
+
+    def compact(self, k: int = 1) -> Column:
+        return F.regexp_replace(self.g(k), r"(?U)[\s\-]", "")
+
+
+@dataclass(frozen=True)
+class Detector:
+    name: str
+    pattern: str
+    category: str | Expr
+    keys: tuple[str, ...]
+    flags: str = ""
+    groups: int = 0
+    languages: tuple[str, ...] | None = None
+    near: tuple[str, int] | None = None
+    valid: Expr | None = None
+    shown: Expr = field(default=lambda h: h.m)
+    raw: Expr | None = None
+    reason: Expr | None = None
+    scope: str | None = None
+    key: Expr | None = None
+    radius: int = 40
+    more: Expr | None = None  # characters after the match that belong to it
+    hits: Callable[[Column], Column] | None = None
+    pack: int = 0
+
+
+def _digits(x: Column) -> Column:
+    return F.regexp_replace(x, r"[^0-9]", "")
+
+
+def _ends(x: Column, chars: str = " \t\r\n,;:.") -> Column:
+    return rx.strip(x, chars)
+
+
+def _amount(x: Column) -> Column:
+    return F.rtrim(rx.strip(x, " \t\r\n"), F.lit(".,"))
+
+
+def bibliographic(h: Hit) -> Column:
+    window = F.concat(rx.last(h.pre, 48), h.m, F.substr(h.post, F.lit(1), F.lit(48)))
+    return window.rlike(rx.java(P.BIBLIOGRAPHIC, "i")) | rx.last(h.pre, 48).rlike(rx.java(P.PAGE_BEFORE, "i"))
+
+
+def _phone_reason(h: Hit) -> Column:
+    raw = h.m
+    tight = F.replace(raw, F.lit(" "), F.lit(""))
+    return (
+        F.when(bibliographic(h), "bibliografisk DOI/ISBN/ISSN/sidekontekst")
+        .when(tight.rlike(P.YEAR_RANGE), "årsspenn")
+        .when(tight.rlike(P.ISO_DATE), "ISO-dato")
+        .when(raw.rlike(r"^\d{4}-\d{4}$"), "4+4 saks-/referansenummer")
+        .when(C.compact_date(F.regexp_replace(raw, r"(?U)[\s\-]", "")), "kompakt dato")
+        .when(rx.last(h.pre, 40).rlike(rx.java(P.INVOICE_BEFORE, "i")), "faktura-/invoice-nummer")
+    )
+
+
+AXIS_REASON = "graf-/akseverdi eller tallsekvens"
+
+
+def steady(values: list[int], least: int) -> bool:
+    """Whether numbers rise or fall by one constant step."""
+    steps = {b - a for a, b in zip(values, values[1:], strict=False)}
+    return len(values) >= least and len(steps) == 1 and 0 not in steps
+
+
+def on_an_axis(pre: str, m: str, post: str, technical: bool) -> bool:
+    """Whether a phone-like number is part of a regular run of numbers, as on the axis of a chart."""
+    if m.startswith(("+47", "0047")) or re.search(P.PHONE_LABEL_BEFORE, pre[-30:], re.I):
+        return False
+    pre, post = pre[-90:], post[:90]
+    window, a, b = pre + m + post, len(pre), len(pre) + len(m)
+    tokens = list(re.finditer(P.AXIS_TOKEN, window))
+    inside = [k for k, t in enumerate(tokens) if t.end() > a and t.start() < b]
+    if not inside:
+        return False
+    joined = lambda k: re.fullmatch(P.AXIS_SEPARATOR, window[tokens[k].end() : tokens[k + 1].start()]) is not None
+    first, last = inside[0], inside[-1]
+    while first > 0 and joined(first - 1):
+        first -= 1
+    while last + 1 < len(tokens) and joined(last):
+        last += 1
+    run = [int(t[0]) for t in tokens[first : last + 1]]
+    if steady(run, 4 if technical else 5):
+        return True
+    return re.search(P.CHART_WORDS, window, re.I) is not None and steady([int(tokens[k][0]) for k in inside], 4)
+
+
+@F.pandas_udf("boolean")
+def _axis(due: pd.Series, pre: pd.Series, m: pd.Series, post: pd.Series, technical: pd.Series) -> pd.Series:
+    return pd.Series([bool(d) and on_an_axis(a or "", b or "", c or "", bool(t)) for d, a, b, c, t in zip(due, pre, m, post, technical, strict=True)], dtype=bool)
+
+
+def _card_type(d: Column) -> Column:
+    n, two, four = F.length(d), F.substr(d, F.lit(1), F.lit(2)), F.substr(d, F.lit(1), F.lit(4))
+    return (
+        F.when((n == 16) & d.startswith("4"), "Visa")
+        .when((n == 16) & (two.between("51", "55") | four.between("2221", "2720")), "Mastercard")
+        .when((n == 16) & ((two == "65") | (four == "6011")), "Discover")
+        .when((n == 15) & two.isin("34", "37"), "American Express")
+        .when((n == 13) & d.startswith("4"), "Visa")
+    )
+
+
+def _iban_ok(s: Column) -> Column:
+    turned = F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))
+    return F.length(s).between(14, 34) & F.substr(s, F.lit(1), F.lit(2)).isin(P.IBAN_COUNTRIES) & s.rlike("^[A-Z0-9]+$") & (C.mod97(turned) == 1)
+
+
+def _dni_ok(s: Column) -> Column:
+    number = F.substr(s, F.lit(1), F.lit(8)).try_cast("int")
+    return F.substr(F.lit(P.DNI_LETTERS), number % 23 + 1, F.lit(1)) == F.substr(s, F.lit(9), F.lit(1))
+
+
+def _insee_ok(s: Column) -> Column:
+    base = F.substr(s, F.lit(1), F.lit(13)).try_cast("long")
+    return (F.length(s) == 15) & (97 - base % 97 == F.substr(s, F.lit(14), F.lit(2)).try_cast("long"))
+
+
+def _words(words: tuple[str, ...]) -> str:
+    return r"(?<!\w)(" + "|".join(map(rx.literal, words)) + r")(?!\w)"
+
+
+def _in_heading(words: tuple[str, ...]) -> Callable[[Column], Column]:
+    def found(text: Column) -> Column:
+        heads = F.when(text.rlike(rx.java(P.HEADING, "m")), rx.offsets(text, rx.java(P.HEADING, "m")))
+        of = rx.hits(text, rx.java(_words(words), "i"))
+        inside = lambda h: F.coalesce(F.exists(heads, lambda s: (s["start"] <= h["start"]) & (h["start"] <= s["end"])), F.lit(False))
+        return F.transform(of, lambda h: h.withField("g", F.array(inside(h).cast("string")))).cast(rx.HIT)
+
+    return found
+
+
+def _sums(text: Column) -> Column:
+    rows = F.filter(rx.offsets(text, rx.java(P.TOTAL_ROW, "im")), lambda o: F.size(F.regexp_extract_all(o["m"], F.lit(rx.java(P.MONEY)), F.lit(1))) >= 2)
+    spans = F.when(text.rlike(rx.java(P.TOTAL_ROW, "im")), rows)
+    free = lambda h: ~F.coalesce(F.exists(spans, lambda s: (s["start"] <= h["start"]) & (h["start"] < s["end"])), F.lit(False))
+    return F.filter(rx.hits(text, rx.java(P.SUM_WORD, "i"), 1), free)
+
+
+def _streets(text: Column) -> Column:
+    """Hits of all address patterns in their order, less those that overlap an earlier one; by place."""
+    each = F.concat(*(rx.hits(text, rx.java(p)) for p in P.STREETS))
+    over = lambda h, s: (s["start"] <= h["start"]) & (h["start"] < s["end"]) | (s["start"] < h["end"]) & (h["end"] <= s["end"])
+    taken = F.aggregate(each, F.array().cast(rx.HIT), lambda acc, h: F.when(F.exists(acc, lambda s: over(h, s)), acc).otherwise(F.concat(acc, F.array(h))))
+    return F.array_sort(taken)
+
+
+def _tax_value(h: Hit) -> Column:
+    cut = F.split(h.g(1), P.TAX_ENDS[0], 2)[0]
+    return rx.squeeze(_ends(F.split(cut, rx.java(P.TAX_ENDS[1], "i"), 2)[0]))
+
+
+def _birth(h: Hit) -> Column:
+    return F.regexp_extract(F.substr(h.post, F.lit(1), F.lit(60)), P.DATE, 0)
+
+
+def _clean_url(h: Hit) -> Column:
+    return F.regexp_replace(h.m, r"[.,;:!?)]+$", "")
+
+
+def _doi_host(url: Column) -> Column:
+    host = F.lower(F.regexp_extract(F.regexp_replace(url, r"(?i)^https?://", ""), r"^([^/?#:]*)", 1))
+    return (host == "doi.org") | host.endswith(".doi.org")
+
+
+def _countries(spark: SparkSession | None) -> list[str]:
+    """ISO 3166-1 alpha-2, as Java knows it."""
+    session = spark or SparkSession.active()
+    return sorted(session._jvm.java.util.Locale.getISOCountries())
+
+
+NO = ("id", "klient", "konto", "telefon")
+EXTRA = ("id", "konto", "nettadresse", "telefon", "adresse", "finansielt", "medisinsk", "hemmeligheter")
+FIELD = lambda h: _ends(h.g(1))
+SOME = lambda h: FIELD(h) != ""
+HEADED = lambda h: F.when(h.g(1) == "true", "konfidensielt dokument (overskrift)").otherwise("konfidensielt dokument (brødtekst)")
+
+
+def registry(spark: SparkSession | None = None) -> tuple[Detector, ...]:
+    """All detectors, in the order in which their findings are told."""
+    D = Detector
+    en = ("en", "de", "fr", "es")
+    pair = lambda h: F.concat(h.g(1), h.g(2))
+    konto = lambda h: F.concat(*(h.g(k) for k in range(1, 8)))
+    card = lambda h: h.compact()
+    iban = lambda h: F.upper(F.replace(h.g(1), F.lit(" "), F.lit("")))
+    pick = lambda k: lambda h: _amount(h.g(k))
+    secrets = [
+        D(f"secret:{cat}", p, cat, ("hemmeligheter",), groups=1, raw=lambda h: h.g(1), pack=1,
+          shown=lambda h: F.concat(F.substr(h.g(1), F.lit(1), F.lit(4)), F.lit("****")),
+          valid=(lambda h: (C.entropy(h.g(1)) >= 3.0) & h.g(1).rlike("[0-9]") & h.g(1).rlike("[A-Za-z]")) if cat == "høy-entropisteng" else None)
+        for cat, p in P.SECRETS
+    ]
+    money = {"scope": "money", "radius": 55, "flags": "i"}
+    return (
+        D("confidential", "", HEADED, ("hemmeligheter",), radius=60, hits=_in_heading(P.CONFIDENTIAL)),
+        D("confidential_phrase", "", HEADED, ("hemmeligheter",), radius=60, hits=_in_heading(P.CONTEXTUAL)),
+        D("code_word", _words(P.CODE_WORDS), "konfigurasjonsord (mulig secret)", ("hemmeligheter",), flags="i", radius=60),
+        *secrets,
+        D("email", P.EMAIL, "e-post", ("epost",), flags="i", pack=2),
+        D("url_http", P.URL_HTTP, "nettadresse", ("nettadresse",), flags="i", radius=60, shown=_clean_url, scope="url", pack=3,
+          key=lambda h: F.lower(_clean_url(h)), valid=lambda h: (F.length(_clean_url(h)) >= 5) & ~_clean_url(h).contains("@") & ~_doi_host(_clean_url(h))),
+        D("url_www", P.URL_WWW, "nettadresse", ("nettadresse",), flags="i", radius=60, shown=_clean_url, scope="url", pack=3,
+          key=lambda h: F.lower(_clean_url(h)), valid=lambda h: (F.length(_clean_url(h)) >= 5) & ~_clean_url(h).contains("@") & ~_doi_host(_clean_url(h))),
+        D("fnr", P.FNR, lambda h: F.coalesce(C.norwegian_id(_digits(h.m)), F.lit("mulig personnummer (format)")), NO, groups=0, languages=("nb", "en", "da"),
+          valid=lambda h: C.plausible(C.d_day(_digits(h.m)), C.two(_digits(h.m), 2)), pack=4),
+        D("orgnr_no", P.ORGNR, "organisasjonsnummer", NO, languages=("nb", "en", "da"), pack=4,
+          valid=lambda h: C.mod11(_digits(h.m), [3, 2, 7, 6, 5, 4, 3, 2])),
+        D("konto", P.KONTO, "kontonummer", NO, groups=7, languages=("nb", "en", "da"), pack=4,
+          valid=lambda h: C.mod11(konto(h), [5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) & C.norwegian_id(konto(h)).isNull()),
+        D("phone_no", P.PHONE_NO, "telefonnummer", NO, languages=("nb", "en", "da"), reason=_phone_reason, pack=4),
+        D("persnr_sv", P.PERSNR_SV, lambda h: F.when(C.two(rx.last(h.g(1), 2), 0).between(61, 91), "samordningsnummer (SV)").otherwise("personnummer (SV)"), NO,
+          groups=3, languages=("sv", "en"), pack=5,
+          valid=lambda h: (lambda s, day: C.two(s, 2).between(1, 12) & F.when(day.between(61, 91), day - 60).otherwise(day).between(1, 31) & C.luhn(s))(
+              F.concat(rx.last(h.g(1), 6), h.g(3)), C.two(rx.last(h.g(1), 2), 0))),
+        D("orgnr_sv", P.ORGNR_SV, "organisasjonsnummer (SV)", NO, groups=2, languages=("sv", "en"), valid=lambda h: (C.digit(pair(h), 2) >= 2) & C.luhn(pair(h)), pack=5),
+        D("phone_sv", P.PHONE_SV, "telefonnummer (SV)", NO, languages=("sv", "en"), valid=lambda h: ~bibliographic(h), pack=5),
+        D("bankgiro", P.BANKGIRO, "bankgiro (SV)", NO, flags="i", groups=1, languages=("sv", "en"), shown=lambda h: h.g(1), pack=5),
+        D("plusgiro", P.PLUSGIRO, "plusgiro (SV)", NO, flags="i", groups=1, languages=("sv", "en"), shown=lambda h: h.g(1), pack=5),
+        D("cpr", P.CPR, "cpr-nummer", ("id",), languages=("da",), pack=6,
+          valid=lambda h: C.plausible(C.two(_digits(h.m), 0), C.two(_digits(h.m), 2)) & (C.weighted(_digits(h.m), [4, 3, 2, 7, 6, 5, 4, 3, 2, 1]) % 11 == 0)),
+        D("uk_ni", P.UK_NI, "UK National Insurance Number", ("id", "telefon"), flags="i", groups=6, languages=en, pack=7,
+          valid=lambda h: ~F.upper(pair(h)).isin(*P.UK_NI_NEVER),
+          shown=lambda h: F.upper(F.concat_ws(" ", pair(h), h.g(3), h.g(4), h.g(5), h.g(6)))),
+        D("us_ssn", P.US_SSN, "US Social Security Number", ("id", "telefon"), groups=3, languages=en, raw=lambda h: h.m, pack=7,
+          shown=lambda h: F.concat(F.substr(h.g(1), F.lit(1), F.lit(1)), F.lit("**-**-"), h.g(3)),
+          valid=lambda h: ~h.g(1).isin("000", "666") & ~h.g(1).startswith("9") & (h.g(2) != "00") & (h.g(3) != "0000")),
+        D("us_phone", P.US_PHONE, "telefonnummer", ("id", "telefon"), languages=en, valid=lambda h: ~bibliographic(h), pack=7),
+        D("steuer_id", P.STEUER, "steueridentifikationsnummer (DE)", ("id", "telefon"), languages=("de",), near=(rx.java(P.STEUER_WORDS, "i"), 120), pack=8,
+          valid=lambda h: reduce(lambda a, k: a & (C.digit(h.m, k) != C.digit(h.m, k + 1)), range(4), F.lit(True)) & C.iso7064(h.m)),
+        D("sozial", P.SOZIAL, "sozialversicherungsnummer (DE)", ("id", "telefon"), languages=("de",), near=(rx.java(P.SOZIAL_WORDS, "i"), 120), pack=8),
+        D("insee", P.INSEE, "numéro de sécurité sociale (FR)", ("id", "telefon"), groups=1, languages=("fr",), scope="insee", pack=9,
+          key=lambda h: h.compact(), valid=lambda h: _insee_ok(h.compact())),
+        D("dni", P.DNI, "DNI (ES)", ("id", "telefon"), groups=1, languages=("es",), shown=lambda h: h.compact(), valid=lambda h: _dni_ok(h.compact()), pack=10),
+        D("nie", P.NIE, "NIE (ES)", ("id", "telefon"), groups=1, languages=("es",), shown=lambda h: F.upper(h.compact()), pack=10,
+          valid=lambda h: _dni_ok(F.concat(F.translate(F.substr(F.upper(h.compact()), F.lit(1), F.lit(1)), "XYZ", "012"), F.substr(F.upper(h.compact()), F.lit(2), F.lit(8))))),
+        D("iban", P.IBAN, "IBAN", ("konto",), flags="i", groups=1, scope="iban", key=iban, raw=iban, radius=45, valid=lambda h: _iban_ok(iban(h)), pack=11,
+          shown=lambda h: F.concat(F.substr(iban(h), F.lit(1), F.lit(4)), F.lit("…"), rx.last(iban(h), 4))),
+        D("card", P.CARD, lambda h: F.concat(F.lit("kredittkort ("), _card_type(card(h)), F.lit(")")), ("konto",), groups=1, scope="card", key=card, raw=card, pack=12,
+          valid=lambda h: _card_type(card(h)).isNotNull() & C.luhn(card(h)),
+          shown=lambda h: F.concat(F.substr(card(h), F.lit(1), F.lit(4)), F.repeat(F.lit(" ****"), F.floor((F.length(card(h)) - 8) / 4).cast("int")), F.lit(" "), rx.last(card(h), 4))),
+        D("rate_slash", P.RATE_SLASH, lambda h: F.when(F.lower(h.g(3)).rlike("^(?:" + P.DAY_UNITS + ")"), "dagspris").otherwise("timepris"), ("finansielt",),
+          groups=3, shown=pick(2), key=pick(2), valid=lambda h: ~bibliographic(h), pack=13, **money),
+        D("rate_word", P.RATE_WORD, lambda h: F.when(F.lower(h.g(1)).rlike("dag|day"), "dagspris").otherwise("timepris"), ("finansielt",),
+          groups=2, shown=pick(2), key=pick(2), pack=13, **money),
+        D("total_row", P.TOTAL_ROW, "prosjektsum", ("finansielt",), pack=13, scope="money", radius=55, flags="im",
+          shown=lambda h: _amount(F.element_at(F.regexp_extract_all(h.m, F.lit(rx.java(P.MONEY)), F.lit(1)), -1)),
+          key=lambda h: _amount(F.element_at(F.regexp_extract_all(h.m, F.lit(rx.java(P.MONEY)), F.lit(1)), -1)),
+          valid=lambda h: F.size(F.regexp_extract_all(h.m, F.lit(rx.java(P.MONEY)), F.lit(1))) >= 2),
+        D("sum_word", P.SUM_WORD, "prosjektsum", ("finansielt",), groups=1, shown=pick(1), key=pick(1), hits=_sums, pack=13, **money),
+        D("unit_price", P.UNIT_PRICE, "enhetspris", ("finansielt",), groups=2, shown=pick(2), key=pick(2), pack=13, **money),
+        D("margin", P.MARGIN, lambda h: F.when(F.lower(h.g(1)).rlike("rabatt|avslag|discount"), "rabatt").otherwise("margin / påslag"), ("finansielt",),
+          groups=2, shown=lambda h: F.concat(h.g(2), F.lit("%")), key=lambda h: h.g(2), pack=13, **money),
+        D("company", P.COMPANY, "kundenavn", ("klient",), groups=2, radius=50, scope="company", shown=lambda h: F.concat_ws(" ", h.g(1), h.g(2)), pack=14,
+          key=lambda h: F.lower(F.concat_ws(" ", h.g(1), h.g(2)))),
+        D("ipv4", P.IPV4, "ip-adresse (IPv4)", EXTRA, radius=55, valid=lambda h: ~h.m.isin(*P.IPV4_NEVER), pack=15),
+        D("ipv6", P.IPV6, "ip-adresse (IPv6)", EXTRA, radius=55, valid=lambda h: F.length(h.m) - F.length(F.replace(h.m, F.lit(":"), F.lit(""))) >= 3, pack=15),
+        D("swift", P.SWIFT, "SWIFT/BIC-kode", EXTRA, radius=55, pack=15, hits=_swift,
+          valid=lambda h: F.substr(h.m, F.lit(5), F.lit(2)).isin(_countries(spark)) & ((h.g(1) == "true") | F.substr(h.m, F.lit(1), F.lit(4)).isin(*P.SWIFT_BANKS))),
+        D("passport", P.PASSPORT, "passnummer", EXTRA, radius=55, near=(rx.java(P.PASSPORT_WORDS, "i"), 100), pack=15),
+        D("tax_id", P.TAX_ID, "tax identification number", EXTRA, flags="i", groups=1, radius=55, shown=_tax_value, scope="tax", pack=15,
+          key=lambda h: F.upper(F.regexp_replace(_tax_value(h), r"(?U)\s+", "")), valid=lambda h: F.length(_digits(_tax_value(h))).between(6, 20)),
+        D("vehicle", P.VEHICLE, "kjøretøyregistrering", EXTRA, radius=55, near=(rx.java(P.VEHICLE_WORDS, "i"), 80), shown=lambda h: F.replace(h.m, F.lit(" "), F.lit("")), pack=15),
+        D("salary", P.SALARY, "lønn", EXTRA, flags="i", groups=1, radius=55, shown=lambda h: h.g(1), scope="salary", key=lambda h: h.g(1), pack=15),
+        D("hr_amount", P.HR_AMOUNT, "lønn", EXTRA, flags="i", groups=1, radius=55, shown=lambda h: rx.strip(h.g(1), " \t"), pack=15),
+        D("hr_field", P.HR_FIELD, "personalsak", EXTRA, flags="i", groups=1, radius=55, shown=FIELD, valid=SOME, pack=15),
+        D("legal_field", P.LEGAL_FIELD, "juridisk forhold", EXTRA, flags="i", groups=1, radius=55, shown=FIELD, valid=SOME, pack=15),
+        D("legal_phrase", P.LEGAL_PHRASE, "juridisk forhold", EXTRA, flags="i", groups=1, radius=55, shown=FIELD, valid=SOME, pack=15),
+        D("child_school", P.CHILD, "barn/elevopplysning", EXTRA, flags="i", groups=1, radius=55, shown=FIELD, valid=SOME, pack=15),
+        D("gps", P.GPS, "lokasjonsdata", EXTRA, flags="i", groups=2, radius=55, shown=lambda h: F.concat_ws(", ", h.g(1), h.g(2)), pack=15),
+        D("mac", P.MAC, "mac-adresse", EXTRA, flags="i", groups=1, radius=55, shown=lambda h: h.g(1), pack=15),
+        D("imei", P.IMEI, "imei", EXTRA, flags="i", groups=1, radius=55, shown=lambda h: h.g(1), pack=15),
+        D("routing", P.ROUTING, "kontonummer", EXTRA, flags="i", groups=1, radius=55, shown=lambda h: rx.squeeze(FIELD(h)), valid=lambda h: F.length(_digits(h.g(1))).between(6, 24), pack=15),
+        D("medical", P.MEDICAL, "medisinsk opplysning", EXTRA, flags="i", groups=1, radius=55, shown=FIELD, valid=SOME, pack=15),
+        D("label_line", P.LABEL_LINE, "konfidensielt dokument (overskrift)", EXTRA, flags="im", groups=1, radius=55, shown=lambda h: h.g(1), pack=15),
+        D("metadata", P.METADATA, "dokumentmetadata", EXTRA, flags="im", groups=1, radius=55, shown=FIELD, valid=lambda h: SOME(h) & ~F.lower(FIELD(h)).isin("unknown", "none", "n/a"), pack=15),
+        D("labeled_phone", P.LABELED_PHONE, "telefonnummer", EXTRA, flags="i", groups=1, radius=55, shown=lambda h: rx.strip(rx.strip(h.g(1), " \t\r\n"), " .;:,)"), pack=15,
+          valid=lambda h: F.length(_digits(h.g(1))).between(7, 15) & ~rx.strip(rx.strip(h.g(1), " \t\r\n"), " .;:,)").rlike(r"[\s().-]$")),
+        D("po_box", P.PO_BOX, "fysisk adresse", EXTRA, flags="i", radius=55, shown=lambda h: _ends(h.m, " \t\r\n,;"), pack=15),
+        D("street", "", "fysisk adresse", EXTRA, radius=55, shown=lambda h: _ends(h.m, " \t\r\n,;."), hits=_streets, pack=15),
+        D("birth_date", P.BIRTH_WORDS, "fødselsdato", EXTRA, flags="i", radius=55, shown=_birth, pack=15,
+          more=lambda h: F.locate("|", F.concat(F.regexp_replace(F.substr(h.post, F.lit(1), F.lit(60)), "^(?s)(.*?" + P.DATE + ").*$", "$1|"))) - 1,
+          valid=lambda h: (_birth(h) != "") & C.plausible(F.regexp_extract(_birth(h), P.DATE, 1).try_cast("int"), F.regexp_extract(_birth(h), P.DATE, 2).try_cast("int"))),
+    )
+
+
+def _swift(text: Column) -> Column:
+    """BIC-shaped codes, each told whether a bank word starts within 200 characters."""
+    words = rx.java(P.SWIFT_WORDS, "i")
+    places = F.when(text.rlike(words), F.transform(rx.offsets(text, words), lambda o: o["start"]))
+    close = lambda h: F.coalesce(F.exists(places, lambda k: F.abs(k - h["start"]) < 200), F.lit(False))
+    return F.transform(rx.hits(text, rx.java(P.SWIFT)), lambda h: h.withField("g", F.array(close(h).cast("string")))).cast(rx.HIT)
+
+
+def _apart(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)``, inside a lambda: so large an expression is evaluated as it stands, not compiled as one method."""
+    return F.transform(F.array(value), of)[0]
+
+
+def wanted(detectors: tuple[Detector, ...], selected: tuple[str, ...] | None) -> list[tuple[int, Detector]]:
+    """The detectors that a selection of categories needs, with their order."""
+    return [(k, d) for k, d in enumerate(detectors) if selected is None or set(d.keys) & set(selected)]
+
+
+def _rows(text: Column, lang: Column, k: int, d: Detector) -> Column:
+    found = d.hits(text) if d.hits else rx.hits(text, rx.java(d.pattern, d.flags), d.groups)
+    if d.near:
+        found = rx.near(found, text, *d.near)
+    if d.languages:
+        found = F.when(lang.isin(*d.languages), found).otherwise(F.array().cast(rx.HIT))
+    return F.transform(found, lambda h, i: F.struct(F.lit(k).alias("k"), i.cast("int").alias("match_ord"), h.alias("h")))
+
+
+FINDING = (
+    "doc_id", "det_ord", "sub_ord", "match_ord", "detector", "engine", "category", "text", "raw_text", "context", "start", "end", "severity", "confidence",
+)
+
+
+def scan(docs: DataFrame, categories: list[str] | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """Findings and suppressed candidates of ``docs`` (doc_id, text, language, technical): ``FINDING`` and reason.
+
+    reason is null for findings. Null texts have none. ``only`` names detectors to run; ``categories`` prunes them.
+    """
+    detectors = registry(docs.sparkSession)
+    run = [(k, d) for k, d in wanted(detectors, dims.selected_keys(categories)) if only is None or d.name in only]
+    if not run:
+        return docs.limit(0).select("doc_id", *(F.lit(None).cast("int" if c.endswith("ord") or c in ("start", "end") else "string").alias(c) for c in FINDING[1:]), F.lit(None).cast("string").alias("reason"))
+    names = F.array(*(F.lit(d.name) for _, d in run))
+
+    def found(doc: Column) -> Column:
+        return F.flatten(F.array(*(_rows(doc["text"], doc["language"], n, d) for n, (_, d) in enumerate(run))))
+
+    def judged(r: Column) -> Column:
+        h, k = Hit(r), r["k"]
+
+        def chosen(of: Callable[[Detector], Column | None], default: Column) -> Column:
+            out = None
+            for n, (_, d) in enumerate(run):
+                value = of(d)
+                if value is not None:
+                    out = (out if out is not None else F).when(k == n, value)
+            return default if out is None else out.otherwise(default)
+
+        text_of = lambda v: F.lit(v) if isinstance(v, str) else v(h)
+        nothing = F.lit(None).cast("string")
+        more = chosen(lambda d: d.more and d.more(h), F.lit(0))
+        context = rx.snippet(
+            h.pre, F.concat(h.m, F.substr(h.post, F.lit(1), more)), F.substr(h.post, more + 1, F.lit(rx.AROUND)),
+            r["start"], r["end"] + more, r["length"], chosen(lambda d: F.lit(d.radius), F.lit(40)),
+        )
+        return F.struct(
+            F.coalesce(chosen(lambda d: d.valid and d.valid(h), F.lit(True)), F.lit(False)).alias("ok"),
+            chosen(lambda d: text_of(d.category), F.lit("")).alias("category"),
+            chosen(lambda d: d.shown(h), h.m).alias("text"),
+            chosen(lambda d: d.raw and d.raw(h), F.lit("")).alias("raw_text"),
+            chosen(lambda d: d.reason and d.reason(h), nothing).alias("reason"),
+            chosen(lambda d: d.scope and F.lit(d.scope), nothing).alias("scope"),
+            chosen(lambda d: d.key and d.key(h), nothing).alias("key"),
+            context.alias("context"),
+        )
+
+    base = docs.where("text is not null").select(
+        "doc_id", F.length("text").alias("length"), "technical", F.explode(_apart(F.struct("text", "language"), found)).alias("r")
+    )
+    rows = base.select("doc_id", "length", "technical", "r.k", "r.match_ord", "r.h.*")
+    seen = rows.withColumn("t", _apart(F.struct("k", "m", "g", "pre", "post", "start", "end", "length"), judged))
+    told = seen.where("t.ok").select("doc_id", "k", "match_ord", "start", "end", "m", "pre", "post", "technical", "t.*").drop("ok")
+    phone = next((n for n, (_, d) in enumerate(run) if d.name == "phone_no"), None)
+    if phone is not None:
+        due = (F.col("k") == phone) & F.col("reason").isNull()
+        on = _axis(due, F.col("pre"), F.col("m"), F.col("post"), F.col("technical"))
+        told = told.withColumn("reason", F.when(on, AXIS_REASON).otherwise(F.col("reason")))
+    if any(d.scope for _, d in run):
+        first = Window.partitionBy("doc_id", "scope", "category_key", "key").orderBy("k", "match_ord")
+        # Values that need not be the first of their kind are keyed by their place, so none shares a group.
+        told = told.withColumn("category_key", F.when(F.col("scope") == "money", F.col("category"))).withColumn(
+            "key", F.when(F.col("scope").isNull(), F.concat_ws(":", "k", "match_ord")).otherwise(F.col("key"))
+        )
+        told = told.withColumn("nth", F.row_number().over(first)).where("nth = 1")
+    place = lambda of: F.element_at(F.array(*(F.lit(of(k, d)) for k, d in run)), F.col("k") + 1)
+    return told.select(
+        "doc_id", place(lambda _, d: d.pack).alias("det_ord"), place(lambda k, _: k).alias("sub_ord"), "match_ord",
+        F.element_at(names, F.col("k") + 1).alias("detector"), F.lit("rule").alias("engine"),
+        "category", "text", F.when(F.col("raw_text") == "", F.col("text")).otherwise(F.col("raw_text")).alias("raw_text"), "context", "start", "end",
+        dims.severity("category").alias("severity"), F.lit(None).cast("string").alias("confidence"), "reason",
+    )
