@@ -14,6 +14,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import checks as C
 from ..functions import rx
@@ -119,7 +120,7 @@ def on_an_axis(pre: str, m: str, post: str, technical: bool) -> bool:
     return re.search(P.CHART_WORDS, window, re.I) is not None and steady([int(tokens[k][0]) for k in inside], 4)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _axis(due: pd.Series, pre: pd.Series, m: pd.Series, post: pd.Series, technical: pd.Series) -> pd.Series:
     return pd.Series([bool(d) and on_an_axis(a or "", b or "", c or "", bool(t)) for d, a, b, c, t in zip(due, pre, m, post, technical, strict=True)], dtype=bool)
 
