@@ -102,7 +102,7 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """``docs`` with repeated runs of lines removed from ``text``, and columns n_lines, n_removed (long), runs.
 
     runs: the removed lines as ``first-last`` from 0, comma-joined. Lines are compared with white space collapsed; a
-    blank line is never part of a run's count, and goes only if it lies between removed lines. The first place of a run
+    blank line is never part of a run's count, and goes if it lies inside a removed window. The first place of a run
     stays, and so do runs of fewer than ``least`` words. A null text stays null and has 0 lines. Rows with equal doc_id
     and text are one document and are edited alike. Columns of the added names are replaced.
     """

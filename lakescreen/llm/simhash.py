@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, small_batches, spread, staged, with_columns_free
+from .common import components, small_batches, spread, staged
 
 SHINGLE = 3
 MOST_BITS = 3
@@ -68,9 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         prints = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(prints)], schema=pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-        )
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(prints)], ["doc_id", "t", "fp"])
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,10 +155,10 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row, by a narrow pass over the texts."""
+    """(doc_id, t, fp) of every row, by a narrow pass over the texts; t: a hash of the text as it is."""
     small_batches(docs.sparkSession)
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long")
+    return slim.withColumn("t", F.xxhash64("text")).mapInArrow(_fingerprints, "doc_id long, t long, fp long")
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -172,9 +170,10 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, fp, fingerprint, component_id) for each row of ``docs``.
+    """One row (doc_id, t, fp, fingerprint, component_id, root) for each row of ``docs``.
 
-    fingerprint: 16 hex digits; component_id: the least doc_id reachable over links of at most 3 differing bits.
+    fingerprint: 16 hex digits; component_id: the least doc_id reachable over links of at most 3 differing bits; root:
+    the component's least fingerprint; t: a hash of the text.
     Null, empty and blank texts have fingerprint zero and link like any other. Repeated rows and tied fingerprints fall
     into one component. A null doc_id stays null and takes the component of its fingerprint, null if no other doc_id is
     in it. An empty table gives no rows; further columns are not looked at.
@@ -186,30 +185,35 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = placed.join(least, "root").select("fp", "component_id")
+    of = placed.join(least, "root").select("fp", "component_id", "root")
     return prints.join(of, "fp", "left").select(
-        "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+        "doc_id", "t", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "root"
     )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that with the least doc_id. Columns stay as they are.
 
-    Of rows that repeat that doc_id one stays, the one whose text hash is least; rows without a doc_id stay only where
-    their component has no other.
+    Of several texts with that doc_id the one of the least hash stays, and of equal rows one. Rows without a doc_id stay
+    only where their component has no other.
     """
-    found = staged(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "fp", "component_id"), "components")
-    ids = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    kept = docs.join(ids.where("n = 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not ids.where("n > 1").isEmpty():
-        many = docs.join(ids.where("n > 1").select("doc_id"), "doc_id", "left_semi")
-        one = many.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), F.xxhash64("text")).alias("row"))
-        kept = kept.unionByName(one.select("row.*"))
-    if not found.where("component_id is null").isEmpty():
-        unnamed = docs.where("doc_id is null").groupBy(F.xxhash64("text")).agg(F.first(F.struct(*docs.columns)).alias("row"))
-        kept = kept.unionByName(unnamed.select("row.*"))
+    found = staged(near_duplicates(docs.select("doc_id", "text")).select("doc_id", "t", "component_id", "root"), "components")
+    leaders = found.where("doc_id <=> component_id").groupBy("root", "doc_id", "t").agg(F.count("*").alias("n"))
+    chosen = leaders.groupBy("root").agg(F.min(F.struct("t", "doc_id", "n")).alias("c")).select(
+        F.col("c.doc_id").alias("_doc_id"), F.col("c.t").alias("_t"), F.col("c.n").alias("_n")
+    )
+    chosen = staged(chosen, "chosen")
+
+    def rows(of: DataFrame) -> DataFrame:
+        keyed = docs.withColumn("_h", F.xxhash64("text"))
+        return keyed.join(of, keyed.doc_id.eqNullSafe(of._doc_id) & (keyed._h == of._t), "left_semi")
+
+    kept = rows(chosen.where("_n = 1")).select(*docs.columns)
+    if not chosen.where("_n > 1").isEmpty():
+        equal = rows(chosen.where("_n > 1")).groupBy("doc_id", "_h")
+        kept = kept.unionByName(equal.agg(F.first(F.struct(*docs.columns)).alias("row")).select("row.*"))
     return kept
 
 
 def op2_digest(docs: DataFrame) -> DataFrame:
-    return with_columns_free(near_duplicates(docs), "fp")
+    return near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
