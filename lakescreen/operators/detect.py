@@ -327,6 +327,94 @@ def _swift(text: Column) -> Column:
     return F.transform(rx.hits(text, rx.java(P.SWIFT)), lambda h: h.withField("g", F.array(close(h).cast("string")))).cast(rx.HIT)
 
 
+#: What a text must hold before a detector's pattern is tried: one of some literals in its lower-cased form, and a plain
+#: look. Both are cheap, and most texts fail them. Digits are ASCII ones; all checks ask for those.
+NEEDS: dict[str, tuple[tuple[str, ...], str]] = {
+    "confidential": (P.CONFIDENTIAL, ""),
+    "confidential_phrase": (("taushet", "tystnadsplikt", "sekretess", "classified", "restricted"), ""),
+    "code_word": (P.CODE_WORDS, ""),
+    "secret:openai api key": (("sk-",), ""),
+    "secret:anthropic api key": (("sk-ant-",), ""),
+    "secret:aws access key": ((), "AKIA|ASIA"),
+    "secret:github token": (("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), ""),
+    "secret:azure storage key": (("accountkey=",), ""),
+    "secret:jwt token": (("eyj",), ""),
+    "secret:bearer token": (("bearer",), ""),
+    "secret:private key": (("private key-----",), ""),
+    "secret:passord i konfig": (("password", "passwd", "pwd", "passord", "lösenord"), ""),
+    "secret:høy-entropisteng": ((), "[A-Za-z0-9+/_-]{32}"),
+    "email": (("@",), ""),
+    "url_http": (("://",), ""),
+    "url_www": (("www.",), ""),
+    "fnr": ((), "[0-9]{6}"),
+    "orgnr_no": ((), "[0-9]{3}"),
+    "konto": ((), "[0-9]{4}"),
+    "phone_no": ((), "[0-9]{2}"),
+    "persnr_sv": ((), "[0-9]{6}"),
+    "orgnr_sv": ((), "[0-9]{6}"),
+    "phone_sv": ((), "0[0-9]"),
+    "bankgiro": (("bankgiro", "bg", "b.g"), "[0-9]{3}"),
+    "plusgiro": (("plusgiro", "pg", "p.g"), "[0-9]"),
+    "cpr": ((), "[0-9]{6}"),
+    "uk_ni": ((), "[0-9]{2}"),
+    "us_ssn": ((), "[0-9]{3}-[0-9]{2}-"),
+    "us_phone": ((), "[0-9]{4}"),
+    "steuer_id": (("steuer", "tin"), "[0-9]{11}"),
+    "sozial": (("versicherung", "svnr"), "[0-9]{3}"),
+    "insee": ((), "[0-9]{2}"),
+    "dni": ((), "[0-9]{8}"),
+    "nie": ((), "[0-9]{7}"),
+    "iban": ((), "[A-Za-z]{2}[0-9]{2}"),
+    "card": ((), "[0-9]{4}"),
+    "rate_slash": (("/", "per"), "[0-9]{2}"),
+    "rate_word": (
+        ("timepris", "timkostnad", "konsulent", "timrate", "taxa", "tariff", "timarvode", "dagspris", "dagsrate", "dagkostnad", "dagstimmar", "rate", "charge", "sats"),
+        "[0-9]{2}",
+    ),
+    "total_row": (("total",), "[0-9]"),
+    "sum_word": (
+        ("budsjett", "prosjektsum", "tilbudssum", "kontrakts", "prosjektkostnad", "total", "samlet", "fakturabel", "anbudssum", "pristilbud", "offert", "projekt",
+         "contract", "project", "invoice", "quote", "budget"),
+        "[0-9]",
+    ),
+    "unit_price": (("unit", "price", "pris"), "[0-9]"),
+    "margin": (("marg", "fortjeneste", "slag", "rabatt", "discount", "markup"), "%"),
+    "company": ((), "AS|AB|LTD|LLC"),
+    "ipv4": ((), r"[0-9]\.[0-9]"),
+    "ipv6": ((), ":[0-9a-fA-F]*:"),
+    "swift": ((), "[A-Z]{6}"),
+    "passport": (("pass", "reisedokument", "travel"), "[A-Z]{2}[0-9]{7}"),
+    "tax_id": (("tax", "tin", "ssn", "social", "national", "nino", "passport", "licen", "id", "vat"), "[0-9]"),
+    "vehicle": (("reg", "bilskilt", "kj", "plate"), "[0-9]{5}"),
+    "salary": (("lønn", "lonn", "salary", "pay", "kompensasjon", "godtgj"), "[0-9]"),
+    "hr_amount": (("salary", "bonus", "compensation", "severance", "sluttpakke", "etterl", "pay"), "[0-9]"),
+    "hr_field": (("sick", "absence", "frav", "termination", "notice", "oppsigelse", "warning", "advarsel", "review", "medarbeidersamtale"), "[:#]"),
+    "legal_field": (("case", "report", "investigation", "matter", "incident", "sak", "domfelt", "siktet", "tiltalt", "gransking"), "[:#]"),
+    "legal_phrase": (("charged", "convicted", "siktet", "tiltalt", "domfelt"), ""),
+    "child_school": (
+        ("student", "pupil", "child", "guardian", "parent", "school", "class", "iep", "special", "elev", "foresatt", "klasse", "skole", "barne", "ppt", "iop", "spesial"),
+        "[:#]",
+    ),
+    "gps": (("gps", "coordinate", "koordinat", "location", "lokasjon"), "[0-9]"),
+    "mac": (("mac",), "[:-]"),
+    "imei": (("imei", "device"), "[0-9]{15}"),
+    "routing": (("routing", "sort", "aba", "ach", "account"), "[0-9][0-9 -]{5}"),
+    "medical": (("diagnos", "medic", "medisin", "prescription", "patient", "pasient", "journal", "mrn", "legemiddel", "resept"), ""),
+    "label_line": (("confidential", "internal", "restricted", "secret", "classified", "konfidensielt", "fortrolig", "internt"), ""),
+    "metadata": (("author", "creator", "producer", "company", "manager", "modified", "forfatter", "opprettet", "firma"), "[:=]"),
+    "labeled_phone": (("tel", "phone", "mob", "fax"), "[0-9]"),
+    "po_box": (("box", "postboks"), "[0-9]"),
+    "street": ((), "[0-9]"),
+    "birth_date": (("fødselsdato", "fodselsdato", "født", "fodt", "birth", "born", "dob"), "[0-9]"),
+}
+
+
+def _may_hold(name: str, text: Column, low: Column) -> Column:
+    words, look = NEEDS.get(name, ((), ""))
+    ok = reduce(lambda a, b: a | b, (low.contains(w) for w in words)) if words else F.lit(True)
+    return ok & text.rlike(look) if look else ok
+
+
 def _apart(value: Column, of: Callable[[Column], Column]) -> Column:
     """``of(value)``, inside a lambda: so large an expression is evaluated as it stands, not compiled as one method."""
     return F.transform(F.array(value), of)[0]
@@ -337,12 +425,14 @@ def wanted(detectors: tuple[Detector, ...], selected: tuple[str, ...] | None) ->
     return [(k, d) for k, d in enumerate(detectors) if selected is None or set(d.keys) & set(selected)]
 
 
-def _rows(text: Column, lang: Column, k: int, d: Detector) -> Column:
+def _rows(text: Column, low: Column, lang: Column, k: int, d: Detector) -> Column:
     found = d.hits(text) if d.hits else rx.hits(text, rx.java(d.pattern, d.flags), d.groups)
     if d.near:
         found = rx.near(found, text, *d.near)
+    due = _may_hold(d.name, text, low)
     if d.languages:
-        found = F.when(lang.isin(*d.languages), found).otherwise(F.array().cast(rx.HIT))
+        due = lang.isin(*d.languages) & due
+    found = F.when(due, found).otherwise(F.array().cast(rx.HIT))
     return F.transform(found, lambda h, i: F.struct(F.lit(k).alias("k"), i.cast("int").alias("match_ord"), h.alias("h")))
 
 
@@ -363,7 +453,7 @@ def scan(docs: DataFrame, categories: list[str] | None = None, only: tuple[str,
     names = F.array(*(F.lit(d.name) for _, d in run))
 
     def found(doc: Column) -> Column:
-        return F.flatten(F.array(*(_rows(doc["text"], doc["language"], n, d) for n, (_, d) in enumerate(run))))
+        return F.flatten(F.array(*(_rows(doc["text"], doc["low"], doc["language"], n, d) for n, (_, d) in enumerate(run))))
 
     def judged(r: Column) -> Column:
         h, k = Hit(r), r["k"]
@@ -395,7 +485,7 @@ def scan(docs: DataFrame, categories: list[str] | None = None, only: tuple[str,
         )
 
     base = docs.where("text is not null").select(
-        "doc_id", F.length("text").alias("length"), "technical", F.explode(_apart(F.struct("text", "language"), found)).alias("r")
+        "doc_id", F.length("text").alias("length"), "technical", F.explode(_apart(F.struct("text", F.lower("text").alias("low"), "language"), found)).alias("r")
     )
     rows = base.select("doc_id", "length", "technical", "r.k", "r.match_ord", "r.h.*")
     seen = rows.withColumn("t", _apart(F.struct("k", "m", "g", "pre", "post", "start", "end", "length"), judged))
