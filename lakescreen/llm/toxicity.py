@@ -233,16 +233,24 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     w = _initial(rng, len(chosen), sure[chosen])
     begins = beginnings(words, first)
     pairs = np.unique(doc_of * np.int64(len(distinct)) + ids)
-    toxic, df = _counts(np.repeat(pairs // len(distinct), len(PREFIXES)), begins[pairs % len(distinct)].reshape(-1), PREFIX_ROWS, y)
+    toxic, df = np.zeros(PREFIX_ROWS), np.zeros(PREFIX_ROWS, np.int64)
+    for k in range(len(PREFIXES)):  # one length at a time, for the driver's memory
+        more = _counts(pairs // len(distinct), begins[pairs % len(distinct), k], PREFIX_ROWS, y)
+        toxic, df = toxic + more[0], df + more[1]
+    del pairs, doc_of
     w["prefix"] = np.where(df > 0, _log_odds(toxic, df, y), -0.5).astype(np.float32)
     w["prefix"][0] = -0.5
     sure = np.maximum(sure, w["prefix"][begins].max(1))
     ends, buckets = trigrams(words, first)
     start, live, doc = _windows(words)
-    at = np.minimum(start[:, None] + np.arange(SPAN), max(0, len(ids) - 1))
-    inside = np.arange(SPAN) < live[:, None]
-    score = np.where(inside, sure[ids[at]], -9).max(1) if len(start) else np.empty(0)
-    mean, square = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+    steps = np.arange(SPAN)
+    # Words of a window; those beyond its end repeat the sample's last and count for nothing.
+    words_of = lambda rows: ids[np.minimum(start[rows][:, None] + steps, len(ids) - 1)]
+    score = np.full(len(start), -9.0, np.float32)
+    for k in range(0, len(start), AT_ONCE):
+        rows = np.arange(k, min(k + AT_ONCE, len(start)))
+        score[rows] = np.where(steps < live[rows][:, None], sure[words_of(rows)], -9).max(1)
+    mean, square = ({k: np.zeros_like(v) for k, v in w.items() if k != "prefix"} for _ in range(2))
     step = 0
     by_doc = np.searchsorted(doc, np.arange(len(y) + 1))
     for turn in range(ROUNDS):
@@ -265,8 +273,8 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
         for _ in range(PASSES):
             for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // 64)):
                 own = rows[part]
-                index = ids[at[own]].T
-                on = inside[own].T
+                index = words_of(own).T
+                on = (steps < live[own][:, None]).T
                 used, back = np.unique(index, return_inverse=True)
                 back = back.reshape(index.shape)
                 sizes = np.diff(np.r_[0, ends])[used]
