@@ -20,6 +20,7 @@ class Options:
     whitelist: DataFrame | None = None
     blacklist: list[str] = field(default_factory=list)
     patterns: list[dict] = field(default_factory=list)
+    clients: list[str] = field(default_factory=list)
     names: bool = False
     name_lists: names.Lists | None = None
     name_provider: object | None = None
@@ -52,6 +53,8 @@ def scan(docs: DataFrame, options: Options | None = None) -> tuple[DataFrame, Da
     rows = detect.scan(ready, options.categories, options.only)
     if options.patterns:
         rows = rows.unionByName(post.custom(ready, options.patterns), allowMissingColumns=True)
+    if options.clients:
+        rows = rows.unionByName(post.clients(ready, options.clients), allowMissingColumns=True)
     if options.names:
         found = names.names(ready, options.name_lists, options.name_provider)
         rows = rows.unionByName(
@@ -66,11 +69,21 @@ def scan(docs: DataFrame, options: Options | None = None) -> tuple[DataFrame, Da
         kept = post.ignore(kept, options.ignored)
     kept = post.in_categories(kept, options.categories)
     kept = post.mark_whitelisted(kept, options.whitelist) if options.whitelist is not None else kept.withColumn("whitelisted", F.lit(False))
+    if options.names and options.name_provider is None:
+        kept = kept.unionByName(_no_provider(ready).withColumn("whitelisted", F.lit(False)), allowMissingColumns=True)
     if options.blacklist:
         kept = kept.unionByName(post.blacklist(ready, options.blacklist).withColumn("whitelisted", F.lit(False)))
     return kept.drop("reason"), post.in_categories(rows.where("reason is not null"), options.categories)
 
 
+def _no_provider(docs: DataFrame) -> DataFrame:
+    """A warning for each document that capitalised words stood in for a name model; it makes a scan partial."""
+    return docs.select(
+        "doc_id", F.lit(98).alias("det_ord"), F.lit(0).alias("sub_ord"), F.lit(0).alias("match_ord"), F.lit("names").alias("detector"), F.lit("rule").alias("engine"),
+        F.lit("⚠ NER ikke tilgjengelig").alias("category"), F.lit("no name model").alias("text"), F.lit("").alias("raw_text"), F.lit("").alias("context"), F.lit("gul").alias("severity"),
+    )
+
+
 def results(docs: DataFrame, findings: DataFrame) -> DataFrame:
     """One row a document with its risk."""
     return risk.assess(docs, findings)

@@ -162,6 +162,38 @@ def with_folder_access(files: DataFrame, summary: DataFrame) -> DataFrame:
     return files.withColumn("_folder", folder_of("source_path")).join(access, "_folder", "left").drop("_folder")
 
 
+def archive_summary(results: DataFrame, archive: str = "zip") -> DataFrame:
+    """One row an archive: its members' highest level, their number, and whether all could be read."""
+    return results.groupBy(archive).agg(
+        F.max("risk_ord").alias("risk_ord"), F.count("*").alias("n_files"), F.sum("finding_count").alias("finding_count"),
+        F.when(F.bool_or(F.col("scan_status") == "failed"), "partial").otherwise("success").alias("scan_status"),
+    )
+
+
+def redaction_audit(verified: DataFrame) -> DataFrame:
+    """(doc_id, removed, not_found, remaining, passed) of ``anonymize.verify``: passed if nothing remains."""
+    counts = verified.groupBy("doc_id").pivot("status", ["removed", "not_found", "remaining"]).count().na.fill(0)
+    return counts.withColumn("passed", F.col("remaining") == 0)
+
+
+def merge_alerts(*alerts: DataFrame, n: int = 50) -> DataFrame:
+    """The last n alerts of several watched folders."""
+    merged = alerts[0]
+    for more in alerts[1:]:
+        merged = merged.unionByName(more)
+    return merged.orderBy(F.desc("timestamp")).limit(n)
+
+
+def labels(rows: DataFrame, key: str = "doc_id", json: str = "payload") -> DataFrame:
+    """(key, id, name) of labels anywhere in a JSON payload, each once: objects that have an id or a name of a label."""
+    field = lambda *names: F.lit(r'"(?:' + "|".join(names) + r')"\s*:\s*"((?:[^"\\\\]|\\\\.)*)"')
+    objects = F.regexp_extract_all(F.col(json), F.lit(r"\{[^{}]*\}"), F.lit(0))
+    each = rows.select(key, F.explode(objects).alias("o"))
+    pick = lambda *names: F.nullif(F.get(F.regexp_extract_all("o", field(*names), F.lit(1)), F.lit(0)), F.lit(""))
+    told = each.select(key, pick("sensitivityLabelId", "labelId", "id").alias("id"), pick("displayName", "labelName", "sensitivityLabelName", "name").alias("name"))
+    return told.where("name is not null").distinct()
+
+
 IDENTITY = "struct<displayName:string,email:string,id:string>"
 CONTAINER = f"struct<user:{IDENTITY},group:{IDENTITY},siteUser:{IDENTITY},siteGroup:{IDENTITY},application:{IDENTITY}>"
 PERMISSIONS = (

@@ -97,3 +97,45 @@ def payload_findings(rows: DataFrame) -> DataFrame:
     trimmed = rows.select("doc_id", "ord", F.trim("text").alias("text"), F.coalesce(F.trim("category"), F.lit("🤖 AI-funn")).alias("category"), F.coalesce(F.trim("context"), F.lit("")).alias("context"))
     first = Window.partitionBy("doc_id", F.lower("text"), F.lower("category"), F.lower("context")).orderBy("ord")
     return trimmed.where("text <> ''").withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+#: What a reported text must look like for its category: the first prefix that fits decides; others must only be short.
+PRECISE = (
+    ("epost", rx.java(r"^[\w.+\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63})+$")),
+    ("e-post", rx.java(r"^[\w.+\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63})+$")),
+    ("telefon", r"^(?=(?:[^0-9]*[0-9]){7,15}[^0-9]*$)[+0-9 ().-]+$"),
+    ("nettadresse", r"(?i)^(?:https?://|www\.)\S+$"),
+    ("bank", r"^(?=(?:[^0-9]*[0-9]){6,24}[^0-9]*$)[A-Za-z0-9 .-]+$"),
+    ("konto", r"^(?=(?:[^0-9]*[0-9]){6,24}[^0-9]*$)[A-Za-z0-9 .-]+$"),
+    ("budsjett", r"[0-9]"),
+    ("lønn", r"[0-9]"),
+)
+MOST_CHARS = 260
+
+
+def precise(findings: DataFrame) -> DataFrame:
+    """Model findings whose text looks like its category."""
+    low = F.lower(F.trim(F.replace("category", F.lit("🤖"), F.lit(""))))
+    ok = None
+    for prefix, pattern in PRECISE:
+        ok = (ok if ok is not None else F).when(low.startswith(prefix), F.trim("text").rlike(pattern))
+    return findings.where(ok.otherwise(F.length("text") <= MOST_CHARS))
+
+
+def refine(ai: DataFrame, docs: DataFrame, least: str = "low", whitelist: DataFrame | None = None, blacklist: list[str] | None = None) -> DataFrame:
+    """Model findings (doc_id, ord, category, text, context, confidence) as they are told.
+
+    In this order: only what stands in the source and looks like its category, the first of each, enough confidence,
+    whitelisted ones green, listed terms added, the first of each again, and a mark before the category.
+    """
+    from . import post
+
+    sourced = ai.join(docs.select("doc_id", F.col("text").alias("_source")), "doc_id").where(grounded(F.col("text"), F.col("_source"))).drop("_source")
+    kept = deduplicate(precise(sourced)).where(confident(F.col("confidence"), least)).withColumn("severity", F.lit("gul"))
+    kept = post.mark_whitelisted(kept, whitelist) if whitelist is not None else kept.withColumn("whitelisted", F.lit(False))
+    if blacklist:
+        listed = post.blacklist(docs, blacklist).select(
+            "doc_id", (F.col("match_ord") + 1_000_000).alias("ord"), "category", "text", "context", F.lit("high").alias("confidence"), "severity", F.lit(False).alias("whitelisted")
+        )
+        kept = deduplicate(kept.select(*listed.columns).unionByName(listed))
+    return kept.withColumn("category", F.when(F.col("category").startswith("🤖"), F.col("category")).otherwise(F.concat(F.lit("🤖 "), "category")))

@@ -114,10 +114,23 @@ def blacklist(docs: DataFrame, terms: list[str]) -> DataFrame:
     return _told(first.select("doc_id", "start", "f.*"), 99, 70)
 
 
+def clients(docs: DataFrame, names: list[str]) -> DataFrame:
+    """Findings of listed client names as whole words, whatever their case, each place told."""
+    patterns = [rx.java(r"(?<!\w)" + rx.literal(n) + r"(?!\w)", "i") for n in dict.fromkeys(names)]
+    if len(patterns) > MOST_TERMS:
+        raise ValueError(f"more than {MOST_TERMS} names")
+    kind = "array<struct<k:int,h:struct<start:int,end:int,m:string,g:array<string>,pre:string,post:string>>>"
+    of = lambda text, k, p: F.transform(rx.hits(text, p), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
+    each = lambda d: F.flatten(F.array(F.array().cast(kind), *(of(d["text"], k, p) for k, p in enumerate(patterns))))
+    rows = docs.where("text is not null").select("doc_id", F.length("text").alias("n"), F.posexplode(F.transform(F.array(F.struct("text")), each)[0]).alias("ord", "r"))
+    told = rows.select("doc_id", "n", "ord", F.lit("kundenavn").alias("category"), F.lit("gul").alias("severity"), "r.k", "r.h.*")
+    return _told(told, 14, 50)
+
+
 def _told(rows: DataFrame, det_ord: int, radius: int) -> DataFrame:
     return rows.select(
         "doc_id", F.lit(det_ord).alias("det_ord"), F.col("k").alias("sub_ord"), F.col("ord").alias("match_ord"),
-        F.lit("custom" if det_ord == 90 else "blacklist").alias("detector"), F.lit("rule").alias("engine"), "category", F.col("m").alias("text"),
+        F.lit({90: "custom", 14: "client"}.get(det_ord, "blacklist")).alias("detector"), F.lit("rule").alias("engine"), "category", F.col("m").alias("text"),
         F.col("m").alias("raw_text"), rx.snippet(F.col("pre"), F.col("m"), F.col("post"), F.col("start"), F.col("end"), F.col("n"), F.lit(radius)).alias("context"),
         "start", "end", "severity", F.lit(None).cast("string").alias("confidence"), F.lit(None).cast("string").alias("reason"),
     )

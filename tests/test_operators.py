@@ -187,3 +187,29 @@ def test_streams(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert [(r.path, r.look) for r in spark.table("stable").collect()] == [("/b", 4)]
+
+
+def test_clients_and_the_missing_model(spark):
+    docs = spark.createDataFrame([(1, "Møte hos ACME i dag, acmex ikke"), (2, None)], "doc_id long, text string")
+    found, _ = engine.scan(docs, engine.Options(language="nb", only=("email",), clients=["Acme"], names=True))
+    assert {(r.doc_id, r.category, r.text) for r in found.collect()} == {(1, "kundenavn", "ACME"), (1, "⚠ NER ikke tilgjengelig", "no name model"), (2, "⚠ NER ikke tilgjengelig", "no name model")}
+
+
+def test_model_findings_are_refined(spark):
+    docs = spark.createDataFrame([(1, "Skriv til ola@firma.no eller ring 22 33 44 55. Hemmelig sak.")], "doc_id long, text string")
+    ai = spark.createDataFrame([(1, 0, "Epost", "OLA@firma.no", "", "high"), (1, 1, "epost", "ola@firma.no", "", "high"), (1, 2, "Epost", "Skriv til", "", "high"), (1, 3, "Telefon", "22334455", "", "low"),
+                               (1, 4, "Navn", "Kari", "", "high"), (1, 5, "Telefon", "22 33 44 55", "", None)], "doc_id long, ord int, category string, text string, context string, confidence string")
+    allowed = spark.createDataFrame([("22 33 44 55",)], "value string")
+    got = {(r.category, r.text, r.severity) for r in deep.refine(ai, docs, "medium", allowed, ["hemmelig"]).collect()}
+    assert got == {("🤖 Epost", "OLA@firma.no", "gul"), ("🤖 Telefon", "22 33 44 55", "grønn"), ("🤖 Blacklist", "Hemmelig", "rød")}
+
+
+def test_summaries(spark):
+    results = spark.createDataFrame([("a", 1, 2, "success"), ("a", 3, 1, "failed"), ("b", 0, 0, "success")], "zip string, risk_ord int, finding_count long, scan_status string")
+    assert {(r.zip, r.risk_ord, r.n_files, r.scan_status) for r in batch.archive_summary(results).collect()} == {("a", 3, 2, "partial"), ("b", 0, 1, "success")}
+    checked = spark.createDataFrame([(1, "x", "removed"), (1, "y", "remaining"), (2, "z", "removed")], "doc_id long, target string, status string")
+    assert {(r.doc_id, r.removed, r.passed) for r in batch.redaction_audit(checked).collect()} == {(1, 1, False), (2, 1, True)}
+    rows = spark.createDataFrame([(1, '{"a": {"labels": [{"id": "7", "displayName": "Confidential"}, {"id": "7", "displayName": "Confidential"}]}}')], "doc_id long, payload string")
+    assert [(r.id, r.name) for r in batch.labels(rows).collect()] == [("7", "Confidential")]
+    alerts = spark.createDataFrame([(1, "a"), (3, "b")], "timestamp long, f string")
+    assert [r.f for r in batch.merge_alerts(alerts, alerts.where("timestamp = 1"), n=2).collect()] == ["b", "a"]
