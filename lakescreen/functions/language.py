@@ -9,7 +9,7 @@ from ..plans import dims
 from ..plans.patterns import TECHNICAL
 from .rx import java
 
-#: Own stop words; a text's language is the one whose words it has most of.
+#: Own stop words; a text's language is the one of whose words it has most.
 STOP_WORDS = {
     "nb": "og ikke jeg det som på med av er til har den vi ble mellom eller også være hvor etter noen",
     "sv": "och inte jag det som på med av är till har den vi blev mellan eller också vara hur efter några",
@@ -23,11 +23,11 @@ STOP_WORDS = {
 
 def detect(text: Column) -> Column:
     """A code of ``dims.LANGUAGES`` from the first 3000 characters; English for short or unclear texts."""
-    words = F.split(F.lower(F.substr(text, F.lit(1), F.lit(3000))), r"[^\p{L}]+")
-    score = lambda own: F.size(F.filter(words, lambda w: w.isin(*own.split())))
-    # Norwegian, Swedish and Danish share most words; those that one of them alone has decide.
-    ranked = F.array(*(F.struct(score(own).alias("n"), F.lit(code == "en").cast("int").alias("tie"), F.lit(code).alias("code")) for code, own in STOP_WORDS.items()))
-    best = F.array_max(ranked)
+    words = F.array_distinct(F.split(F.lower(F.substr(text, F.lit(1), F.lit(3000))), r"[^\p{L}]+"))
+    score = lambda own, of: F.size(F.array_intersect(of, F.array(*map(F.lit, own.split()))))
+    row = lambda code, own, of: F.struct(score(own, of).alias("n"), F.lit(code == "en").cast("int").alias("tie"), F.lit(code).alias("code"))
+    # Inside a lambda the words are split once for all languages.
+    best = F.transform(F.array(words), lambda of: F.array_max(F.array(*(row(code, own, of) for code, own in STOP_WORDS.items()))))[0]
     short = F.length(F.trim(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))) < 80
     return F.when(short | text.isNull() | (best["n"] < 3), "en").otherwise(best["code"])
 

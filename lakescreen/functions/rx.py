@@ -13,9 +13,27 @@ AROUND = 140
 HIT = "array<struct<start:int,end:int,m:string,g:array<string>,pre:string,post:string>>"
 
 
+def ascii_digits(pattern: str) -> str:
+    """``\\d`` as 0-9, which Java finds much faster than all of Unicode's digits; no check accepts others."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == r"\d":
+            out.append("0-9" if inside else "[0-9]")
+            k += 2
+        elif two[0] == "\\":
+            out.append(two)
+            k += 2
+        else:
+            inside = two[0] == "[" or inside and two[0] != "]"
+            out.append(two[0])
+            k += 1
+    return "".join(out)
+
+
 def java(pattern: str, flags: str = "") -> str:
-    """A pattern whose classes and case follow Unicode and whose lines end at a line feed only."""
-    return f"(?dU{flags})" + pattern.replace("(?P<", "(?<")
+    """A pattern whose words and case follow Unicode and whose lines end at a line feed only."""
+    return f"(?dU{flags})" + ascii_digits(pattern).replace("(?P<", "(?<")
 
 
 def literal(value: str) -> str:
