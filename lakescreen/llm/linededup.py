@@ -77,9 +77,10 @@ def repeated_windows(of: DataFrame) -> DataFrame:
     """Windows whose content has an earlier place: (doc_id, t, first, last, from_doc, from_line)."""
     place = F.xxhash64("doc_id", "t", "at")
     many = of.groupBy("chosen").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("chosen")
-    live = of.join(many, "chosen", "left_semi").select("doc_id", "t", "first", "last", "c", "d")
+    live = staged(of.join(many, "chosen", "left_semi").select("doc_id", "t", "first", "last", "c", "d"), "live")
     earliest = live.groupBy("c", "d").agg(F.min(F.struct("doc_id", "t", "first")).alias("from"), F.count("*").alias("n"))
-    matched = live.join(earliest.where("n > 1").drop("n"), ["c", "d"])
+    # Written first, so that a content of very many places can be split in the join.
+    matched = live.join(staged(earliest.where("n > 1").drop("n"), "earliest"), ["c", "d"])
     later = ~F.struct("doc_id", "t", "first").eqNullSafe(F.col("from"))
     return matched.where(later).select(
         "doc_id", "t", "first", "last", F.col("from.doc_id").alias("from_doc"), F.col("from.first").alias("from_line")
