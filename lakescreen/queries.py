@@ -99,7 +99,7 @@ from k where kind is not null and {_luhn("d", 16)} % 10 = 0
 
 @query("detect_card", _CARD_SQL)
 def detect_card(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return found(spark, sf_dir, "card").where("length(raw_text) = 16").select("doc_id", "category", "text", "raw_text")
+    return found(spark, sf_dir, "card").select("doc_id", "category", "text", "raw_text")
 
 
 @query("detect_secrets")
@@ -275,8 +275,7 @@ r as (select d.doc_id, d.source, d.lang, coalesce(max(case f.severity when 'svar
 
 def _risked(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
-    rows = found(spark, sf_dir, *_BASE).where("detector <> 'card' or length(raw_text) = 16")
-    return risk.assess(docs, rows)
+    return risk.assess(docs, found(spark, sf_dir, *_BASE))
 
 
 @query("doc_risk", _BASE_SQL + "select doc_id, risk_ord, case risk_ord when 3 then 'svart' when 1 then 'gul' else 'grønn' end as risk_level, finding_count from r")
@@ -297,7 +296,7 @@ def top_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("severity_badges", _BASE_SQL + "select doc_id, count(*) filter (severity = 'grønn') as \"grønn\", count(*) filter (severity = 'gul') as gul, count(*) filter (severity = 'rød') as \"rød\", count(*) filter (severity = 'svart') as svart from f group by doc_id")
 def severity_badges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.badges(found(spark, sf_dir, *_BASE).where("detector <> 'card' or length(raw_text) = 16"))
+    return risk.badges(found(spark, sf_dir, *_BASE))
 
 
 @query("folder_export")
@@ -530,5 +529,5 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 select c.doc_id as source, sha256(d.text) as hash, 'svart' as risk_level from (select distinct doc_id from ({_CARD_SQL})) c join documents d on c.doc_id = d.doc_id where length(trim(d.text)) >= 15 and length(d.text) <= 50000""")
 def clipboard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir).where(F.length("text") <= watch.CLIP_MOST).select("doc_id", F.col("doc_id").alias("source"), F.lit(0).alias("ts"), "text")
-    rows = engine.scan(texts.select("doc_id", watch.clipped("text").alias("text")), engine.Options(language="en", only=("card",)))[0].where("length(raw_text) = 16")
+    rows = engine.scan(texts.select("doc_id", watch.clipped("text").alias("text")), engine.Options(language="en", only=("card",)))[0]
     return watch.clipboard_alert(rows, texts).select("source", "hash", "risk_level")
