@@ -352,7 +352,7 @@ NEEDS: dict[str, tuple[tuple[str, ...], str]] = {
     "phone_no": ((), "[0-9]{2}"),
     "persnr_sv": ((), "[0-9]{6}"),
     "orgnr_sv": ((), "[0-9]{6}"),
-    "phone_sv": ((), "0[0-9]"),
+    "phone_sv": ((), "0[0-9]|[+]46"),
     "bankgiro": (("bankgiro", "bg", "b.g"), "[0-9]{3}"),
     "plusgiro": (("plusgiro", "pg", "p.g"), "[0-9]"),
     "cpr": ((), "[0-9]{6}"),
