@@ -1,16 +1,17 @@
-"""URL filters: listed rules first, then association rules mined by Spark's FP-growth from the pages that they judge.
+"""URL filters: listed rules first, then association rules mined from the pages that they judge.
 
-A listed rule gives a page its label. FP-growth runs over the labelled pages' baskets: URL tokens and the label. Rules
-with a label on the right are pruned by support and confidence, and by rules that say the same with fewer tokens. A page
+A listed rule gives a page its label. Rules with URL tokens on the left and a label on the right are mined level by level
+over the labelled pages' baskets, and pruned by support and confidence, and by rules that say the same with fewer tokens:
+what FP-growth and pruning behind it would leave, without its listing of every frequent set of a long URL's tokens. A page
 without a listed rule meets the mined ones in an inverted index: each rule is filed under its rarest token, the page's
 tokens look it up, and a rule fires if the page has all its tokens. The surest rule decides; without one, allow.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +33,6 @@ RULES = (
 )
 #: Shares of the labelled pages and of a rule's pages.
 SUPPORT, CONFIDENCE = 0.005, 0.9
-#: Tokens on a rule's left.
-MOST_TOKENS = 4
-#: Tokens of a page that enter its basket; all of a page's tokens are looked up.
-BASKET = 24
 #: Mined rules up to this number are sent to all executors; more are joined.
 BROADCAST_RULES = 10_000
 
@@ -71,40 +68,57 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(of))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, most: int = MOST_TOKENS) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
     """(left, verdict, confidence, n) of the rules mined from rows (row, tokens, verdict), each as short as it can be.
 
-    Only tokens that alone reach the support enter a basket, the most frequent ``BASKET`` of a page.
+    n: rows with all tokens and the verdict, a share ``support`` of all at least. A rule is left out if one of its parts
+    says the same at least as surely. Sets of tokens grow one by one, each counted over equal baskets at once. A set goes on
+    for a verdict only while each of its tokens takes rows of other verdicts away and some are left: else every larger set
+    has a part that is at least as sure. So all supported tokens and all lengths are met, and few sets are counted.
     """
     total = labelled.count()
     least = max(2, int(support * total))
-    frequent = labelled.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    ranked = labelled.select("row", "verdict", F.explode("tokens").alias("token")).join(frequent, "token")
-    baskets = ranked.groupBy("row", "verdict").agg(
-        F.transform(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "token"))), 1, BASKET), lambda x: x["token"]).alias("some")
-    )
-    items = baskets.select(F.concat("some", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / max(1, total), minConfidence=confidence).fit(items)
-    mined = staged(
-        model.associationRules.where(F.element_at("consequent", 1).startswith("=") & (F.size("antecedent") <= most))
-        .where(~F.exists("antecedent", lambda x: x.startswith("=")))
-        .select(
-            F.array_sort("antecedent").alias("left"),
-            F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"),
-            F.round("confidence", 9).alias("confidence"),
-            F.round(F.col("support") * total).cast("long").alias("n"),
-        ),
-        "mined",
-    )
-    # Drop a rule if one of its parts says the same at least as surely: look up each part with a token less or more.
-    shorter = mined.select(F.col("left").alias("part"), F.col("verdict").alias("v"), F.col("confidence").alias("c"))
-    size = F.size("left")
-    subsets = mined.select(
-        "left", "verdict", "confidence", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), most).cast("int") - 2)).alias("mask")
-    ).where(F.col("mask") < F.pow(F.lit(2), size) - 1)
-    held = subsets.withColumn("part", F.filter("left", lambda _, k: F.getbit("mask", k) == 1))
-    worse = held.join(shorter, (held.part == shorter.part) & (held.verdict == shorter.v) & (shorter.c >= held.confidence)).select("left", "verdict").distinct()
-    return mined.join(worse, ["left", "verdict"], "left_anti")
+    each = labelled.select("row", "verdict", F.explode("tokens").alias("token"))
+    frequent = each.groupBy("token").agg(F.countDistinct("row").alias("n")).where(F.col("n") >= least).select("token")
+    held = each.join(frequent, "token").groupBy("row", "verdict").agg(F.array_sort(F.collect_set("token")).alias("held"))
+    baskets = staged(held.groupBy("held", "verdict").agg(F.count("*").alias("w")), "baskets")
+    others = labelled.groupBy("verdict").agg((F.lit(total) - F.count("*")).alias("fewest"), F.lit(0.0).alias("best"))
+    hits = baskets.select(F.explode(F.transform("held", lambda x: F.array(x))).alias("left"), "held", "verdict", "w")
+    sets = hits.select("left", "verdict").distinct().join(others, "verdict")
+    size, found = 1, []
+    while True:
+        counts = hits.groupBy("left", "verdict").agg(F.sum("w").alias("n"))
+        of = counts.groupBy("left").agg(F.sum("n").alias("of"))
+        sure = F.col("n") / F.col("of")
+        told = staged(
+            sets.join(counts, ["left", "verdict"]).join(of, "left").where(F.col("n") >= least)
+            .select("left", "verdict", "n", (F.col("of") - F.col("n")).alias("others"), "fewest", "best", sure.alias("sure")),
+            "level",
+        )
+        found.append(told.where((F.col("sure") >= confidence) & (F.col("sure") > F.col("best"))))
+        grows = told.where((F.col("others") < F.col("fewest")) & (F.col("others") > 0))
+        if grows.isEmpty():
+            break
+        within = staged(hits.join(grows.select("left").distinct(), "left", "left_semi").withColumnRenamed("left", "part"), "within")
+        size += 1
+        heads = grows.select("verdict", "left", F.slice("left", 1, size - 2).alias("head"), F.element_at("left", -1).alias("last"))
+        pairs = heads.join(heads.select("verdict", "head", F.col("last").alias("next")), ["verdict", "head"]).where(F.col("last") < F.col("next"))
+        larger = pairs.select("verdict", F.concat("left", F.array("next")).alias("left"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("k"))
+        parts = larger.select("verdict", "left", F.expr("filter(left, (x, i) -> i <> k)").alias("part"))
+        known = grows.select("verdict", F.col("left").alias("part"), "others", F.greatest("best", "sure").alias("sure"))
+        sets = staged(
+            parts.join(known, ["verdict", "part"]).groupBy("left", "verdict")
+            .agg(F.count("*").alias("parts"), F.min("others").alias("fewest"), F.max("sure").alias("best"))
+            .where(F.col("parts") == size).drop("parts"),
+            "sets",
+        )
+        if sets.isEmpty():
+            break
+        wanted = sets.select(F.slice("left", 1, size - 1).alias("part"), F.element_at("left", -1).alias("next")).distinct()
+        hits = within.join(wanted, "part").where(F.expr("array_contains(held, next)")).select(
+            F.concat("part", F.array("next")).alias("left"), "held", "verdict", "w"
+        )
+    return reduce(DataFrame.unionByName, found).select("left", "verdict", F.round("sure", 9).alias("confidence"), "n")
 
 
 def fire(pages: DataFrame, rules: DataFrame) -> DataFrame:
