@@ -226,7 +226,7 @@ _PRICE = "cast(cast(floor(l_extendedprice) as bigint) as string)"
 
 @query("detect_rates", f"select l_orderkey as doc_id, l_linenumber as line, 'timepris' as category, {_PRICE} as text from lineitem where l_extendedprice >= 1000")
 def detect_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").where("l_extendedprice >= 1000").selectExpr("l_orderkey * 8 + l_linenumber as doc_id", f"concat('Pris NOK ', {_PRICE}, ' per time.') as text")
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey * 8 + l_linenumber as doc_id", f"concat('Pris NOK ', {_PRICE}, ' per time.') as text")
     rows = engine.scan(engine.spread(lines), engine.Options(language="nb", only=("rate_slash",)))[0]
     return rows.select(F.floor(F.col("doc_id") / 8).alias("doc_id"), (F.col("doc_id") % 8).cast("int").alias("line"), "category", "text")
 
@@ -528,6 +528,6 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("clipboard_alerts", f"""
 select c.doc_id as source, sha256(d.text) as hash, 'svart' as risk_level from (select distinct doc_id from ({_CARD_SQL})) c join documents d on c.doc_id = d.doc_id where length(trim(d.text)) >= 15 and length(d.text) <= 50000""")
 def clipboard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = documents(spark, sf_dir).where(F.length("text") <= watch.CLIP_MOST).select("doc_id", F.col("doc_id").alias("source"), F.lit(0).alias("ts"), "text")
+    texts = documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("source"), F.lit(0).alias("ts"), "text")
     rows = engine.scan(texts.select("doc_id", watch.clipped("text").alias("text")), engine.Options(language="en", only=("card",)))[0]
     return watch.clipboard_alert(rows, texts).select("source", "hash", "risk_level")
