@@ -226,6 +226,15 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *told, pa.array(found, schema.field(6).type)], schema=schema)
 
         return slim.mapInArrow(_mapper(held, _arrow(spark, f"doc_id bigint, {FOUND}"), fill), f"doc_id bigint, {FOUND}")
+    return _keyed(docs, bench, window, block_chars).drop("_key")
+
+
+def _keyed(docs: DataFrame, bench: DataFrame, window: int, block_chars: int) -> DataFrame:
+    """The rows of ``contamination`` by blocks, each with its text's hash as _key."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    blocks = _blocks(bench, block_chars)
     keyed = slim.withColumn("_key", F.xxhash64("text"))
     parts = parts_first = None
     for items in blocks:
@@ -248,6 +257,7 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     on = first.doc_id.eqNullSafe(merged.doc_id) & first._key.eqNullSafe(merged._key)
     return first.join(merged, on, "left").select(
         first.doc_id,
+        first._key,
         "n_words",
         F.when(F.col("hit").isNull(), 0).otherwise(n_hit).cast("long").alias("n_hit"),
         F.when(F.col("hit").isNull(), 0).otherwise(F.size(names)).cast("long").alias("n_items"),
@@ -268,8 +278,11 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     spark = docs.sparkSession
     blocks = _blocks(bench, block_chars)
     if len(blocks) > 1:
-        bad = contamination(docs, bench, window, block_chars).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, docs.doc_id.eqNullSafe(bad.doc_id), "left_anti").select(*docs.columns)
+        # A row is judged by its text, so it is known again by its text's hash: doc_ids may be null or repeated.
+        key = F.xxhash64(F.col("text").cast("string"))
+        bad = _keyed(docs, bench, window, block_chars).where("contaminated").select(F.col("doc_id").alias("_doc"), "_key").distinct()
+        on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key"))
+        return docs.join(bad, on, "left_anti").select(*docs.columns)
     small_batches(spark)
     held = spark.sparkContext.broadcast(build_index(blocks[0], window))
 

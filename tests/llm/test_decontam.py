@@ -77,3 +77,14 @@ def test_empty_tables(spark):
     assert decontam.contamination(docs, bench).first().contaminated is False
     assert decontam.contamination(docs.limit(0), bench).count() == 0
     assert decontam.decontaminate(docs, bench).count() == 1
+
+
+@pytest.mark.parametrize("block", [16_000_000, 40])
+def test_removal_goes_by_row_not_by_id(spark, block):
+    item = " ".join(f"w{k}" for k in range(13))
+    other = "other text of some words that are not said anywhere else here"
+    rows = [(1, f"x {item}"), (1, "clean"), (1, None), (None, f"{other} y"), (None, "clean too"), (None, None), (None, "clean too"), (2, f"x {item}"), (2, "clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    kept = [tuple(r) for r in decontam.decontaminate(docs, bench, block_chars=block).collect()]
+    assert sorted(kept, key=repr) == sorted((r for r in rows if item not in (r[1] or "") and other not in (r[1] or "")), key=repr)
