@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -180,13 +180,28 @@ def _maybe(index: Index) -> np.ndarray:
     return flags
 
 
-def _blocks(bench: DataFrame, block_chars: int) -> list[list[tuple[str, str | None]]]:
-    """The benchmark's items, brought in block by block; each block is bounded by ``block_chars`` and one item."""
+def _dealt(bench: DataFrame, block_chars: int) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """The benchmark's distinct items with their block (part, block), and all blocks: ``block_chars`` and one item at most.
+
+    Parts are dealt by a hash; a running sum of lengths cuts each into blocks. Items without text have no windows.
+    """
     rows = bench.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").cast("string").alias("text"))
+    rows = rows.where(F.length("text") > 0).distinct()
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = -(-max(1, total) // block_chars)
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[tuple(r) for r in (rows if n == 1 else rows.where(part == k)).collect()] for k in range(n)]
+    if total <= block_chars:
+        return rows.select("item_id", "text", F.lit(0).alias("part"), F.lit(0).alias("block")), [(0, 0)]
+    hashed = rows.withColumn("hash", F.xxhash64("item_id", "text"))
+    parted = hashed.withColumn("part", F.pmod("hash", F.lit(-(-total // block_chars))).cast("int"))
+    before = F.sum(F.length("text")).over(Window.partitionBy("part").orderBy("hash", "item_id", "text").rowsBetween(Window.unboundedPreceding, -1))
+    block = F.floor(F.coalesce(before, F.lit(0)) / block_chars).cast("int")
+    dealt = staged(parted.withColumn("block", block).drop("hash"), "benchmark")
+    return dealt, sorted(tuple(r) for r in dealt.select("part", "block").distinct().collect())
+
+
+def _block(dealt: DataFrame, of: tuple[int, int]) -> list[tuple[str, str | None]]:
+    """The items of one block, brought to the driver."""
+    mine = (F.col("part") == of[0]) & (F.col("block") == of[1])
+    return [tuple(r) for r in dealt.where(mine).select("item_id", "text").collect()]
 
 
 def _mapper(index: Index, schema: pa.Schema, fill: Callable) -> Callable:
@@ -209,15 +224,15 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
     matches: the longest verbatim matches, each with its item, its first word here and there, and its length in words.
     A null or wordless text has no words and is never contaminated; a null or wordless item has no windows. Repeated
-    items count once by item_id. Rows repeated in ``docs`` are judged alike. An empty benchmark leaves all clean. The
-    largest block of the benchmark is broadcast: ``block_chars`` characters and at most one more item.
+    items count once by item_id. Rows repeated in ``docs`` are judged alike. An empty benchmark leaves all clean. One
+    block of the benchmark at a time is brought to the driver and broadcast: ``block_chars`` and at most one more item.
     """
     spark = docs.sparkSession
     small_batches(spark)
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    blocks = _blocks(bench, block_chars)
+    dealt, blocks = _dealt(bench, block_chars)
     if len(blocks) == 1:
-        held = spark.sparkContext.broadcast(build_index(blocks[0], window))
+        held = spark.sparkContext.broadcast(build_index(_block(dealt, blocks[0]), window))
 
         def fill(batch: pa.RecordBatch, index: Index, maybe: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
             counts, own, found = _shards(batch, index, maybe)
@@ -226,19 +241,18 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), *told, pa.array(found, schema.field(6).type)], schema=schema)
 
         return slim.mapInArrow(_mapper(held, _arrow(spark, f"doc_id bigint, {FOUND}"), fill), f"doc_id bigint, {FOUND}")
-    return _keyed(docs, bench, window, block_chars).drop("_key")
+    return _keyed(docs, dealt, blocks, window).drop("_key")
 
 
-def _keyed(docs: DataFrame, bench: DataFrame, window: int, block_chars: int) -> DataFrame:
+def _keyed(docs: DataFrame, dealt: DataFrame, blocks: list[tuple[int, int]], window: int) -> DataFrame:
     """The rows of ``contamination`` by blocks, each with its text's hash as _key."""
     spark = docs.sparkSession
     small_batches(spark)
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    blocks = _blocks(bench, block_chars)
     keyed = slim.withColumn("_key", F.xxhash64("text"))
     parts = parts_first = None
-    for items in blocks:
-        held = spark.sparkContext.broadcast(build_index(items, window))
+    for one in blocks:
+        held = spark.sparkContext.broadcast(build_index(_block(dealt, one), window))
         kind = f"doc_id bigint, _key bigint, n_words bigint, hit array<int>, matches {MATCHES}"
 
         def fill(batch: pa.RecordBatch, index: Index, maybe: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
@@ -246,6 +260,7 @@ def _keyed(docs: DataFrame, bench: DataFrame, window: int, block_chars: int) ->
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(n, pa.int64()), pa.array([x.tolist() for x in own], schema.field(3).type), pa.array(found, schema.field(4).type)], schema=schema)
 
         got = staged(keyed.mapInArrow(_mapper(held, _arrow(spark, kind), fill), kind), "block")
+        held.destroy()
         parts_first = got if parts is None else parts_first
         parts = got if parts is None else parts.unionByName(got)
     # Repeated rows give equal lists; each block is told once for them, and the rows come back from the first block.
@@ -276,15 +291,15 @@ def _arrow(spark, ddl: str | StructType) -> pa.Schema:
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` without the contaminated rows; columns stay as they are. With one block, a narrow pass."""
     spark = docs.sparkSession
-    blocks = _blocks(bench, block_chars)
+    dealt, blocks = _dealt(bench, block_chars)
     if len(blocks) > 1:
         # A row is judged by its text, so it is known again by its text's hash: doc_ids may be null or repeated.
         key = F.xxhash64(F.col("text").cast("string"))
-        bad = _keyed(docs, bench, window, block_chars).where("contaminated").select(F.col("doc_id").alias("_doc"), "_key").distinct()
+        bad = _keyed(docs, dealt, blocks, window).where("contaminated").select(F.col("doc_id").alias("_doc"), "_key").distinct()
         on = F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (key == F.col("_key"))
         return docs.join(bad, on, "left_anti").select(*docs.columns)
     small_batches(spark)
-    held = spark.sparkContext.broadcast(build_index(blocks[0], window))
+    held = spark.sparkContext.broadcast(build_index(_block(dealt, blocks[0]), window))
 
     def fill(batch: pa.RecordBatch, index: Index, maybe: np.ndarray, _schema: pa.Schema) -> pa.RecordBatch:
         clean = [not digest(n, len(own), set())[4] for n, own, _ in zip(*_shards(batch, index, maybe), strict=True)]

@@ -88,3 +88,20 @@ def test_removal_goes_by_row_not_by_id(spark, block):
     bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
     kept = [tuple(r) for r in decontam.decontaminate(docs, bench, block_chars=block).collect()]
     assert sorted(kept, key=repr) == sorted((r for r in rows if item not in (r[1] or "") and other not in (r[1] or "")), key=repr)
+
+
+def test_blocks_are_bounded_and_whole(spark):
+    items = [(k % 50, f"{k % 60} " + "word " * (k % 9)) for k in range(240)] + [(7, "same text of one item")] * 200 + [(8, None)]
+    dealt, blocks = decontam._dealt(spark.createDataFrame(items, "item_id long, text string"), 300)
+    got = [decontam._block(dealt, b) for b in blocks]
+    assert len(got) > 5 and all(sum(len(t) for _, t in b) <= 300 + max(len(t) for _, t in items if t) for b in got)
+    assert sorted(i for b in got for i in b) == sorted({(str(k), t) for k, t in items if t})
+
+
+def test_one_block_at_a_time_is_held(spark, monkeypatch):
+    log, build, block = [], decontam.build_index, decontam._block
+    monkeypatch.setattr(decontam, "_block", lambda *a: log.append("brought") or block(*a))
+    monkeypatch.setattr(decontam, "build_index", lambda *a: log.append("used") or build(*a))
+    docs, bench = cases()
+    decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_chars=300)
+    assert len(log) > 4 and log == ["brought", "used"] * (len(log) // 2)
