@@ -32,7 +32,7 @@ def mixed(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
 
 
 def token_shards(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    return tokenbin.training_order(docs)
+    return tokenbin.sharded(docs)
 
 
 STAGES = [

@@ -24,8 +24,8 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slot, shard, byte_offset, n_tokens, doc_ids, ids of every sequence, in training order within its shard."""
-    return tokenbin.training_order(table(spark, sf_dir, "documents"))
+    """slot, shard, byte_offset, n_tokens, doc_ids, ids of every sequence, in training order within its shard; shards are written."""
+    return tokenbin.sharded(table(spark, sf_dir, "documents"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

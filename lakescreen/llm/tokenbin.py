@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import math
 import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -229,11 +230,8 @@ def training_order(docs: DataFrame, length: int = LENGTH, shard_rows: int = SHAR
     )
 
 
-def write_shards(ordered: DataFrame, folder: str | None = None, length: int = LENGTH) -> DataFrame:
-    """Write each shard of ``training_order`` as ``shard-<k>.bin`` in a folder that all executors share; a manifest.
-
-    A shard is written beside its name and then renamed, so a task that runs again replaces it whole.
-    """
+def _written(ordered: DataFrame, folder: str | None, length: int, keep: bool) -> DataFrame:
+    """Write the shards of ``ordered`` as its rows go by; the rows themselves if ``keep``, else a manifest."""
     spark = ordered.sparkSession
     folder = folder or f"{shared_dir(spark).rstrip('/')}/shards"
     to = folder.removeprefix("file://").removeprefix("file:")
@@ -257,11 +255,30 @@ def write_shards(ordered: DataFrame, folder: str | None = None, length: int = LE
                     file = open(f"{to}/.shard-{shard:08d}.{TaskContext.get().taskAttemptId()}", "wb")  # noqa: SIM115
                 file.write(ids.as_py())
                 rows += 1
+            if keep:
+                yield batch
         close()
-        if told:
+        if told and not keep:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*told, strict=True), (pa.int32(), pa.int64(), pa.int64()), strict=True)], ["shard", "n_sequences", "n_bytes"])
 
-    return ordered.mapInArrow(run, "shard int, n_sequences bigint, n_bytes bigint")
+    return ordered.mapInArrow(run, ordered.schema if keep else "shard int, n_sequences bigint, n_bytes bigint")
+
+
+def write_shards(ordered: DataFrame, folder: str | None = None, length: int = LENGTH) -> DataFrame:
+    """Write each shard of ``training_order`` as ``shard-<k>.bin`` in a folder that all executors share; a manifest.
+
+    A shard is written beside its name and then renamed, so a task that runs again replaces it whole.
+    """
+    return _written(ordered, folder, length, keep=False)
+
+
+def sharded(docs: DataFrame, folder: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """The rows of ``training_order``; whoever reads them all has the shards written in the same pass.
+
+    Without a folder, one of its own is taken under the shared folder, so no shard of another run is found among them.
+    """
+    folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
+    return _written(training_order(docs, length, shard_rows), folder, length, keep=True)
 
 
 def read_from(folder: str, slot: int, shard_rows: int = SHARD_ROWS, length: int = LENGTH) -> Iterator[np.ndarray]:

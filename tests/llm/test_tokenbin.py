@@ -102,3 +102,17 @@ def test_counts_of_rows(spark):
         assert r.n_tokens_edited == len(t.encoding.encode_ordinary(edited))
         assert (r.n_edits > 0) == (edited != text)
     assert C.counts(docs.limit(0)).count() == 0
+
+
+def test_queries_write_their_shards(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+    from lakescreen.llm import queries
+
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for k, run in enumerate([lambda: queries.op4_token_binary(spark, str(tmp_path)), lambda: corpus_pipeline.STAGES[-1][1](spark, docs, "")]):
+        monkeypatch.setattr(T, "shared_dir", lambda _, k=k: str(tmp_path / f"shared{k}"))
+        by_slot = {r.slot: bytes(r.ids) for r in run().collect()}
+        (folder,) = (tmp_path / f"shared{k}").iterdir()
+        assert [x.tobytes() for x in T.read_from(str(folder), 0)] == [by_slot[n] for n in range(len(by_slot))] != []
+        assert all(f.name.startswith("shard-") for f in folder.iterdir())
