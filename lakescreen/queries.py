@@ -413,6 +413,13 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(extract.html_text(F.col("html"))).alias("text_md5"))
 
 
+@query("html_text_files")
+def html_text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages read as files are, with all entities."""
+    files = table(spark, sf_dir, "pages").select(F.concat("page_id", F.lit(".html")).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return extract.texts(engine.spread(files)).select(F.replace("path", F.lit(".html"), F.lit("")).cast("long").alias("page_id"), "text", "error")
+
+
 @query("chunk_words", r"""
 with w as (select doc_id, text, list_filter(regexp_split_to_array(text, '[\s]+'), lambda x: x <> '') as words from documents),
 k as (select doc_id, text, words, unnest(range(0, case when len(words) <= 1600 then 1 else ceil((len(words) - 1600) / 1540.0)::int + 1 end)) as chunk from w where len(words) > 0)
@@ -480,6 +487,11 @@ def table_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(bars).cast("long").alias("bar_lines"))
 
 
+@query("looks_tabular")
+def looks_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", extract.looks_tabular(F.col("text")).alias("tabular"))
+
+
 # ---- batches, access, streams -----------------------------------------------------------------------------------------
 
 
