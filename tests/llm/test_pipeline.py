@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 from lakescreen.llm import mixing, tokenbin, toxicity
 from test_decontam import brute as contaminated
-from test_operators import level, print_of, union
+from test_llm_operators import level, print_of, union
 
 
 def tables(folder):
