@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 import tiktoken
@@ -82,7 +84,7 @@ def test_edits_count_as_the_edited_text():
         tree = C.Tree(t, text)
         before = tree.total()
         assert before == len(t.encoding.encode_ordinary(text))
-        C.apply_edits(tree, edits)
+        tree.apply(edits)
         edited, at = [], 0
         for a, b, new in edits:
             edited += [text[at:a], new]
@@ -92,6 +94,49 @@ def test_edits_count_as_the_edited_text():
         assert tree.total() == len(t.encoding.encode_ordinary(edited)), (text[:20], edits)
 
 
+def depth(node):
+    return 0 if node.left is None else 1 + max(depth(node.left), depth(node.right))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_any_edits_count_as_the_edited_text(seed):
+    rng, t = random.Random(seed), whole()
+    say = lambda n: "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "12", "'s", "-", "\u2003", "\x1c", " word"]) for _ in range(n))
+    text = say(rng.choice([0, 5, 60, 900]))
+    tree = C.Tree(t, text)
+    for _ in range(4):
+        at, edits = 0, []
+        while at < len(text):
+            a = at + rng.choice([0, 0, 1, 3, 40])
+            b = a + rng.choice([0, 1, 2, 30])
+            if b > len(text):
+                break
+            edits.append((a, b, say(rng.choice([0, 0, 1, 5]))))
+            at = b + (a == b)
+        tree.apply(edits)
+        text = C.edited(text, edits)
+        assert tree.text() == text
+        assert tree.total() == len(t.encoding.encode_ordinary(text))
+        assert not tree.root or depth(tree.root) <= 3 * np.log2(tree.root.leaves + 1) + 2
+
+
+@pytest.mark.parametrize("make", [
+    lambda n: [(k * 40, k * 40 + 1, "Y") for k in range(n)],
+    lambda n: [(k * 5 + 4, k * 5 + 5, "") for k in range(n)],  # every space goes: all becomes one pre-token
+    lambda n: [(k * 5 + 3, k * 5 + 4, " ") for k in range(n)],  # every word ends in blanks
+    lambda n: [(k * 80 + 79, k * 80 + 80, "") for k in range(n // 2)],
+])
+def test_encoded_again_is_linear_in_edits(make):
+    text, t = "word " * 200_000, whole()
+    for n in (1, 100, 5000):
+        tree, edits = C.Tree(t, text), make(n)
+        tree.apply(edits)
+        assert tree.encoded <= sum(4 * 5 * C.LEAF + len(new) for _, _, new in edits)
+        assert tree.encoded <= 2 * len(text)
+        assert tree.text() == C.edited(text, edits)
+        tree.apply([(len(tree.text()) // 2 // 5 * 5, len(tree.text()) // 2 // 5 * 5 + 1, "z")])
+
+
 def test_counts_of_rows(spark):
     docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate([*TEXTS, "mail a.b@c.de and 10.0.0.1 now", "same", "same"])], "doc_id long, text string, n_tokens int")
     t = whole()
