@@ -25,12 +25,26 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether the plan only reads, picks and computes columns of files: run again, it gives the same partitions."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in ("Project", "Filter") and not plan.nodeName().startswith("LogicalRelation") and not plan.nodeName().startswith("Relation"):
+            return False
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return True
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan of few large row groups out to all cores; a scan that has a partition for each core stays as it is."""
+    """Deal a scan of few large row groups out to all cores; a scan that has a partition for each core stays as it is.
+
+    Only files are asked for their partitions: to ask another plan would run its shuffles.
+    """
     sc = df.sparkSession.sparkContext
-    if df._jdf.queryExecution().toRdd().getNumPartitions() < min(sc.defaultParallelism, 64):
-        return df.repartition(sc.defaultParallelism)
-    return df
+    if is_scan(df) and df._jdf.queryExecution().toRdd().getNumPartitions() >= min(sc.defaultParallelism, 64):
+        return df
+    return df.repartition(sc.defaultParallelism) if is_scan(df) else df
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,7 +62,7 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def _remove_at_exit(spark: SparkSession, path: str) -> None:
+def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Remove what was staged when the driver ends; results may be read lazily until then."""
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
 
@@ -64,7 +78,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/staged/{name}-{uuid.uuid4().hex}"
-    _remove_at_exit(spark, path)
+    remove_at_exit(spark, path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -24,7 +24,7 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """slot, shard, byte_offset, n_tokens, doc_ids, ids of every sequence, in training order within its shard; shards are written."""
+    """slot, shard, byte_offset, n_tokens, doc_ids, ids_md5 of every sequence, by slot within its shard; the ids are in the shards."""
     return tokenbin.sharded(table(spark, sf_dir, "documents"))
 
 

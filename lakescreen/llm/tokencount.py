@@ -97,8 +97,9 @@ class Tree:
 
     def _grown(self, text: str) -> Node | None:
         pieces = CUT.split(text) if text else []
-        said = ("".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF))
-        return balanced([Node(None, None, t, len(self.tokenizer.encode(t)) // 2) for t in said])
+        said = ["".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF)]
+        counts = self.tokenizer.encode_all(pa.array(said, pa.string()))[1].tolist()
+        return balanced([Node(None, None, t, n) for t, n in zip(said, counts, strict=True)])
 
     def total(self) -> int:
         return self.root.count if self.root else 0

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import small_batches, spread
-from .wordarray import Words, hashes, split, text_bytes
+from .wordarray import Words, byte_slices, hashes, split, text_bytes
 
 SPAN, STEP = 24, 12
 WORD_DIM, CHAR_DIM, HIDDEN = 6, 6, 8
@@ -323,16 +323,6 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
     return out
 
 
-def _pieces(column: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
-    """Slices of about ``most`` bytes, so that memory is bounded by that and the longest text."""
-    _, offsets = text_bytes(column)
-    at = 0
-    while at < len(column):
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield column.slice(at, end - at)
-        at = end
-
-
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Train on at most ``rows`` labelled documents of at most ``chars`` characters whose fold is not held out.
 
@@ -361,7 +351,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                score = np.concatenate([score_texts(held.value, part) for part in _pieces(batch.column("text"))])
+                score = np.concatenate([score_texts(held.value, part) for part in byte_slices(batch.column("text"))])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], ["doc_id", "score"])
 
     slim = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
@@ -380,7 +370,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                score = np.concatenate([score_texts(held.value, part) for part in _pieces(batch.column("text"))])
+                score = np.concatenate([score_texts(held.value, part) for part in byte_slices(batch.column("text"))])
                 yield batch.filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)

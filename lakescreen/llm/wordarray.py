@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,6 +31,16 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def byte_slices(column: pa.Array, most: int = 1 << 21) -> Iterator[pa.Array]:
+    """Slices of about ``most`` bytes, so that memory is bounded by that and the longest text."""
+    _, offsets = text_bytes(column)
+    at = 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+        yield column.slice(at, end - at)
+        at = end
+
+
 def split(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> Words:
     """Maximal runs of bytes that ``is_word`` (256 flags) holds of, none across texts."""
     low = np.concatenate([LOWER[data], np.zeros(8, np.uint8)])

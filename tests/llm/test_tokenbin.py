@@ -1,6 +1,8 @@
+import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -23,7 +25,18 @@ def test_pieces_encode_as_the_whole(text):
     for _ in range(2):  # the second time from memory
         assert np.frombuffer(t.encode(text), T.ID).tolist() == t.encoding.encode_ordinary(text)
     assert t.decode(t.encode(text)) == text
-    assert "".join(t.pieces(text)) == text
+
+
+@pytest.mark.parametrize("remembered", [0, 3, 1000])
+def test_many_texts_encode_as_each(remembered):
+    rng, t = random.Random(4), T.Tokenizer(T.vocabulary(), remembered)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "é", "12", "'s", "-", "\u2003", "\u3000", "\u1680", "\u205f", "\u00a0", "\u0085", "\x1c", "\r", " word", "日本", "x" * 50]
+    for _ in range(60):
+        texts = [rng.choice([None, ""]) if rng.random() < 0.2 else "".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(rng.randrange(8))]
+        ids, n = t.encode_all(pa.array(texts, pa.string()))
+        want = [t.encoding.encode_ordinary(x or "") for x in texts]
+        assert n.tolist() == [len(w) for w in want]
+        assert ids.tolist() == [k for w in want for k in w]
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 1000, 4097])
@@ -35,34 +48,59 @@ def test_feistel_is_a_permutation(n):
         assert (slots != T.feistel(np.arange(n), n, key=1)).any()
 
 
-def test_round_trip_and_resumption(spark, tmp_path):
-    docs = spark.createDataFrame([(k if k != 4 else None, t, 7) for k, t in enumerate(TEXTS + TEXTS[:3])], "doc_id long, text string, slot int").repartition(3)
-    rows = T.training_order(docs, length=16, shard_rows=8).collect()
-    assert [r.slot for r in sorted(rows)] == list(range(len(rows)))
-    assert all(r.byte_offset == r.slot % 8 * 32 and r.shard == r.slot // 8 and len(r.ids) == 32 for r in rows)
+def brute(spark, rows, length):
+    """Each slot's ids, tokens and doc_ids, from the stream of all ids."""
     t = whole()
-    want = sum(len(t.encode(x or "")) // 2 + 1 for x in TEXTS + TEXTS[:3])
-    assert sum(r.n_tokens for r in rows) == want
-    assert {d for r in rows for d in r.doc_ids} == {None, *(k for k in range(len(TEXTS) + 3) if k != 4)}
-    folder = str(tmp_path / "shards")
-    told = T.write_shards(T.training_order(docs, length=16, shard_rows=8), folder).collect()
-    assert sum(m.n_sequences for m in told) == len(rows)
-    got = [x.tobytes() for x in T.read_from(folder, 5, shard_rows=8, length=16)]
-    by_slot = {r.slot: bytes(r.ids) for r in rows}
-    assert got == [by_slot[k] for k in range(5, len(rows))]
-
-
-def test_sequences_hold_the_documents_in_order(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string").coalesce(1)
-    rows = sorted(T.pack(docs, length=16).collect(), key=lambda r: (r.part, r.at))
-    t, seen = whole(), {}
-    ids = b"".join(bytes(r.ids)[: 2 * r.n_tokens] for r in rows if r.part == rows[0].part)
-    if len({r.part for r in rows}) == 1:
-        assert ids == b"".join(t.encode(x or "") + np.array([T.END], T.ID).tobytes() for x in TEXTS)
-    for r in rows:
-        for d in r.doc_ids:
-            seen.setdefault(d, 0)
-    assert set(seen) == set(range(len(TEXTS)))
+    docs = spark.createDataFrame([(d, x, n) for n, (d, x) in enumerate(rows)], "doc_id long, text string, row int")
+    order = docs.selectExpr("row", "doc_id", "xxhash64(text) as t", f"pmod(xxhash64(doc_id, xxhash64(text)), {T.BUCKETS}) as bucket").collect()
+    order.sort(key=lambda r: (r.bucket, r.doc_id is not None, r.doc_id or 0, r.t))
+    ids, owner = [], []
+    for r in order:
+        mine = [*t.encoding.encode_ordinary(rows[r.row][1] or ""), T.END]
+        ids += mine
+        owner += [(r.row, r.doc_id)] * len(mine)
+    n = -(-len(ids) // length)
+    out = {}
+    for k, slot in enumerate(T.feistel(np.arange(n), n).tolist()):
+        part = ids[k * length : (k + 1) * length]
+        who = list(dict.fromkeys(owner[k * length : (k + 1) * length]))
+        out[slot] = (len(part), [d for _, d in who], np.array(part + [T.END] * (length - len(part)), T.ID).tobytes())
+    return out
+
+
+@pytest.mark.parametrize("files", [1, 3, 9])
+def test_order_is_that_of_the_documents(spark, tmp_path, files):
+    """The same slots however the documents are split, equal to a plain version byte for byte."""
+    rows = [(k if k != 4 else None, t) for k, t in enumerate(TEXTS + TEXTS[:3])] + [(5, TEXTS[5]), (5, "other"), (None, None), (None, None), (70, "long text " * 4000)]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, slot int").repartition(files)
+    docs.write.parquet(str(tmp_path / "docs"))
+    want = brute(spark, rows, 16)
+    assert len(want) > 200
+    for frame in (spark.read.parquet(str(tmp_path / "docs")), docs):
+        got = T.training_order(frame, length=16, shard_rows=8).collect()
+        assert all(r.byte_offset == r.slot % 8 * 32 and r.shard == r.slot // 8 for r in got)
+        assert len(got) == len(want)
+        assert {r.slot: (r.n_tokens, r.doc_ids, bytes(r.ids)) for r in got} == want
+
+
+def test_round_trip_and_resumption(spark, tmp_path):
+    rows = list(enumerate(TEXTS + TEXTS[:3]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(spark, rows, 16)
+    for folder in (str(tmp_path / "a"), f"file:{tmp_path}/b", f"file://{tmp_path}/c"):
+        told = T.write_shards(docs, folder, length=16, shard_rows=8).collect()
+        assert sum(m.n_sequences for m in told) == len(want)
+        assert sum(m.n_bytes for m in told) == 32 * len(want)
+        got = [x.tobytes() for x in T.read_from(folder, 5, shard_rows=8, length=16)]
+        assert got == [want[k][2] for k in range(5, len(want))]
+
+
+def test_tasks_of_several_shards(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "MOST_TASKS", 3)
+    rows = list(enumerate(TEXTS))
+    want = brute(spark, rows, 16)
+    T.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path), length=16, shard_rows=4).collect()
+    assert [x.tobytes() for x in T.read_from(str(tmp_path), 0, shard_rows=4, length=16)] == [want[k][2] for k in range(len(want))]
 
 
 def test_empty_table(spark):
@@ -157,7 +195,9 @@ def test_queries_write_their_shards(spark, tmp_path, monkeypatch):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     for k, run in enumerate([lambda: queries.op4_token_binary(spark, str(tmp_path)), lambda: corpus_pipeline.STAGES[-1][1](spark, docs, "")]):
         monkeypatch.setattr(T, "shared_dir", lambda _, k=k: str(tmp_path / f"shared{k}"))
-        by_slot = {r.slot: bytes(r.ids) for r in run().collect()}
-        (folder,) = (tmp_path / f"shared{k}").iterdir()
-        assert [x.tobytes() for x in T.read_from(str(folder), 0)] == [by_slot[n] for n in range(len(by_slot))] != []
+        by_slot = {r.slot: r.ids_md5 for r in run().collect()}
+        (folder,) = (f for f in (tmp_path / f"shared{k}").iterdir() if f.name.startswith("shards"))
+        want = brute(spark, list(enumerate(TEXTS)), T.LENGTH)
+        assert [x.tobytes() for x in T.read_from(str(folder), 0)] == [want[n][2] for n in range(len(want))]
+        assert by_slot == {n: hashlib.md5(w[2]).hexdigest() for n, w in want.items()}
         assert all(f.name.startswith("shard-") for f in folder.iterdir())
