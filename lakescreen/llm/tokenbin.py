@@ -16,6 +16,7 @@ import hashlib
 import math
 import uuid
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,6 +82,9 @@ class Tokenizer:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        for said, k in ranks.items():
+            self.bytes[k] = len(said)
         self.remembered = remembered
         self._forget()
 
@@ -92,7 +96,10 @@ class Tokenizer:
 
     def encode(self, text: str) -> bytes:
         """Ids of a whole text."""
-        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+        return np.array(self.encoding.encode_ordinary(text), ID).tobytes()
+
+    def count(self, text: str) -> int:
+        return len(self.encoding.encode_ordinary(text))
 
     def encode_all(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of whole texts, one after another, and how many each has. Null counts as empty."""
@@ -100,40 +107,51 @@ class Tokenizer:
         start, first = cuts(data, offsets)
         if not len(start):
             return np.empty(0, ID), np.zeros(len(column), np.int64)
+        if len(self.known) > self.remembered:
+            self._forget()
         size = np.diff(np.r_[start, len(data)])
         words = Words(np.concatenate([data, np.zeros(8, np.uint8)]), start, size, first)
         h, check = hashes(words, 1), hashes(words, 2)
-        distinct, at, which = np.unique(h, return_index=True, return_inverse=True)
-        number = self._numbers(distinct, at, words, check)[which]
+        distinct, at, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        apart = np.zeros(len(start) + 1, bool)  # pieces at the ends of texts, which may begin or end otherwise than others
+        apart[first] = apart[np.maximum(first, 1) - 1] = True
+        number = np.array(list(map(self.known.get, distinct.tolist(), repeat(-1))))
+        new = number < 0
+        kept = np.flatnonzero(new & (times > 1) & (size[at] <= LONGEST))
+        number[kept] = self._add(words, at[kept], apart, check)
+        self.known.update(zip(distinct[kept].tolist(), number[kept].tolist(), strict=True))
+        held = len(self.size), len(self.pool)
+        once = np.flatnonzero(new & ((times == 1) | (size[at] > LONGEST)))
+        number[once] = self._add(words, at[once], apart, check)
+        number = number[which]
         odd = np.flatnonzero(self.check[number] != check)  # two pieces of one hash
-        if len(odd):
-            number[odd] = self._add([self._ids(words, k) for k in odd], check[odd])
+        number[odd] = self._add(words, odd, apart, check)
         many = self.size[number]
         ends = np.cumsum(many)
         ids = self.pool[np.repeat(self.begin[number] - (ends - many), many) + np.arange(ends[-1])]
-        if len(self.known) > self.remembered or len(self.pool) > 64 * self.remembered:
-            self._forget()
+        self.check, self.begin, self.size, self.pool = self.check[: held[0]], self.begin[: held[0]], self.size[: held[0]], self.pool[: held[1]]
         return ids, np.diff(np.r_[0, ends][first])
 
-    def _ids(self, words: Words, k: int) -> list[int]:
-        return self.encoding.encode_ordinary(words.data[words.start[k] : words.start[k] + words.size[k]].tobytes().decode())
-
-    def _numbers(self, distinct: np.ndarray, at: np.ndarray, words: Words, check: np.ndarray) -> np.ndarray:
-        number = np.array([self.known.get(x, -1) for x in distinct.tolist()])
-        new = np.flatnonzero(number < 0)
-        if len(new):
-            number[new] = self._add([self._ids(words, k) for k in at[new].tolist()], check[at[new]])
-            short = new[words.size[at[new]] <= LONGEST]
-            self.known.update(zip(distinct[short].tolist(), number[short].tolist(), strict=True))
-        return number
-
-    def _add(self, found: list[list[int]], check: np.ndarray) -> np.ndarray:
-        size = np.array([len(x) for x in found])
-        begin = len(self.pool) + np.cumsum(size) - size
-        self.pool = np.concatenate([self.pool, *(np.array(x, ID) for x in found)])
-        number = len(self.size) + np.arange(len(found))
-        self.begin, self.size = np.r_[self.begin, begin], np.r_[self.size, size]
-        self.check = np.r_[self.check, check]
+    def _add(self, words: Words, rows: np.ndarray, apart: np.ndarray, check: np.ndarray) -> np.ndarray:
+        """Encode pieces; their numbers. Those between others are encoded as one text, of which each has its stretch."""
+        if not len(rows):
+            return rows
+        one, alone = rows[~apart[rows]], rows[apart[rows]]
+        ids, size = [], np.zeros(len(rows), np.int64)
+        if len(one):
+            ends = np.cumsum(words.size[one])
+            said = words.data[np.repeat(words.start[one] - (ends - words.size[one]), words.size[one]) + np.arange(ends[-1])]
+            ids.append(np.array(self.encoding.encode_ordinary(said.tobytes().decode()), ID))
+            reached = np.searchsorted(np.cumsum(self.bytes[ids[0]]), ends) + 1
+            size[~apart[rows]] = np.diff(np.r_[0, reached])
+        each = [np.array(self.encoding.encode_ordinary(words.data[s : s + n].tobytes().decode()), ID) for s, n in zip(words.start[alone], words.size[alone], strict=True)]
+        size[apart[rows]] = list(map(len, each))
+        order = np.r_[np.flatnonzero(~apart[rows]), np.flatnonzero(apart[rows])]
+        begin = np.empty(len(rows), np.int64)
+        begin[order] = len(self.pool) + np.cumsum(size[order]) - size[order]
+        self.pool = np.concatenate([self.pool, *ids, *each])
+        number = len(self.size) + np.arange(len(rows))
+        self.begin, self.size, self.check = np.r_[self.begin, begin], np.r_[self.size, size], np.r_[self.check, check[rows]]
         return number
 
     def decode(self, ids: bytes) -> str:

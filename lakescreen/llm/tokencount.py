@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, spread
 from .tokenbin import VOCABULARY, Tokenizer, vocabulary
+from .wordarray import byte_slices
 
 #: Pieces of text in a leaf.
 LEAF = 16
@@ -87,19 +89,23 @@ def cut(node: Node | None, k: int) -> tuple[Node | None, Node | None]:
     return join(node.left, a), b
 
 
+def leaves_of(text: str) -> list[str]:
+    pieces = CUT.split(text) if text else []
+    return ["".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF)]
+
+
 class Tree:
     """The pre-tokens of a text, with its token count kept up to date under edits."""
 
-    def __init__(self, tokenizer: Tokenizer, text: str):
+    def __init__(self, tokenizer: Tokenizer, leaves: list[str], counts: list[int]):
         self.tokenizer = tokenizer
-        self.root = self._grown(text)
+        self.root = balanced([Node(None, None, t, n) for t, n in zip(leaves, counts, strict=True)])
         self.encoded = 0  # characters encoded again by edits
 
-    def _grown(self, text: str) -> Node | None:
-        pieces = CUT.split(text) if text else []
-        said = ["".join(pieces[k : k + LEAF]) for k in range(0, len(pieces), LEAF)]
-        counts = self.tokenizer.encode_all(pa.array(said, pa.string()))[1].tolist()
-        return balanced([Node(None, None, t, n) for t, n in zip(said, counts, strict=True)])
+    @staticmethod
+    def of(tokenizer: Tokenizer, text: str) -> Tree:
+        leaves = leaves_of(text)
+        return Tree(tokenizer, leaves, list(map(tokenizer.count, leaves)))
 
     def total(self) -> int:
         return self.root.count if self.root else 0
@@ -160,7 +166,7 @@ class Tree:
         changed = "".join(out)
         self.encoded += len(changed)
         left, rest = cut(self.root, first)
-        self.root = join(join(left, self._grown(changed)), cut(rest, last + 1 - first)[1])
+        self.root = join(join(left, Tree.of(self.tokenizer, changed).root), cut(rest, last + 1 - first)[1])
         return at, moved + len(changed) - (done - begin)
 
 
@@ -197,12 +203,15 @@ def counts(docs: DataFrame, edits: Callable[[str], list] = mask_edits, path: str
         tokenizer = Tokenizer(held.value)
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                text = text.as_py() or ""
-                tree, found = Tree(tokenizer, text), edits(text)
-                before = tree.total()
-                tree.apply(found)
-                rows.append((before, len(found), tree.total(), tree.encoded))
+            for some in byte_slices(batch.column("text")):
+                texts = [t or "" for t in some.to_pylist()]
+                leaves = list(map(leaves_of, texts))
+                counts = iter(tokenizer.encode_all(pa.array(chain.from_iterable(leaves), pa.string()))[1].tolist())
+                for text, mine in zip(texts, leaves, strict=True):
+                    tree, found = Tree(tokenizer, mine, list(islice(counts, len(mine)))), edits(text)
+                    before = tree.total()
+                    tree.apply(found)
+                    rows.append((before, len(found), tree.total(), tree.encoded))
             if rows:
                 told = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *told], ["doc_id", "n_tokens", "n_edits", "n_tokens_edited", "n_chars_encoded"])

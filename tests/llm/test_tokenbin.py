@@ -119,7 +119,7 @@ def test_edits_count_as_the_edited_text():
         ("word " * 1000, [(k * 5, k * 5 + 4, "longer phrase") for k in range(0, 1000, 37)]),
     ]
     for text, edits in cases:
-        tree = C.Tree(t, text)
+        tree = C.Tree.of(t, text)
         before = tree.total()
         assert before == len(t.encoding.encode_ordinary(text))
         tree.apply(edits)
@@ -141,7 +141,7 @@ def test_any_edits_count_as_the_edited_text(seed):
     rng, t = random.Random(seed), whole()
     say = lambda n: "".join(rng.choice(["a", "Bc", " ", "  ", "\n", "\t", "é", "12", "'s", "-", "\u2003", "\x1c", " word"]) for _ in range(n))
     text = say(rng.choice([0, 5, 60, 900]))
-    tree = C.Tree(t, text)
+    tree = C.Tree.of(t, text)
     for _ in range(4):
         at, edits = 0, []
         while at < len(text):
@@ -167,7 +167,7 @@ def test_any_edits_count_as_the_edited_text(seed):
 def test_encoded_again_is_linear_in_edits(make):
     text, t = "word " * 200_000, whole()
     for n in (1, 100, 5000):
-        tree, edits = C.Tree(t, text), make(n)
+        tree, edits = C.Tree.of(t, text), make(n)
         tree.apply(edits)
         assert tree.encoded <= sum(4 * 5 * C.LEAF + len(new) for _, _, new in edits)
         assert tree.encoded <= 2 * len(text)
