@@ -1,10 +1,11 @@
 """Benchmark decontamination by suffix arrays over the training words.
 
-Each batch of documents is a shard. Its suffix array holds the word suffixes that can begin a window of the benchmark:
-those whose next words, two by two, all follow one another somewhere in it. The suffixes are sorted to the depth of a
-window, every benchmark suffix is binary-searched among them, and neighbouring hits on one diagonal are joined to the
-longest verbatim matches with their places. Documents stay whole in their row, so nothing is shuffled; the benchmark
-goes to the executors in blocks of bounded size.
+Each batch of documents is a shard. Its suffix array holds the word suffixes inside stretches that windows of the
+benchmark cover; hashes of windows tell the stretches, and every word that is hit is spelled out, so no hash decides.
+Every benchmark suffix of such a window is binary-searched among them: the suffixes that share its window are one interval
+of the array, which is marked as a whole, never listed pair by pair. The longest verbatim match of a place, and where in
+the benchmark it lies, comes from its neighbours in order. Documents stay whole in their row, so nothing is shuffled; the
+benchmark goes to the executors in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import small_batches, spread, staged
-from .wordarray import LOWER, Words, hashes, split, text_bytes
+from .wordarray import Words, byte_slices, hashes, split, text_bytes
 
 WINDOW = 13
 #: A document is contaminated if hit words are at least one in so many.
@@ -31,30 +32,33 @@ BLOCK_CHARS = 16_000_000
 #: [^\x00-\x2F\x3A-\x60\x7B-\x7F]
 IS_WORD = np.array([chr(b).isdigit() or chr(b).islower() or b > 127 for b in range(128)] + [True] * 128)
 
-MATCHES = "array<struct<item_id:string,doc_word:int,item_word:int,n_words:int>>"
+MATCHES = "array<struct<doc_word:int,n_words:int,item_id:string,item_word:int>>"
 FOUND = f"n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, contaminated boolean, matches {MATCHES}"
 
 
 class Index(NamedTuple):
-    """A block of the benchmark. Windows are known by (length, rank among the sorted windows of that length)."""
+    """A block of the benchmark."""
 
     seed: int
     vocab: np.ndarray  # sorted hashes
     spelled: list[bytes]
     pairs: np.ndarray  # sorted: neighbouring words, as one number
-    sizes: list[int]
-    sorted_windows: list[np.ndarray]
-    singles: np.ndarray  # flags: the word is a window of its own
-    places: list[tuple[np.ndarray, np.ndarray]]  # for each length: ends of each window's places, the places
-    item_of: np.ndarray  # of each benchmark word
+    sizes: list[int]  # of windows
+    grams: list[np.ndarray]  # for each size: the sorted hashes of its windows
+    places: list[tuple[np.ndarray, np.ndarray]]  # for each size: ends of each hash's places, the places
+    ids: np.ndarray  # of each benchmark word
+    item_of: np.ndarray
     word_of: np.ndarray  # its number in the item
-    window_of: np.ndarray  # the length of its item's windows
     names: list[str]
 
 
-def _keys(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
-    """Suffixes of ``size`` words as bytes that sort as the words' numbers do."""
-    return np.ascontiguousarray(ids[at[:, None] + np.arange(size)].astype(">u4")).view(f"S{4 * size}")[:, 0]
+def _grams(ids: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` words from each place."""
+    h = np.full(len(at), size, np.uint64)
+    for k in range(size):
+        h = (h ^ ids[at + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def build_index(items: list[tuple[str, str | None]], window: int = WINDOW) -> Index:
@@ -72,17 +76,15 @@ def build_index(items: list[tuple[str, str | None]], window: int = WINDOW) -> In
     same = item_of[1:] == item_of[:-1]
     pairs = np.unique((ids[:-1] * len(vocab) + ids[1:])[same])
     size_of = np.minimum(counts, window)
-    sizes, sorted_windows, places = sorted(set(size_of[size_of > 0].tolist())), [], []
+    sizes, grams, places = sorted(set(size_of[size_of > 0].tolist())), [], []
     for size in sizes:
-        fits = (size_of[item_of] == size) & (word_of + size <= counts[item_of])
-        at = np.flatnonzero(fits)
-        windows, which = np.unique(_keys(ids, at, size), return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        sorted_windows.append(windows)
-        places.append((np.searchsorted(which[order], np.arange(len(windows) + 1)), at[order]))
-    singles = np.zeros(len(vocab), bool)
-    singles[ids[np.flatnonzero(size_of[item_of] == 1)]] = True
-    return Index(seed, vocab, [spelled[k] for k in first], pairs, sizes, sorted_windows, singles, places, item_of, word_of, size_of[item_of], [n for n, _ in items])
+        at = np.flatnonzero((size_of[item_of] == size) & (word_of + size <= counts[item_of]))
+        hashed = _grams(ids, at, size)
+        order = np.argsort(hashed, kind="stable")
+        distinct, begins = np.unique(hashed[order], return_index=True)
+        grams.append(distinct)
+        places.append((np.r_[begins, len(at)], at[order]))
+    return Index(seed, vocab, [spelled[k] for k in first], pairs, sizes, grams, places, ids, item_of, word_of, [n for n, _ in items])
 
 
 def _in_sorted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -93,14 +95,71 @@ def _in_sorted(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return np.where(of[at] == x, at, -1)
 
 
+def _covered(n: int, spans: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """The numbers below n that lie in some span (beginnings, size), sorted."""
+    turn = np.zeros(n + 1, np.int64)
+    for begin, size in spans:
+        np.add.at(turn, begin, 1)
+        np.add.at(turn, begin + size, -1)
+    return np.flatnonzero(np.cumsum(turn[:-1]) > 0)
+
+
+class Suffixes:
+    """The order of all suffixes of some words, by ranks of their first 1, 2, 4, ... words."""
+
+    def __init__(self, words: np.ndarray, longest: int):
+        self.n = len(words)
+        self.ranks = [np.unique(words, return_inverse=True)[1]]
+        while 1 << (len(self.ranks) - 1) < longest:
+            self.ranks.append(self._joined(self.ranks[-1], self.ranks[-1], 1 << (len(self.ranks) - 1)))
+
+    def _joined(self, rank: np.ndarray, then: np.ndarray, after: int) -> np.ndarray:
+        later = np.zeros(self.n, np.int64)
+        later[: max(0, self.n - after)] = then[after:] + 1
+        return np.unique(rank * (self.n + 1) + later, return_inverse=True)[1]
+
+    def first(self, size: int) -> np.ndarray:
+        """Ranks by the first ``size`` words; they agree with the whole order."""
+        rank, done = np.zeros(self.n, np.int64), 0
+        for k in range(len(self.ranks) - 1, -1, -1):
+            if size - done >= 1 << k:
+                rank = self._joined(rank, self.ranks[k], done)
+                done += 1 << k
+        return rank
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """How many first words the suffixes a and b share, pair by pair."""
+        out = np.zeros(len(a), np.int64)
+        for k in range(len(self.ranks) - 1, -1, -1):
+            x, y = a + out, b + out
+            inside = np.maximum(x, y) < self.n
+            same = inside & (self.ranks[k][np.where(inside, x, 0)] == self.ranks[k][np.where(inside, y, 0)])
+            out += np.where(same, 1 << k, 0)
+        return out
+
+
 class Hits(NamedTuple):
     words: np.ndarray  # numbers of the hit words
-    runs: list[tuple[int, int, int, int]]  # longest matches: item, first word, first word in the item, length
+    items: dict[int, np.ndarray]  # of each text with hits: its items
+    runs: list[tuple[int, int, int]]  # longest matches: first word, length, first word in the benchmark
+
+
+def _windows(ids: np.ndarray, follows: np.ndarray, index: Index) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the size, beginnings, numbers of their hashes) of this shard's words that hash as windows do."""
+    run = np.r_[0, np.cumsum(follows)]
+    out = []
+    for k, (size, grams) in enumerate(zip(index.sizes, index.grams, strict=True)):
+        if len(ids) >= size:
+            begin = np.flatnonzero((run[size - 1 :][: len(ids) - size + 1] - run[: len(ids) - size + 1] == size - 1) & (ids[: len(ids) - size + 1] >= 0))
+            gram = _in_sorted(_grams(ids, begin, size), grams)
+            if (gram >= 0).any():
+                out.append((k, begin[gram >= 0], gram[gram >= 0]))
+    return out
 
 
 def search(words: Words, index: Index, maybe: np.ndarray) -> Hits:
     """Binary-search the benchmark's suffixes in this shard's suffix array. maybe: flags by a hash's low bits."""
-    none = Hits(np.empty(0, np.int64), [])
+    none = Hits(np.empty(0, np.int64), {}, [])
     h = hashes(words, index.seed)
     if not len(h) or not len(index.vocab):
         return none
@@ -112,66 +171,99 @@ def search(words: Words, index: Index, maybe: np.ndarray) -> Hits:
     both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & (texts[:-1] == texts[1:]))
     follows[both[_in_sorted(ids[both] * len(index.vocab) + ids[both + 1], index.pairs) >= 0]] = True
     while True:
-        run = np.r_[0, np.cumsum(follows)]
-        at, place = [], []
-        for size, windows, (ends, places) in zip(index.sizes, index.sorted_windows, index.places, strict=True):
-            if size == 1:
-                begin = np.flatnonzero((ids >= 0) & index.singles[ids])
-            elif len(h) < size:
-                continue
-            else:
-                begin = np.flatnonzero(run[size - 1 :][: len(h) - size + 1] - run[: len(h) - size + 1] == size - 1)
-            if not len(begin):
-                continue
-            keys = _keys(ids, begin, size)
-            suffixes = np.argsort(keys, kind="stable")
-            keys = keys[suffixes]
-            low, high = np.searchsorted(keys, windows, "left"), np.searchsorted(keys, windows, "right")
-            for w in np.flatnonzero(high > low):
-                begun, there = begin[suffixes[low[w] : high[w]]], places[ends[w] : ends[w + 1]]
-                at.append(np.repeat(begun, len(there)))
-                place.append(np.tile(there, len(begun)))
-        if not at:
+        found = _windows(ids, follows, index)
+        if not found:
             return none
-        at, place = np.concatenate(at), np.concatenate(place)
-        size = index.window_of[place]
-        covered = np.zeros(len(h) + 1, np.int64)
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + size, -1)
-        hit = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
-        wrong = [k for k in hit if words.data[words.start[k] : words.start[k] + words.size[k]].tobytes() != index.spelled[ids[k]]]
+        live = _covered(len(h), [(begin, index.sizes[k]) for k, begin, _ in found])
+        wrong = [k for k in live if words.data[words.start[k] : words.start[k] + words.size[k]].tobytes() != index.spelled[ids[k]]]
         if not wrong:
             break
         ids[wrong] = -1  # another word with an equal hash
         follows[wrong] = False
         follows[np.maximum(np.array(wrong) - 1, 0)] = False
-    diagonal = at - place
-    order = np.lexsort((at, index.item_of[place], diagonal))
-    at, place, size, diagonal = at[order], place[order], size[order], diagonal[order]
-    item = index.item_of[place]
-    starts = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (item[1:] != item[:-1]) | (at[1:] > at[:-1] + size[:-1])])
-    lasts = np.r_[starts[1:], len(at)] - 1
-    return Hits(hit, list(zip(item[starts].tolist(), at[starts].tolist(), index.word_of[place[starts]].tolist(), (at[lasts] + size[lasts] - at[starts]).tolist(), strict=True)))
-
-
-def digest(n_words: int, hit: int, items: set[str]) -> tuple[int, int, int, str, bool]:
+    asked = []  # benchmark suffixes that begin with such windows
+    for k, _, gram in found:
+        ends, places = index.places[k]
+        asked.append((index.sizes[k], np.concatenate([places[ends[g] : ends[g + 1]] for g in np.unique(gram)])))
+    known = _covered(len(index.ids), [(q, size) for size, q in asked])
+
+    # Both as one sequence of words, with a mark of its own behind each stretch.
+    def stretch(of: np.ndarray, group: np.ndarray) -> np.ndarray:
+        return np.r_[(np.diff(of) != 1) | (group[of[1:]] != group[of[:-1]]), True] if len(of) else np.empty(0, bool)
+
+    ends = np.r_[stretch(live, texts), stretch(known, index.item_of)]
+    at = np.arange(len(ends)) + np.r_[0, np.cumsum(ends)[:-1]]
+    sequence = np.empty(len(ends) + int(ends.sum()), np.int64)
+    sequence[at] = np.r_[ids[live], index.ids[known]]
+    sequence[at[ends] + 1] = len(index.vocab) + np.arange(int(ends.sum()))
+    longest = int(np.diff(np.r_[-1, np.flatnonzero(ends)]).max()) + 1
+    suffixes = Suffixes(sequence, longest)
+    here, there = at[: len(live)], at[len(live) :]
+    rank = suffixes.ranks[-1]
+    array = here[np.argsort(rank[here])]  # the shard's suffix array
+    begun = np.zeros(len(sequence), bool)
+    spans, values = [], []
+    for size, q in asked:
+        first = suffixes.first(size)
+        ordered, mine = first[array], there[np.searchsorted(known, q)]
+        low, high = np.searchsorted(ordered, first[mine], "left"), np.searchsorted(ordered, first[mine], "right")
+        turn = np.zeros(len(array) + 1, np.int64)
+        np.add.at(turn, low, 1)
+        np.add.at(turn, high, -1)
+        begins = array[np.cumsum(turn[:-1]) > 0]
+        begun[begins] = True
+        place = live[np.searchsorted(here, begins)]
+        spans.append((place, size))
+        values.append((texts[place], first[begins], first[mine], index.item_of[q]))
+    hit = _covered(len(h), spans)
+    return Hits(hit, _items(values), _longest(suffixes, here[begun[here]], here, live, there, known, texts))
+
+
+def _items(values: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """Each text's items, from (texts, their windows; windows, their items): a window is looked up once for a text."""
+    out: dict[int, np.ndarray] = {}
+    for text, window, known, item in values:
+        pairs = np.unique(np.stack([known, item]), axis=1)
+        own = np.unique(np.stack([text, window]), axis=1)
+        for t in np.unique(own[0]).tolist():
+            mine = own[1][own[0] == t]
+            found = np.unique(pairs[1][_in_sorted(pairs[0], mine) >= 0])
+            out[t] = np.union1d(out[t], found) if t in out else found
+    return out
+
+
+def _longest(suffixes: Suffixes, begun: np.ndarray, here: np.ndarray, live: np.ndarray, there: np.ndarray, known: np.ndarray, texts: np.ndarray) -> list[tuple[int, int, int]]:
+    """The longest match of each place that begins a window, but of those inside another's; by neighbours in order."""
+    rank = suffixes.ranks[-1]
+    order = there[np.argsort(rank[there])]
+    k = np.searchsorted(rank[order], rank[begun])
+    below, above = order[np.maximum(k - 1, 0)], order[np.minimum(k, len(order) - 1)]
+    a, b = suffixes.common(begun, below), suffixes.common(begun, above)
+    size, where = np.maximum(a, b), np.where(a >= b, below, above)
+    place, source = live[np.searchsorted(here, begun)], known[np.searchsorted(there, where)]
+    inner = np.r_[False, (np.diff(place) == 1) & (texts[place[1:]] == texts[place[:-1]]) & (size[:-1] - 1 >= size[1:])] if len(place) else np.empty(0, bool)
+    return list(zip(place[~inner].tolist(), size[~inner].tolist(), source[~inner].tolist(), strict=True))
+
+
+def digest(n_words: int, hit: int, items: list[str]) -> tuple[int, int, int, str, bool]:
     sha = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
     return n_words, hit, len(items), sha, hit > 0 and SHARE * hit >= n_words
 
 
-def _shards(batch: pa.RecordBatch, index: Index, maybe: np.ndarray) -> tuple[list[int], list[np.ndarray], list[list[dict]]]:
-    """For each text: its number of words, its hit words, its matches."""
-    words = split(*text_bytes(batch.column("text")), IS_WORD)
-    hits = search(words, index, maybe)
-    n = np.diff(words.first)
-    cut = np.searchsorted(hits.words, words.first)
-    own = [hits.words[a:b] - f for a, b, f in zip(cut[:-1], cut[1:], words.first[:-1], strict=True)]
-    matches: list[list[dict]] = [[] for _ in n]
-    if hits.runs:
-        text_of = np.searchsorted(words.first, [r[1] for r in hits.runs], "right") - 1
-        for t, (item, at, word, size) in zip(text_of.tolist(), hits.runs, strict=True):
-            matches[t].append({"item_id": index.names[item], "doc_word": at - int(words.first[t]), "item_word": word, "n_words": size})
-    return n.tolist(), own, matches
+def _shards(batch: pa.RecordBatch, index: Index, maybe: np.ndarray) -> Iterator[tuple[int, np.ndarray, list[str], list[dict]]]:
+    """For each text: its number of words, its hit words, its items, its matches."""
+    for texts in byte_slices(batch.column("text")):
+        words = split(*text_bytes(texts), IS_WORD)
+        hits = search(words, index, maybe)
+        cut = np.searchsorted(hits.words, words.first)
+        matches: dict[int, list[dict]] = {}
+        if hits.runs:
+            for t, (at, size, source) in zip((np.searchsorted(words.first, [r[0] for r in hits.runs], "right") - 1).tolist(), hits.runs, strict=True):
+                told = {"doc_word": at - int(words.first[t]), "n_words": size, "item_id": index.names[index.item_of[source]], "item_word": int(index.word_of[source])}
+                matches.setdefault(t, []).append(told)
+        for t, n in enumerate(np.diff(words.first).tolist()):
+            items = sorted({index.names[k] for k in hits.items[t]}) if t in hits.items else []
+            yield n, hits.words[cut[t] : cut[t + 1]] - words.first[t], items, matches.get(t, [])
 
 
 def _maybe(index: Index) -> np.ndarray:
@@ -222,10 +314,14 @@ def _mapper(index: Index, schema: pa.Schema, fill: Callable) -> Callable:
 def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row (doc_id, n_words, n_hit, n_items, items_sha256, contaminated, matches) for each row of ``docs``.
 
-    matches: the longest verbatim matches, each with its item, its first word here and there, and its length in words.
+    matches: the longest verbatim match that begins at each word, but those inside another, each with its first word
+    and length here and one place where the benchmark has it; n_items and items_sha256 tell all items.
     A null or wordless text has no words and is never contaminated; a null or wordless item has no windows. Repeated
-    items count once by item_id. Rows repeated in ``docs`` are judged alike. An empty benchmark leaves all clean. One
-    block of the benchmark at a time is brought to the driver and broadcast: ``block_chars`` and at most one more item.
+    items count once by item_id. Rows repeated in ``docs``, tied in doc_id or without one are judged by their texts alone.
+    A very long text is searched whole; memory follows its length, however often its words repeat. An empty table gives no
+    rows, an empty benchmark leaves all clean. Columns other than doc_id and text are not looked at. One block of the
+    benchmark at a time is brought to the driver and broadcast: ``block_chars`` and at most one more item; blocks change
+    nothing but where a match that lies in several items is told.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -235,10 +331,9 @@ def contamination(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
         held = spark.sparkContext.broadcast(build_index(_block(dealt, blocks[0]), window))
 
         def fill(batch: pa.RecordBatch, index: Index, maybe: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-            counts, own, found = _shards(batch, index, maybe)
-            rows = [digest(n, len(hit), {m["item_id"] for m in ms}) for n, hit, ms in zip(counts, own, found, strict=True)]
+            rows = [(*digest(n, len(hit), items), matches) for n, hit, items, matches in _shards(batch, index, maybe)]
             told = [pa.array(c, schema.field(k + 1).type) for k, c in enumerate(zip(*rows, strict=True))]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *told, pa.array(found, schema.field(6).type)], schema=schema)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *told], schema=schema)
 
         return slim.mapInArrow(_mapper(held, _arrow(spark, f"doc_id bigint, {FOUND}"), fill), f"doc_id bigint, {FOUND}")
     return _keyed(docs, dealt, blocks, window).drop("_key")
@@ -253,21 +348,21 @@ def _keyed(docs: DataFrame, dealt: DataFrame, blocks: list[tuple[int, int]], win
     parts = parts_first = None
     for one in blocks:
         held = spark.sparkContext.broadcast(build_index(_block(dealt, one), window))
-        kind = f"doc_id bigint, _key bigint, n_words bigint, hit array<int>, matches {MATCHES}"
+        kind = f"doc_id bigint, _key bigint, n_words bigint, hit array<int>, items array<string>, matches {MATCHES}"
 
         def fill(batch: pa.RecordBatch, index: Index, maybe: np.ndarray, schema: pa.Schema) -> pa.RecordBatch:
-            n, own, found = _shards(batch, index, maybe)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), pa.array(n, pa.int64()), pa.array([x.tolist() for x in own], schema.field(3).type), pa.array(found, schema.field(4).type)], schema=schema)
+            told = [pa.array(c, schema.field(k + 2).type) for k, c in enumerate(zip(*_shards(batch, index, maybe), strict=True))]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_key"), *told], schema=schema)
 
         got = staged(keyed.mapInArrow(_mapper(held, _arrow(spark, kind), fill), kind), "block")
         held.destroy()
         parts_first = got if parts is None else parts_first
         parts = got if parts is None else parts.unionByName(got)
     # Repeated rows give equal lists; each block is told once for them, and the rows come back from the first block.
-    one = parts.where("size(hit) > 0").select("doc_id", "_key", "hit", "matches").distinct()
-    merged = one.groupBy("doc_id", "_key").agg(F.array_distinct(F.flatten(F.collect_list("hit"))).alias("hit"), F.flatten(F.collect_list("matches")).alias("matches"))
+    one = parts.where("size(hit) > 0").select("doc_id", "_key", "hit", "items", "matches").distinct()
+    merged = one.groupBy("doc_id", "_key").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("hit", "items", "matches")))
     first = parts_first.select("doc_id", "_key", "n_words")
-    names = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m.item_id)))
+    names = F.array_sort("items")
     n_hit = F.coalesce(F.size("hit"), F.lit(0)).cast("long")
     on = first.doc_id.eqNullSafe(merged.doc_id) & first._key.eqNullSafe(merged._key)
     return first.join(merged, on, "left").select(
@@ -289,7 +384,10 @@ def _arrow(spark, ddl: str | StructType) -> pa.Schema:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """``docs`` without the contaminated rows; columns stay as they are. With one block, a narrow pass."""
+    """``docs`` without the contaminated rows; columns, of any names, stay as they are. With one block, a narrow pass.
+
+    Nulls, empty and very long texts, repeated rows and empty tables as in ``contamination``: each row is judged by its text.
+    """
     spark = docs.sparkSession
     dealt, blocks = _dealt(bench, block_chars)
     if len(blocks) > 1:
@@ -302,7 +400,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
     held = spark.sparkContext.broadcast(build_index(_block(dealt, blocks[0]), window))
 
     def fill(batch: pa.RecordBatch, index: Index, maybe: np.ndarray, _schema: pa.Schema) -> pa.RecordBatch:
-        clean = [not digest(n, len(own), set())[4] for n, own, _ in zip(*_shards(batch, index, maybe), strict=True)]
+        clean = [not digest(n, len(hit), [])[4] for n, hit, _, _ in _shards(batch, index, maybe)]
         return batch.filter(pa.array(clean))
 
     return docs.mapInArrow(_mapper(held, None, fill), docs.schema)
@@ -310,3 +408,24 @@ def decontaminate(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block
 
 def op9_digest(docs: DataFrame, bench: DataFrame) -> DataFrame:
     return contamination(docs, bench).drop("matches")
+
+
+OP9_SQL = r"""
+with said as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w
+  from documents),
+items as (
+  select item_id::varchar as item_id, w, least(13, len(w)) as size from (
+    select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark)
+  where len(w) > 0),
+windows as (select distinct item_id, size, array_to_string(w[k : k + size - 1], ' ') as gram from (select *, unnest(range(1, len(w) - size + 2)) as k from items)),
+places as (
+  select r, k, size, array_to_string(w[k : k + size - 1], ' ') as gram from (
+    select r, w, size, unnest(range(1, len(w) - size + 2)) as k from said, (select distinct size from items))),
+met as (select r, k, p.size, item_id from places p join windows using (size, gram)),
+words as (select r, count(distinct n) as n_hit from (select r, unnest(range(k, k + size)) as n from met) group by r),
+named as (select r, count(*) as n_items, sha256(string_agg(item_id, ',' order by encode(item_id))) as sha from (select distinct r, item_id from met) group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+  coalesce(sha, sha256('')) as items_sha256, coalesce(n_hit > 0 and 20 * n_hit >= len(w), false) as contaminated
+from said left join words using (r) left join named using (r)
+"""

@@ -72,4 +72,9 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_source_mixing": mixing.OP3_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_line_dedup": linededup.OP10_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_source_mixing": mixing.OP3_SQL,
+    "op6_exact_top_k": topk.OP6_SQL,
+    "op9_decontamination": decontam.OP9_SQL,
+    "op10_line_dedup": linededup.OP10_SQL,
+}

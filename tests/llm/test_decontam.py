@@ -58,7 +58,7 @@ def test_matches_are_longest(spark):
     found = decontam.contamination(
         spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")
     ).first()
-    assert [tuple(m) for m in found.matches] == [("7", 1, 5, 20)]
+    assert [tuple(m) for m in found.matches] == [(1, 20, "7", 5)]
 
 
 @pytest.mark.parametrize("block", [16_000_000, 40])
@@ -105,3 +105,53 @@ def test_one_block_at_a_time_is_held(spark, monkeypatch):
     docs, bench = cases()
     decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), block_chars=300)
     assert len(log) > 4 and log == ["brought", "used"] * (len(log) // 2)
+
+
+def longest(words, items):
+    """The longest match at each word that begins a window, but those inside another: (word, length, its places)."""
+    out = {}
+    for p in range(len(words)):
+        for name, item in items:
+            size = min(13, len(item))
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(words) and q + n < len(item) and words[p + n] == item[q + n]:
+                    n += 1
+                if size and n >= size:
+                    out.setdefault(p, {}).setdefault(n, set()).add((name, q))
+    best = {p: max(by) for p, by in out.items()}
+    return {(p, n): out[p][n] for p, n in best.items() if best.get(p - 1, 0) - 1 < n}
+
+
+def test_longest_matches_equal_brute_force(spark):
+    docs, bench = cases()
+    docs += [(90, "go " * 60), (91, "x go go go " * 9), (92, docs[20][1] + " " + docs[21][1])]
+    bench += [(60, "go " * 40), (61, "go go go x go go go x go go go x go go go")]
+    items = [(str(i), WORD.findall(lowered(t))) for i, t in bench]
+    found = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"))
+    texts = {d: t for d, t in docs if d is not None and d != 3}
+    some = 0
+    for r in found.where("doc_id is not null and doc_id <> 3").collect():
+        want = longest(WORD.findall(lowered(texts[r.doc_id])), items)
+        got = {(m.doc_word, m.n_words): (m.item_id, m.item_word) for m in r.matches}
+        assert set(got) == set(want), r.doc_id
+        assert all(got[k] in want[k] for k in got)
+        some += len(got)
+    assert some > 30
+
+
+def test_repeated_words_stay_small():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+    from lakescreen.llm.wordarray import split, text_bytes
+
+    index = decontam.build_index([("a", "go " * 200_000), ("b", "we go on " * 20)])
+    words = split(*text_bytes(pa.array(["go " * 200_000, "we go on " * 10])), decontam.IS_WORD)
+    tracemalloc.start()
+    hits = decontam.search(words, index, decontam._maybe(index))
+    assert tracemalloc.get_traced_memory()[1] < 500e6
+    tracemalloc.stop()
+    assert len(hits.words) == 200_030 and hits.items[0].tolist() == [0] and hits.items[1].tolist() == [1]
+    assert hits.runs == [(0, 200_000, 0), (200_000, 30, hits.runs[1][2])] and np.isin(hits.runs[1][2], 200_000 + np.arange(60))
