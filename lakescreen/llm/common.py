@@ -89,12 +89,18 @@ def with_columns_free(df: DataFrame, *names: str) -> DataFrame:
     return df.drop(*[c for c in df.columns if c.lower() in taken])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    return [next(f"_{n}{k or ''}" for k in range(len(taken) + 1) if f"_{n}{k or ''}" not in taken) for n in names]
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of ``edges`` (a, b) of any one ordered type: rows (node, root), root the least node.
 
     Alternating large-star and small-star rounds, each a minimum by key and a join back; a round's edges are written to
-    the shared folder. A node of very many edges is pre-aggregated for its minimum, and the join back can be split.
-    Nodes without an edge are not returned.
+    the shared folder. A node of very many edges is pre-aggregated for its minimum; minima are written before they are
+    joined back, so that such a node can be split there. Nodes without an edge are not returned.
     """
     now = staged(
         edges.where("a is not null and b is not null and a <> b")
@@ -105,9 +111,9 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     before = None
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = staged(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        large = staged(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "large")
+        least = staged(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         moved = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = staged(moved.unionByName(least.withColumnRenamed("m", "b")).distinct(), "stars")
         state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

@@ -2,12 +2,11 @@
 
 A run of consecutive lines of at least ``least`` words that has occurred earlier, in the order (doc_id, text hash, line),
 is removed. Each line begins a window: the fewest lines from there that hold ``least`` words; and each ends one, read
-backwards. Every repeated run of that length is covered by windows inside it, both ways, so windows that have occurred
-earlier are exactly what is to be removed, and extending a match line by line is joining its windows.
-
-Winnowing keeps the windows few: each selects the least line hash in it, and as equal windows select equal lines, a
-window whose selected fingerprint occurs at one place of the corpus only can have no match. What is left is joined by
-content with the first place of that content, never with all of them.
+backwards. Winnowing selects the least line hash of each window: its line is a fingerprint, kept once for all windows that
+select it. Equal windows select equal lines, so every repeated run has a fingerprint at two places at least: fingerprints
+at one place only are left out by a join on their positions. From each of the others the match is extended both ways, over
+the windows around it: a window is looked up by its content at the first place that has it, never at all of them, and
+windows that lie in or at one another join to the longest run.
 """
 
 from __future__ import annotations
@@ -15,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread, staged, with_columns_free
+from .common import free_names, spread, staged, with_columns_free
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEAST = 50
@@ -39,10 +38,10 @@ def lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def windows(of: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, t, first, last, chosen, at, c, d) of each window of ``least`` words, once.
+def fingerprints(of: DataFrame, least: int = LEAST) -> DataFrame:
+    """(doc_id, t, at, chosen, around) of each line that some window selects.
 
-    chosen, at: the line hash that the window selects, its least, and that line; c, d: the window's content.
+    chosen: its hash, the least of the window; around: the windows (first, last, c, d) that select it, c and d their content.
     """
     doc = Window.partitionBy("doc_id", "t")
     lines_ = of.groupBy("doc_id", "t", "line").agg(*(F.first(c).alias(c) for c in ("words", "h", "g")))
@@ -70,14 +69,17 @@ def windows(of: DataFrame, least: int = LEAST) -> DataFrame:
         way(behind, words.over(behind) - F.col("words") >= least).alias("b"),
     )
     each = both.select("doc_id", "t", F.explode(F.filter(F.array("a", "b"), lambda w: w["full"])).alias("w"))
-    return each.select("doc_id", "t", "w.first", "w.last", F.col("w.least.h").alias("chosen"), F.col("w.least.line").alias("at"), "w.c", "w.d")
+    # Rows lie by document already; a fingerprint has as many windows as lines of ``least`` words hold, at most twice.
+    return each.groupBy("doc_id", "t", F.col("w.least.line").alias("at"), F.col("w.least.h").alias("chosen")).agg(
+        F.collect_list(F.struct("w.first", "w.last", "w.c", "w.d")).alias("around")
+    )
 
 
 def repeated_windows(of: DataFrame) -> DataFrame:
     """Windows whose content has an earlier place: (doc_id, t, first, last, from_doc, from_line)."""
-    place = F.xxhash64("doc_id", "t", "at")
-    many = of.groupBy("chosen").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("chosen")
-    live = staged(of.join(many, "chosen", "left_semi").select("doc_id", "t", "first", "last", "c", "d"), "live")
+    # Written first, so that a fingerprint of very many places can be split in the join.
+    many = staged(of.groupBy("chosen").agg(F.count("*").alias("n")).where("n > 1").select("chosen"), "many")
+    live = staged(of.join(many, "chosen").select("doc_id", "t", F.explode("around").alias("w")).select("doc_id", "t", "w.*"), "live")
     earliest = live.groupBy("c", "d").agg(F.min(F.struct("doc_id", "t", "first")).alias("from"), F.count("*").alias("n"))
     # Written first, so that a content of very many places can be split in the join.
     matched = live.join(staged(earliest.where("n > 1").drop("n"), "earliest"), ["c", "d"])
@@ -89,7 +91,7 @@ def repeated_windows(of: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, t, runs): for each document in which runs repeat earlier ones, the runs (first, last) in order."""
-    found = staged(windows(lines(docs), least), "windows")
+    found = staged(fingerprints(lines(docs), least), "fingerprints")
     doc = Window.partitionBy("doc_id", "t")
     order = doc.orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -104,13 +106,17 @@ def dedup_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     runs: the removed lines as ``first-last`` from 0, comma-joined. Lines are compared with white space collapsed; a
     blank line is never part of a run's count, and goes if it lies inside a removed window. The first place of a run
-    stays, and so do runs of fewer than ``least`` words. A null text stays null and has 0 lines. Rows with equal doc_id
-    and text are one document and are edited alike. Columns of the added names are replaced.
+    stays, and so do runs of fewer than ``least`` words. A null text stays null and has 0 lines; an empty one has one. Rows
+    with equal doc_id and text are one document and are edited alike; of texts tied in doc_id, or without one, that of the
+    least hash comes first, and a missing doc_id before all. A very long text is one row when it is split and put together,
+    and many rows, by line, in between. An empty table gives no rows. Columns of the added names are replaced; others may
+    have any names.
     """
-    found = repeated_lines(docs, least).select(F.col("doc_id").alias("_d"), F.col("t").alias("_t"), "runs")
     rows = with_columns_free(docs, "n_lines", "n_removed", "runs")
-    keyed = rows.withColumn("_h", F.xxhash64("text"))
-    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
+    key, doc, text = free_names(docs, "key", "doc", "text")
+    found = repeated_lines(docs, least).select(F.col("doc_id").alias(doc), F.col("t").alias(text), "runs")
+    keyed = rows.withColumn(key, F.xxhash64("text"))
+    joined = keyed.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.col(key) == F.col(text)), "left")
     gone = F.when(F.col("runs").isNull(), F.array().cast("array<int>")).otherwise(
         F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"])))
     )

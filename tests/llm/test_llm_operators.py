@@ -61,9 +61,40 @@ def near_cases():
     return [(k * 3 % 101 if k != 7 else None, t, k) for k, t in enumerate(texts)]
 
 
+def close(values):
+    return [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 3]
+
+
+def test_any_five_shared_bytes_meet_in_a_list():
+    assert (simhash.FIRST_COMBO[simhash.SHARED >= 5] >= 0).all()
+    assert len(simhash.COMBOS) == 8
+
+
+@pytest.mark.parametrize(("near", "crowd"), [(64, 4096), (2, 4096), (2, 3)])
+def test_links_of_crowded_lists_connect_as_all_links(monkeypatch, near, crowd):
+    """All pairs compared, split lists, and stars give the same components."""
+    monkeypatch.setattr(simhash, "NEAR", near)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(near + crowd)
+    values = set()
+    for _ in range(6):
+        base = rng.getrandbits(64)
+        for _ in range(60):
+            values.add(base)
+            base ^= sum(1 << b for b in rng.sample(range(64), rng.choice([1, 2, 3, 4])))
+        values |= {base ^ sum(1 << b for b in rng.sample(range(24), rng.choice([1, 2, 3, 4, 5]))) for _ in range(40)}
+    values = sorted(values)
+    table = pa.RecordBatch.from_arrays([pa.array(np.array(values, np.uint64).view(np.int64))], ["fp"])
+    posted = pa.Table.from_batches(list(simhash._postings(iter([table])))).sort_by([("key", "ascending"), ("fp", "ascending")])
+    place = {v: k for k, v in enumerate(values)}
+    told = [b for b in simhash._links(iter(posted.to_batches(max_chunksize=97)))]
+    pairs = [(place[a & (1 << 64) - 1], place[b & (1 << 64) - 1]) for r in told for a, b in zip(r.column("a").to_pylist(), r.column("b").to_pylist(), strict=True)]
+    assert union(len(values), pairs) == union(len(values), close(values))
+
+
 def test_simhash_equals_brute_force(spark):
     rows = near_cases() + near_cases()[:3]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("component_id", F.lit("x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp int").withColumn("component_id", F.lit("x")).withColumn("_key", F.lit("k"))
     prints = [print_of(t) for _, t, _ in rows]
     pairs = [(i, j) for i in range(len(rows)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 3]
     comp = union(len(rows), pairs)
@@ -73,6 +104,7 @@ def test_simhash_equals_brute_force(spark):
     assert got == want
     kept = simhash.drop_near_duplicates(docs)
     assert kept.columns == docs.columns
+    assert {r._key for r in kept.select("_key").distinct().collect()} == {"k"}
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(ids, key=repr) == sorted(least.values(), key=repr)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
@@ -91,13 +123,16 @@ def test_crowded_lists_lose_no_link():
 
 
 def test_lists_are_bridged_over_batches():
-    key = np.repeat(np.arange(5, dtype=np.uint64) << np.uint64(0), [1, 30, 2, 1, 40])
-    fp = np.r_[[7], np.arange(30), [1000, 1001], [5], np.arange(40) * 2].astype(np.uint64)
+    sizes = [1, 30, 2, 1, 90]
+    of = np.repeat(np.arange(5, dtype=np.uint64), sizes)
+    key = of << np.uint64(16)
+    fp = np.concatenate([np.arange(n, dtype=np.uint64) << np.uint64(56) for n in sizes]) | of
     whole = pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fp.view(np.int64))], ["key", "fp"])
     parts = [whole.slice(k, 7) for k in range(0, len(key), 7)]
     told = lambda batches: {frozenset(p) for x in simhash._links(iter(batches)) for p in zip(*(c.to_pylist() for c in x.columns), strict=True)}
-    linked = lambda pairs: union(2000, [tuple(p) for p in pairs if len(p) == 2])
-    assert linked(told(parts)) == linked(told([whole]))
+    place = {v: k for k, v in enumerate(fp.view(np.int64).tolist())}
+    linked = lambda pairs: union(len(fp), [tuple(place[x] for x in p) for p in pairs])
+    assert linked(told(parts)) == linked(told([whole])) == union(len(fp), [(i, j) for i, j in close(fp.tolist()) if of[i] == of[j]])
 
 
 # ---- mixing -----------------------------------------------------------------------------------------------------------
@@ -184,7 +219,10 @@ def test_line_dedup_equals_brute_force(spark, least):
     rows = line_cases()
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_lines", F.lit("clash"))
     want = removed(rows, least)
-    for r in linededup.dedup_lines(docs, least).collect():
+    docs = docs.withColumn("_key", F.lit("k")).withColumn("_d", F.lit(1)).withColumn("_t", F.lit(2))
+    cleaned = linededup.dedup_lines(docs, least)
+    assert cleaned.select("_key", "_d", "_t").distinct().count() == 1
+    for r in cleaned.collect():
         text = dict(rows)[r.doc_id]
         gone = want.get(r.doc_id, set())
         lines = (text or "").split("\n")
