@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import is_scan, remove_at_exit, shared_dir, small_batches, spread, staged
+from .common import is_scan, open_folder, remove_at_exit, shared_dir, small_batches, spread, staged
 from .wordarray import Words, byte_slices, hashes, text_bytes
 
 LENGTH = 1024
@@ -227,11 +227,6 @@ def _places(counted: DataFrame) -> tuple[DataFrame, int]:
     return placed.select("part", "at", "t", (F.col("base") + F.col("inner")).cast("long").alias("first")), int(total)
 
 
-def open_folder(uri: str) -> tuple[filesystems.FileSystem, str]:
-    """The file system of a folder, local or shared, and the folder's path there."""
-    return filesystems.FileSystem.from_uri(uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri)
-
-
 def _first_ids(folder: str, part: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and text hashes of the documents of a partition, in its order."""
     system, path = open_folder(f"{folder}/part={part}")

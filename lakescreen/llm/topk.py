@@ -3,28 +3,37 @@
 A vector is cut into segments; over each, the squared distance of two vectors is at least
 size * ((difference of means)**2 + (difference of deviations)**2). With |q - v|**2 = |q|**2 + |v|**2 - 2 q.v, a bound from
 below on the distance bounds the inner product from above. A candidate whose bound at some resolution is under the query's
-k-th best exact score so far goes no further; those that survive all resolutions get their exact score.
+bar goes no further; those that survive all resolutions get their exact score. The bar is the query's k-th best exact
+score so far; it starts from a sample of the rows, so bounds already spare a task's first candidates.
+
+Vectors without a telling order of components, such as independent ones of equal size, need fine segments: 4 and 16 of
+64 components spare nothing there, 32 about three pairs in four, 48 all but a few in a hundred.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyarrow import fs as filesystems
+from pyarrow import parquet
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import spread, staged
+from .common import open_folder, remove_at_exit, shared_dir, spread, staged
 
 K = 5
 EVERY = 50
 SCALE = 256
-#: Numbers of segments, coarse to fine.
-RESOLUTIONS = (4, 16)
-#: Queries sent to the executors at once, and candidates compared with them at a time.
-QUERY_ROWS, BLOCK = 2048, 1024
+#: Segments for each component, coarse to fine.
+RESOLUTIONS = (1 / 16, 1 / 4, 1 / 2, 3 / 4)
+#: Queries that a task holds at once, candidates that it holds, and candidates compared at a time.
+QUERY_ROWS, CHUNK, BLOCK = 2048, 1 << 16, 1024
+#: Rows of the sample that sets the first bars.
+SEEDS = 4096
 #: Below this, sums of products are exact in double precision.
 EXACT = 2.0**53
 
@@ -50,58 +59,75 @@ def _gap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
 
 
-def _dot(q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Exact inner products of paired rows; beyond double precision, by whole numbers, held within 64 bits."""
+def _exact(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Exact inner products of all rows of q with all of v; beyond double precision, by whole numbers, held within 64 bits."""
     if np.abs(q).max(initial=0) * np.abs(v).max(initial=0) * q.shape[1] < EXACT:
-        return np.einsum("ij,ij->i", q, v).astype(np.int64)
-    whole = [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q, v, strict=True)]
-    return np.array([max(-(2**63), min(2**63 - 1, s)) for s in whole], np.int64)
+        return (q @ v.T).astype(np.int64)
+    whole = [[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in v] for x in q]
+    return np.array([[max(-(2**63), min(2**63 - 1, s)) for s in row] for row in whole], np.int64).reshape(len(q), len(v))
+
+
+def bars(ids: np.ndarray, q: np.ndarray, seed_ids: np.ndarray, seeds: np.ndarray, k: int) -> np.ndarray:
+    """For each query the k-th best score among the seeds, none with its own id; the least number without k of them."""
+    out = np.full(len(ids), -(2**63), np.int64)
+    if len(seeds) > k:
+        score = np.where(ids[:, None] == seed_ids[None], -(2**63), _exact(q, seeds))
+        out = np.partition(score, -k, axis=1)[:, -k]
+    return out
 
 
 class Best:
-    """The k best (score, vec_id) of each query so far."""
+    """The k best (score, vec_id) of each query so far; ``bar``: scores that the k-th best reaches anyhow."""
 
-    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, bar: np.ndarray | None = None):
         self.ids, self.q, self.k = ids, q, k
+        self.bar = np.full(len(ids), -(2**63), np.int64) if bar is None else bar
         self.norm = (q * q).sum(1)
-        self.levels = [statistics(q, s) for s in RESOLUTIONS] if q.shape[1] else []
+        self.cuts = sorted({max(1, round(q.shape[1] * share)) for share in RESOLUTIONS}) if q.shape[1] else []
+        self.levels = [statistics(q, n) for n in self.cuts]
         self.score = np.full((len(ids), k), -(2**63), np.int64)
         self.vec = np.full((len(ids), k), 2**63 - 1, np.int64)
         self.filled = np.zeros(len(ids), int)
-        self.exact = 0
+        self.exact = 0  # pairs that no bound has spared
 
     def see(self, ids: np.ndarray, v: np.ndarray) -> None:
         for at in range(0, len(ids), BLOCK):
             self._see(ids[at : at + BLOCK], v[at : at + BLOCK])
 
     def _see(self, ids: np.ndarray, v: np.ndarray) -> None:
-        bar = np.where(self.filled >= self.k, self.score[:, -1].astype(float), -np.inf)
-        most = (self.norm[:, None] + (v * v).sum(1)[None]) / 2
-        alive = np.ones((len(self.ids), len(ids)), bool)
-        slack = 1e-9 * (np.abs(most) + 1)
-        for segments, (_, mean, deviation) in zip(RESOLUTIONS, self.levels, strict=False):
-            _, m, d = statistics(v, segments)
-            bound = most - (_gap(mean, m) + _gap(deviation, d)) / 2
-            alive &= bound + slack >= bar[:, None]
-            if not alive.any():
+        bar = np.maximum(self.bar, np.where(self.filled >= self.k, self.score[:, -1], -(2**63))).astype(float)
+        rows, columns = np.arange(len(self.ids)), np.arange(len(ids))
+        norm = (v * v).sum(1)
+        alive = self.ids[:, None] != ids[None]
+        for n, (_, mean, deviation) in zip(self.cuts, self.levels, strict=True):
+            # Only queries and candidates that have a pair left are looked at more closely.
+            rows, columns = rows[alive.any(1)], columns[alive.any(0)]
+            alive = alive[np.ix_(alive.any(1), alive.any(0))]
+            if not alive.size:
                 return
-        alive &= self.ids[:, None] != ids[None]
-        for block in np.array_split(np.arange(len(self.ids)), max(1, len(self.ids) // 64)):
-            qi, vi = np.nonzero(alive[block])
-            if not len(qi):
+            most = (self.norm[rows][:, None] + norm[columns][None]) / 2
+            _, m, d = statistics(v[columns], n)
+            bound = most - (_gap(mean[rows], m) + _gap(deviation[rows], d)) / 2
+            alive &= bound + 1e-9 * (most + 1) >= bar[rows][:, None]
+        at, of = np.nonzero(alive)
+        if not len(at):
+            return
+        self.exact += len(at)
+        scores = _exact(self.q[rows], v[columns])
+        alive &= scores >= bar[rows][:, None]
+        for block in np.array_split(np.arange(len(rows)), max(1, len(rows) // 64)):
+            at, of = np.nonzero(alive[block])
+            if not len(at):
                 continue
-            qi = block[qi]
-            self.exact += len(qi)
-            score = _dot(self.q[qi], v[vi])
-            rows = np.unique(qi)
-            q_all = np.r_[np.repeat(rows, self.k), qi]
-            s_all, v_all = np.r_[self.score[rows].ravel(), score], np.r_[self.vec[rows].ravel(), ids[vi]]
+            mine = rows[block[at]]
+            own = np.unique(mine)
+            q_all = np.r_[np.repeat(own, self.k), mine]
+            s_all, v_all = np.r_[self.score[own].ravel(), scores[block[at], of]], np.r_[self.vec[own].ravel(), ids[columns[of]]]
             order = np.lexsort((v_all, ~s_all, q_all))  # ~s falls as s rises, without overflow
             q_all, s_all, v_all = q_all[order], s_all[order], v_all[order]
-            first = np.searchsorted(q_all, rows)
-            take = first[:, None] + np.arange(self.k)
-            self.score[rows], self.vec[rows] = s_all[take], v_all[take]
-            self.filled[rows] = np.minimum(self.k, self.filled[rows] + np.bincount(np.searchsorted(rows, qi), minlength=len(rows)))
+            take = np.searchsorted(q_all, own)[:, None] + np.arange(self.k)
+            self.score[own], self.vec[own] = s_all[take], v_all[take]
+            self.filled[own] = np.minimum(self.k, self.filled[own] + np.bincount(np.searchsorted(own, mine), minlength=len(own)))
 
     def rows(self) -> list[np.ndarray]:
         q, k = np.nonzero(np.arange(self.k) < self.filled[:, None])
@@ -119,41 +145,73 @@ def _matrix(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def search(vectors: DataFrame, every: int = EVERY, k: int = K, query_rows: int = QUERY_ROWS) -> DataFrame:
+def _queries(folder: str, block: int, k: int) -> dict[int, Best]:
+    """The queries of a block, by length, ready to see candidates."""
+    system, path = open_folder(f"{folder}/block={block}")
+    if system.get_file_info(path).type == filesystems.FileType.NotFound:
+        return {}
+    names = [f.path for f in system.get_file_info(filesystems.FileSelector(path)) if f.path.endswith(".parquet")]
+    rows = pa.concat_tables(parquet.ParquetFile(system.open_input_file(n)).read() for n in names).combine_chunks()
+    ids, bar = rows.column("vec_id").to_numpy(), rows.column("bar").to_numpy()
+    return {m.shape[1]: Best(ids[at], m, k, bar[at]) for at, m in _matrix(rows.column("v").combine_chunks())}
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Table]:
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
+def search(vectors: DataFrame, every: int = EVERY, k: int = K, query_rows: int = QUERY_ROWS, seeds: int = SEEDS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each vector whose vec_id is divisible by ``every``, the k best others.
 
     Score: integer inner product; ties go to the smaller vec_id. Vectors are compared with those of equal length; null
-    ones, those with null or non-finite components, and those without vec_id take no part. Rows repeated with one vec_id
-    are candidates one by one, and no row is a candidate for its own vec_id; a repeated query asks once, with its vector
-    of the least hash. Queries go to the executors in blocks of ``query_rows``, each against all rows.
+    ones, those with null or non-finite components, and those without vec_id take no part; very long ones are as others.
+    Rows repeated with one vec_id are candidates one by one, and no row is a candidate for its own vec_id; a repeated query
+    asks once, with its vector of the least hash. An empty table gives no rows. Columns other than vec_id and embedding
+    are not looked at. Queries lie in the shared folder in blocks of about ``query_rows``; a task holds a chunk of the
+    candidates and reads the blocks one by one. ``seeds`` rows, those of the least hashes, only set the first bars.
     """
     spark = vectors.sparkSession
     held = staged(integers(spread(vectors)), "vectors")
     asked = held.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by("v", F.xxhash64("v")).alias("v"))
-    asked = staged(asked, "queries")
-    n = -(-asked.count() // query_rows)
-    found = None
-    for block in range(max(1, n)):
-        of = asked if n <= 1 else asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == block)
-        # One block of the stated query set: about ``query_rows`` vectors.
-        queries = spark.sparkContext.broadcast(of.toArrow())
-
-        def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            asked_ = queries.value.combine_chunks()
-            ids = asked_.column("vec_id").to_numpy()
-            lists = asked_.column("v").combine_chunks() if asked_.num_rows else None
-            best = {m.shape[1]: Best(ids[rows], m, k) for rows, m in _matrix(lists)} if asked_.num_rows else {}
-            for batch in batches:
-                if batch.num_rows:
-                    own = batch.column("vec_id").to_numpy()
-                    for rows, m in _matrix(batch.column("v")):
-                        if m.shape[1] in best:
-                            best[m.shape[1]].see(own[rows], m)
-            for b in best.values():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in b.rows()], ["query_id", "vec_id", "score"])
-
-        part = held.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        found = part if found is None else found.unionByName(part)
+    sample = spark.sparkContext.broadcast(held.orderBy(F.xxhash64("vec_id", "v")).limit(seeds).toArrow())
+
+    def barred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = sample.value.combine_chunks()
+        seed_ids = known.column("vec_id").to_numpy()
+        by_size = {m.shape[1]: (seed_ids[rows], m) for rows, m in _matrix(known.column("v").combine_chunks())} if known.num_rows else {}
+        for batch in batches:
+            bar, ids = np.full(batch.num_rows, -(2**63), np.int64), batch.column("vec_id").to_numpy()
+            for rows, m in _matrix(batch.column("v")) if batch.num_rows else []:
+                if m.shape[1] in by_size:
+                    bar[rows] = bars(ids[rows], m, *by_size[m.shape[1]], k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bar)], ["vec_id", "v", "bar"])
+
+    ready = staged(asked.mapInArrow(barred, "vec_id bigint, v array<double>, bar bigint"), "queries")
+    blocks = max(1, -(-ready.count() // query_rows))
+    folder = f"{shared_dir(spark).rstrip('/')}/staged/query-blocks-{uuid.uuid4().hex}"
+    remove_at_exit(spark, folder)
+    ready.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).repartition("block").write.partitionBy("block").parquet(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, CHUNK):
+            own = chunk.column("vec_id").to_numpy()
+            candidates = _matrix(chunk.column("v").combine_chunks())
+            for block in range(blocks):
+                best = _queries(folder, block, k)
+                for rows, m in candidates:
+                    if m.shape[1] in best:
+                        best[m.shape[1]].see(own[rows], m)
+                for b in best.values():
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in b.rows()], ["query_id", "vec_id", "score"])
+
+    found = held.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -260,20 +260,27 @@ def test_top_k_equals_brute_force(spark):
     assert topk.search(frame.limit(0)).count() == 0
 
 
-def test_bounds_spare_exact_scores():
-    rng = np.random.default_rng(5)
-    v = np.floor(rng.normal(size=(4000, 64)).cumsum(1) * 50)
-    best = topk.Best(np.arange(4), v[:4], 5)
+def isotropic(n):
+    v = np.random.default_rng(6).normal(size=(n, 64))
+    return np.floor(256 * v / np.sqrt((v * v).sum(1))[:, None])
+
+
+@pytest.mark.parametrize(("make", "share"), [(lambda n: np.floor(np.random.default_rng(5).normal(size=(n, 64)).cumsum(1) * 50), 0.2), (isotropic, 0.2)])
+@pytest.mark.parametrize("seeded", [True, False])
+def test_bounds_spare_exact_scores(make, share, seeded):
+    v = make(8000)
+    ids, q = np.arange(4), v[:4]
+    best = topk.Best(ids, q, 5, topk.bars(ids, q, np.arange(1000, 3000), v[1000:3000], 5) if seeded else None)
     best.see(np.arange(len(v)), v)
-    assert best.exact < 4 * len(v) / 2
+    assert best.exact < 4 * len(v) * (share if seeded else share + 1024 / 8000)
     scores = v[:4] @ v.T
-    for q in range(4):
-        order = sorted((-scores[q, k], k) for k in range(len(v)) if k != q)[:5]
-        assert [(-s, k) for s, k in order] == list(zip(best.score[q].tolist(), best.vec[q].tolist(), strict=True))
+    for k in range(4):
+        order = sorted((-scores[k, n], n) for n in range(len(v)) if n != k)[:5]
+        assert [(-s, n) for s, n in order] == list(zip(best.score[k].tolist(), best.vec[k].tolist(), strict=True))
 
 
 def test_scores_beyond_double_are_whole():
-    assert topk._dot(np.array([[2.0**40 + 1, 1.0]]), np.array([[2.0**20 + 1, 3.0]])).tolist() == [(2**40 + 1) * (2**20 + 1) + 3]
+    assert topk._exact(np.array([[2.0**40 + 1, 1.0]]), np.array([[2.0**20 + 1, 3.0]])).tolist() == [[(2**40 + 1) * (2**20 + 1) + 3]]
 
 
 # ---- toxicity ---------------------------------------------------------------------------------------------------------
