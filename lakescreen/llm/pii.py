@@ -1,18 +1,22 @@
 """Personal data by weak supervision: labelers vote on candidate spans, expectation-maximisation weighs them.
 
 Base spans are what the contract's patterns and checks accept; they always stay. Looser patterns give further candidates
-of the same kinds. Three families of labelers vote on every candidate, yes, no or nothing: patterns (shape and checks),
-gazetteers (known endings, prefixes, placeholders) and context (words before the span). Votes of all candidates of the
-corpus are counted by pattern of votes, expectation-maximisation on those counts estimates each labeler's reliability,
-and the resulting probabilities train a logistic classifier over the candidates' features, which judges the spans.
+of the same kinds: written-out addresses, bracketed or overflowing quads, long numbers that fail a check, local numbers.
+Three families of labelers vote on every candidate, yes, no or nothing: patterns (shape and checks), gazetteers (known
+endings, prefixes, placeholders) and context (words before the span). Votes of all candidates of the corpus are counted by
+pattern of votes, and expectation-maximisation on those counts estimates each labeler's reliability. The probabilities that
+follow teach a logistic classifier that does not see the votes but the text: the span's shape and the words around it,
+hashed. It judges the spans that no base pattern accepts.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +29,10 @@ KINDS = ("email", "ip", "card", "phone")
 #: A candidate's probability from which it is a span.
 ACCEPT = 0.9
 ROUNDS = 50
+#: Candidates of a kind that teach the classifier, at most; those of the least hashes.
+SAMPLE = 20_000
+#: Features of a candidate: the number of them for each kind, and buckets of hashed words before and after the span.
+FEATURES, BEFORE, AFTER_ = 160, 64, 32
 
 # The contract's patterns. A digit before a run of digits never begins another match, so looking back keeps
 # long runs linear.
@@ -41,6 +49,7 @@ DOTTED_CARD = re.compile(r"(?<![0-9.])[0-9]{4}(?:[.– ][0-9]{4}){3}(?![0-9.])"
 LOCAL_PHONE = re.compile(r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z-])")
 #: With what a text must hold for the pattern to match.
 LOOSE = (("email", OBFUSCATED, re.compile(r"[\[(] ?(?:at|AT) ?[\])]")), ("ip", DASHED_IP, re.compile(r"\[\.\]")), ("card", DOTTED_CARD, None), ("phone", LOCAL_PHONE, None))
+WORDS = re.compile(r"[^\W_]+")
 
 # Gazetteers.
 TOP_LABELS = frozenset("com org net edu gov int info biz io de fr es uk no se dk fi it nl be ch at pl eu us ca au jp cn br in ru".split())
@@ -129,33 +138,66 @@ def votes(text: str, kind: str, start: int, end: int, base: bool) -> str:
     return "".join(map(str, (2 if base else 0, shape, checks, gazetteer, placeholder, context, counter)))
 
 
-def candidates(text: str) -> list[tuple[str, int, int, bool, str]]:
-    """(kind, start, end, base, votes) of base spans and of looser ones that overlap none of their kind."""
-    out = [(k, a, b, True, votes(text, k, a, b, True)) for k, a, b in base_spans(text)]
-    for kind, pattern, needs in LOOSE:
-        if needs and not needs.search(text):
-            continue
-        taken = [(a, b) for k, a, b, *_ in out if k == kind]  # in order, none over another
-        starts = [a for a, _ in taken]
-        for m in pattern.finditer(text):
-            before = bisect_left(starts, m.end()) - 1
-            if before < 0 or taken[before][1] <= m.start():
-                out.append((kind, m.start(), m.end(), False, votes(text, kind, m.start(), m.end(), False)))
-    return sorted(out, key=lambda c: (KINDS.index(c[0]), c[1]))
+def _failed(text: str) -> Iterator[tuple[str, int, int]]:
+    """What matches a base pattern, or nearly, and fails its check."""
+    for m in IP.finditer(text):
+        if any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or 0) > 255 for p in m[0].split(".")):
+            yield "ip", m.start(), m.end()
+    for m in CARD.finditer(text):
+        if m.end() - m.start() >= 13:
+            n = sum(c.isdigit() for c in m[0])
+            if 13 <= n <= 19 and not (n >= 16 and luhn("".join(c for c in m[0] if c.isdigit()))):
+                yield "card", m.start(), m.end()
+
+
+def features(text: str, start: int, end: int) -> list[int]:
+    """Numbers of the features that a span has: its shape, its neighbours, the words around it."""
+    said, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 24]
+    digits, letters = sum(c.isdigit() for c in said), sum(c.isalpha() for c in said)
+    out = [0, 1 + min(len(said) // 4, 9), 11 + min(digits, 19), 31 + min(letters // 4, 4)]
+    out += [36 + k for k, c in enumerate(" -.()+@[#/") if c in said]
+    out += [46 + (0 if not c else 1 if c.isalnum() else 2 if c.isspace() else 3) for c in (before[-1:],)]
+    out += [50 + (0 if not c else 1 if c.isalnum() else 2 if c.isspace() else 3) for c in (after[:1],)]
+    out += [54 + min(len({c for c in said if c.isdigit()}), 5)]
+    out += sorted({60 + zlib.crc32(w.lower().encode()) % BEFORE for w in WORDS.findall(before)[-4:]})
+    out += sorted({60 + BEFORE + zlib.crc32(w.lower().encode()) % AFTER_ for w in WORDS.findall(after)[:2]})
+    return out
+
+
+def candidates(text: str) -> list[tuple[str, int, int, bool, str, list[int]]]:
+    """(kind, start, end, base, votes, features) of base spans and of looser ones that overlap none of them."""
+    base = base_spans(text)
+    taken = []  # stretches of base spans of any kind, in order, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in base):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    starts = [a for a, _ in taken]
+    loose: set[tuple[str, int, int]] = set()
+    found = chain(_failed(text), ((kind, m.start(), m.end()) for kind, pattern, needs in LOOSE if not needs or needs.search(text) for m in pattern.finditer(text)))
+    for kind, a, b in found:
+        k = bisect_left(starts, b) - 1
+        if k < 0 or taken[k][1] <= a:
+            loose.add((kind, a, b))
+    rows = [(*s, True) for s in base] + [(*s, False) for s in loose]
+    rows.sort(key=lambda c: (KINDS.index(c[0]), *c[1:3]))
+    return [(k, a, b, held, votes(text, k, a, b, held), features(text, a, b)) for k, a, b, held in rows]
 
 
 class Judge:
-    """A logistic classifier for each kind over votes, and the reliabilities that taught it."""
+    """Reliabilities of the labelers of each kind, from counts of votes; and the classifiers that they teach."""
 
     def __init__(self, counts: dict[tuple[str, str], int]):
-        self.weights, self.reliability, self.chances = {}, {}, {}
+        self.reliability, self.chances = {}, {}
+        self.weights = np.zeros((len(KINDS), FEATURES))
+        self.weights[:, 0] = -20  # a kind that nothing has taught accepts nothing
         for kind in KINDS:
             rows = sorted((v, n) for (k, v), n in counts.items() if k == kind)
             if rows:
-                self._fit(kind, rows)
-                self.chances |= {f"{kind}:{v}": self.probability(kind, v) for v, _ in rows}
+                self._weigh(kind, rows)
 
-    def _fit(self, kind: str, rows: list[tuple[str, int]]) -> None:
+    def _weigh(self, kind: str, rows: list[tuple[str, int]]) -> None:
         seen = np.array([[int(c) for c in v] for v, _ in rows])
         n = np.array([m for _, m in rows], float)
         # p[class, labeler, vote], begun with labelers that are right three times in four.
@@ -172,40 +214,44 @@ class Judge:
                     p[c, :, vote] = ((seen == vote) * weight[:, None]).sum(0) + (0.75 if vote == c + 1 else 0.25 if vote else 0.5)
                 p[c] /= p[c].sum(1, keepdims=True)
         self.reliability[kind] = p
-        x = self._features(seen)
-        w = np.zeros(x.shape[1])
-        share = n / n.sum()
-        for _ in range(400):
-            y = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-            grad = x.T @ ((y - q) * share) + 1e-4 * w
-            hess = (x * (y * (1 - y) * share)[:, None]).T @ x + 1e-3 * np.eye(x.shape[1])
-            step = np.linalg.solve(hess, grad)
-            w -= step
-            if np.abs(step).max() < 1e-9:
-                break
-        self.weights[kind] = w
-
-    @staticmethod
-    def _features(seen: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.ones((len(seen), 1)), seen == 1, seen == 2], axis=1).astype(float)
-
-    def probability(self, kind: str, vote: str) -> float:
-        if kind not in self.weights:
-            return 0.0
-        x = self._features(np.array([[int(c) for c in vote]]))[0]
-        return float(1 / (1 + np.exp(-np.clip(x @ self.weights[kind], -50, 50))))
-
-
-FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,votes:string>>"
+        self.chances |= {(kind, v): float(x) for (v, _), x in zip(rows, q, strict=True)}
+
+    def learn(self, rows: list[tuple[str, str, list[int]]]) -> Judge:
+        """Teach the classifier of each kind from (kind, votes, features) of candidates."""
+        for k, kind in enumerate(KINDS):
+            mine = [(self.chances[kind, v], f) for c, v, f in rows if c == kind]
+            if not mine:
+                continue
+            q = np.array([p for p, _ in mine])
+            x = np.zeros((len(mine), FEATURES))
+            for row, (_, on) in zip(x, mine, strict=True):
+                row[on] = 1
+            w = np.zeros(FEATURES)
+            for _ in range(100):  # Newton's steps on the mean log loss
+                y = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
+                grad = x.T @ (y - q) / len(q) + 1e-3 * w
+                hess = (x * (y * (1 - y) / len(q))[:, None]).T @ x + 1e-3 * np.eye(FEATURES)
+                step = np.linalg.solve(hess, grad)
+                w -= step
+                if np.abs(step).max() < 1e-6:
+                    break
+            self.weights[k] = w
+        return self
+
+    def probability(self, kind: str, on: list[int]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(self.weights[KINDS.index(kind), on].sum(), -50, 50))))
+
+
+FOUND = "array<struct<kind:string,start:int,end:int,base:boolean,votes:string,features:array<int>>>"
 
 
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, found) of every row: its candidates, from one narrow pass over whole texts."""
     small_batches(docs.sparkSession)
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string())]))
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_()), ("votes", pa.string()), ("features", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("kind", "start", "end", "base", "votes")
+        names = ("kind", "start", "end", "base", "votes", "features")
         for batch in batches:
             rows = [[dict(zip(names, c, strict=True)) for c in candidates(t.as_py() or "")] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, kind)], ["doc_id", "found"])
@@ -214,23 +260,41 @@ def find(docs: DataFrame) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id long, found {FOUND}")
 
 
-def judge(found: DataFrame) -> Judge:
-    """Votes of all candidates, counted by kind and pattern of votes: at most 4 * 3**7 rows, whatever the corpus."""
-    counted = found.select(F.explode("found").alias("c")).groupBy("c.kind", "c.votes").agg(F.count("*").alias("n"))
-    return Judge({(r.kind, r.votes): r.n for r in counted.collect()})
+def judge(found: DataFrame, sample: int = SAMPLE) -> Judge:
+    """Weigh the votes of all candidates, and teach the classifiers from ``sample`` of them for each kind.
+
+    Votes are counted by kind and pattern: at most 4 * 3**7 rows, whatever the corpus.
+    """
+    each = found.select("doc_id", F.explode("found").alias("c")).select("doc_id", "c.kind", "c.votes", "c.features", "c.start")
+    counts = each.groupBy("kind", "votes").agg(F.count("*").alias("n")).collect()
+    order = F.xxhash64("doc_id", "start", "features")
+    some = [r for kind in KINDS for r in each.where(F.col("kind") == kind).orderBy(order).limit(sample).select("kind", "votes", "features").collect()]
+    return Judge({(r.kind, r.votes): r.n for r in counts}).learn([(r.kind, r.votes, r.features) for r in some])
 
 
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row; spans: array of (kind, start, end, base, probability), by kind, then start.
 
-    Offsets count code points; the end is exclusive. Null and empty texts have none. Repeated rows get equal spans.
+    Offsets count code points; the end is exclusive. Null and empty texts have none; a very long one is read whole.
+    Repeated rows get equal spans; spans of one kind that begin together are ordered by their ends. An empty table gives
+    no rows. Columns other than doc_id and text are not looked at.
     """
     found = staged(find(docs), "candidates")
-    chances = judge(found).chances or {"": 0.0}
-    known = F.create_map(*[F.lit(x) for pair in sorted(chances.items()) for x in pair])
-    chance = lambda c: F.coalesce(F.try_element_at(known, F.concat_ws(":", c["kind"], c["votes"])), F.lit(0.0))
-    each = F.transform("found", lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), chance(c).alias("probability")))
-    return found.select("doc_id", F.filter(each, lambda s: s["base"] | (s["probability"] >= ACCEPT)).alias("spans"))
+    learnt = judge(found)
+    weights = F.array(*(F.lit(float(w)) for w in learnt.weights.reshape(-1)))
+    kinds = F.array(*map(F.lit, KINDS))
+
+    def chance(c: F.Column, w: F.Column) -> F.Column:
+        at = (F.array_position(kinds, c["kind"]) - 1) * FEATURES
+        total = F.aggregate(c["features"], F.lit(0.0), lambda acc, f: acc + F.get(w, (at + f).cast("int")))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
+
+    def row(c: F.Column) -> F.Column:
+        return F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"), c["base"].alias("base"), chance(c, F.col("w")).alias("probability"))
+
+    each = F.transform("found", row)
+    held = found.withColumn("w", F.when(F.size("found") > 0, weights))
+    return held.select("doc_id", F.filter(each, lambda s: s["base"] | (s["probability"] >= ACCEPT)).alias("spans"))
 
 
 def op5_digest(docs: DataFrame) -> DataFrame:
