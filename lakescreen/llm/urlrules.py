@@ -1,10 +1,12 @@
-"""URL filters: listed rules first, then association rules mined from the pages that they judge.
-
-A listed rule gives a page its label. Rules with URL tokens on the left and a label on the right are mined level by level
-over the labelled pages' baskets, and pruned by support and confidence, and by rules that say the same with fewer tokens:
-what FP-growth and pruning behind it would leave, without its listing of every frequent set of a long URL's tokens. A page
-without a listed rule meets the mined ones in an inverted index: each rule is filed under its rarest token, the page's
-tokens look it up, and a rule fires if the page has all its tokens. The surest rule decides; without one, allow.
+"""URL filters: listed rules first, then association rules mined by Spark's FP-growth from the pages that they judge.
+
+A listed rule gives a page its label. FP-growth runs over the labelled pages' baskets: all their supported URL tokens, and
+the label. Rules with a label on the right are pruned by support and confidence, and by rules that say the same with fewer
+tokens. As FP-growth lists every frequent set, and a long URL has 2 ** n of them, corpora with baskets of more than
+``BASKET`` supported tokens are mined level by level instead, which meets the same rules without listing the sets that
+pruning takes away. A page without a listed rule meets the mined ones in an inverted index: each rule is filed under its
+rarest token, the page's tokens look it up, and a rule fires if the page has all its tokens. The surest rule decides;
+without one, allow.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +38,8 @@ RULES = (
 SUPPORT, CONFIDENCE = 0.005, 0.9
 #: Mined rules up to this number are sent to all executors; more are joined.
 BROADCAST_RULES = 10_000
+#: Supported tokens of a page, at most, for which FP-growth is asked.
+BASKET = 14
 
 
 def parts(url: str = "url") -> tuple[Column, Column]:
@@ -68,13 +73,11 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(of))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE) -> DataFrame:
+def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, basket: int = BASKET) -> DataFrame:
     """(left, verdict, confidence, n) of the rules mined from rows (row, tokens, verdict), each as short as it can be.
 
     n: rows with all tokens and the verdict, a share ``support`` of all at least. A rule is left out if one of its parts
-    says the same at least as surely. Sets of tokens grow one by one, each counted over equal baskets at once. A set goes on
-    for a verdict only while each of its tokens takes rows of other verdicts away and some are left: else every larger set
-    has a part that is at least as sure. So all supported tokens and all lengths are met, and few sets are counted.
+    says the same at least as surely. Both ways of mining give the same rows.
     """
     total = labelled.count()
     least = max(2, int(support * total))
@@ -82,7 +85,48 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
     frequent = each.groupBy("token").agg(F.countDistinct("row").alias("n")).where(F.col("n") >= least).select("token")
     held = each.join(frequent, "token").groupBy("row", "verdict").agg(F.array_sort(F.collect_set("token")).alias("held"))
     baskets = staged(held.groupBy("held", "verdict").agg(F.count("*").alias("w")), "baskets")
-    others = labelled.groupBy("verdict").agg((F.lit(total) - F.count("*")).alias("fewest"), F.lit(0.0).alias("best"))
+    most = baskets.agg(F.max(F.size("held"))).first()[0] or 0
+    if most <= basket:
+        return by_fp_growth(baskets, least, confidence)
+    return by_levels(baskets, labelled.groupBy("verdict").agg((F.lit(total) - F.count("*")).alias("fewest"), F.lit(0.0).alias("best")), least, confidence)
+
+
+def by_fp_growth(baskets: DataFrame, least: int, confidence: float) -> DataFrame:
+    """The rules of ``mine`` from (held, verdict, w), by FP-growth."""
+    items = baskets.select(F.concat("held", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("w").cast("int"))))
+    n = baskets.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / max(1, n)), minConfidence=confidence).fit(items.select("items"))
+    rules = model.associationRules.where(F.element_at("consequent", 1).startswith("=")).select(
+        F.array_sort("antecedent").alias("left"),
+        F.substring(F.element_at("consequent", 1), 2, 9).alias("verdict"),
+        F.round("confidence", 9).alias("confidence"),
+        F.round(F.col("support") * n).cast("long").alias("n"),
+    )
+    return shortest(staged(rules, "mined"))
+
+
+def filed(rules: DataFrame) -> DataFrame:
+    """``rules`` (left, verdict, confidence, n) with the token that each is filed under: the rarest of its left."""
+    rarity = rules.select(F.explode("left").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
+    under = rules.withColumn("token", F.explode("left")).join(rarity, "token").groupBy("left", "verdict", "confidence", "n")
+    return under.agg(F.min(F.struct("uses", "token"))["token"].alias("token"))
+
+
+def shortest(rules: DataFrame) -> DataFrame:
+    """``rules`` without those of which a part has the same verdict at least as surely."""
+    parts = filed(rules).select("token", "verdict", F.col("left").alias("part"), F.col("confidence").alias("c"))
+    met = rules.withColumn("token", F.explode("left")).join(parts, ["token", "verdict"])
+    within = (F.size("part") < F.size("left")) & (F.size(F.array_except("part", "left")) == 0) & (F.col("c") >= F.col("confidence"))
+    return rules.join(met.where(within).select("left", "verdict").distinct(), ["left", "verdict"], "left_anti")
+
+
+def by_levels(baskets: DataFrame, others: DataFrame, least: int, confidence: float) -> DataFrame:
+    """The rules of ``mine`` from (held, verdict, w), and (verdict, fewest, best) to begin with.
+
+    Sets of tokens grow one by one, each counted over equal baskets at once. A set goes on for a verdict only while each of
+    its tokens takes rows of other verdicts away and some are left: else every larger set has a part that is at least as
+    sure. So all supported tokens and all lengths are met, and few sets are counted.
+    """
     hits = baskets.select(F.explode(F.transform("held", lambda x: F.array(x))).alias("left"), "held", "verdict", "w")
     sets = hits.select("left", "verdict").distinct().join(others, "verdict")
     size, found = 1, []
@@ -123,14 +167,8 @@ def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONF
 
 def fire(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """(key, mined_rule, mined_verdict): the surest rule that each of ``pages`` (key, tokens) fires, by an inverted index."""
-    rarity = rules.select(F.explode("left").alias("token")).groupBy("token").agg(F.count("*").alias("uses"))
-    filed = (
-        rules.withColumn("token", F.explode("left"))
-        .join(rarity, "token")
-        .groupBy("left", "verdict", "confidence", "n")
-        .agg(F.min(F.struct("uses", "token"))["token"].alias("token"))
-    )
-    index = filed if filed.count() > BROADCAST_RULES else F.broadcast(filed)
+    by_token = filed(rules)
+    index = by_token if by_token.count() > BROADCAST_RULES else F.broadcast(by_token)
     looked = pages.select("key", "tokens", F.explode("tokens").alias("token"))
     met = looked.join(index, "token").where(F.size(F.array_except("left", "tokens")) == 0)
     surest = F.max(F.struct("confidence", "n", (-F.size("left")).alias("short"), "verdict", "left"))
@@ -144,7 +182,9 @@ def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, support: float = SU
 
     rule: the longest listed rule that fits; verdict: its own, else that of the surest mined rule, else allow. A null URL,
     or one without ``://``, has an empty host and path, no rule, and is allowed. Rows are judged one by one, so repeated
-    ones alike; columns other than page_id and url are not looked at. Without labelled pages nothing is mined.
+    ones alike; of rules tied in all that counts the one of the larger verdict and tokens, as strings, decides. Very long
+    URLs keep all their tokens. An empty table gives no rows. Columns other than page_id and url are not looked at. Without
+    labelled pages nothing is mined.
     """
     host, path = parts()
     split = spread(pages.select("page_id", "url")).select("page_id", host.alias("host"), path.alias("path"))
