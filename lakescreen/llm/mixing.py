@@ -3,7 +3,7 @@
 Words are counted per document and summed per source. Targets are a water level: source weights share all words, no
 target goes above ``most`` times its source's words, and what a capped source leaves is shared again by weight. The level
 has a closed form over sources in the order in which they reach their cap, so no loop is needed. A document is emitted
-floor(rate) times and once more where a hash of its doc_id falls below the rate's fraction.
+floor(rate) times and once more where a hash of its doc_id and text falls below the rate's fraction.
 """
 
 from __future__ import annotations
@@ -59,11 +59,16 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     )
 
 
-def copies(rate: str = "rate", key: str = "doc_id", seed: str = SEED) -> F.Column:
-    """floor(rate) and a Bernoulli copy with the fraction's probability: 52 bits of a hash of seed and key."""
-    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10)
+def draw(key: str = "doc_id", text: str = "text", seed: str = SEED) -> F.Column:
+    """A number below 1 from 52 bits of a hash of seed, key and text: rows of one key, or of none, draw apart."""
+    said = F.concat(F.lit(seed + ":"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    return F.conv(F.substring(F.md5(said), 1, 13), 16, 10).cast("double") / 2.0**52
+
+
+def copies(rate: str = "rate", drawn: str = "drawn") -> F.Column:
+    """floor(rate) and a Bernoulli copy with the fraction's probability."""
     whole = F.floor(rate)
-    return (whole + (drawn.cast("double") / 2.0**52 < F.col(rate) - whole).cast("long")).cast("long")
+    return (whole + (F.col(drawn) < F.col(rate) - whole).cast("long")).cast("long")
 
 
 def _rated(rows: DataFrame, by: DataFrame) -> DataFrame:
@@ -75,26 +80,31 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     """One row (doc_id, size, source_size, target, taken, copies, source) for each row of ``docs``.
 
     Null and empty texts have size 0 and take 0 words; their copies follow their source's rate. A source of no words has
-    target 0. Rows without a source are one source, the last. Repeated rows draw alike. An empty table gives no rows.
+    target 0. Rows without a source are one source, the last. Rows equal in doc_id and text draw alike, all others apart.
+    Sources are ordered without ties. A very long text counts as any other. An empty table gives no rows. Columns other than
+    doc_id, text and source are not looked at.
     """
-    sizes = staged(spread(docs.select("doc_id", "text", "source")).select("doc_id", "source", words().alias("size")), "sizes")
+    sizes = staged(spread(docs.select("doc_id", "text", "source")).select("doc_id", "source", words().alias("size"), draw(seed=seed).alias("drawn")), "sizes")
     return _rated(sizes, targets(sizes, weights, most)).select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        (F.col("size") * copies(seed=seed)).alias("taken"),
-        copies(seed=seed).alias("copies"),
+        (F.col("size") * copies()).alias("taken"),
+        copies().alias("copies"),
         "source",
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """``docs`` with each row emitted as often as the mix takes it; columns stay as they are."""
+    """``docs`` with each row emitted as often as the mix takes it; columns, of any names, stay as they are.
+
+    Nulls, empty and very long texts, repeated rows, ties and empty tables as in ``plan``.
+    """
     sizes = spread(docs.select("text", "source")).select("source", words().alias("size"))
     rates = staged(targets(sizes, weights, most), "targets").select(F.col("source").alias("_source"), "rate")
-    held = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), F.col("source").alias("_of"))
-    rated = held.join(rates, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("_n", copies("rate", "_key", seed))
+    held = docs.select(F.struct("*").alias("_row"), draw(seed=seed).alias("_drawn"), F.col("source").alias("_of"))
+    rated = held.join(rates, F.col("_of").eqNullSafe(F.col("_source"))).withColumn("_n", copies("rate", "_drawn"))
     return rated.where("_n > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int"))).alias("_copy")).select("_row.*")
 
 
@@ -104,7 +114,8 @@ def op3_digest(docs: DataFrame) -> DataFrame:
 
 OP3_SQL = r"""
 with sizes as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents),
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+    md5('mix:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))) as hash from documents),
 by_source as (select source, sum(size)::bigint as source_size from sizes group by source),
 weighed as (select *, ((row_number() over (order by source is null, encode(source)) - 1) % 3 + 1)::bigint as w from by_source),
 stepped as (
@@ -118,7 +129,7 @@ targets as (
     else ((select room from level) * w)::double / (select still from level)::double end as target from filled),
 rates as (select *, case when source_size > 0 then least(target / source_size, 3.0::double) else 0.0::double end as rate from targets)
 select doc_id, size, source_size, target,
-  (size * (floor(rate)::bigint + case when ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, '')), 1, 13))::bigint::double / 4503599627370496.0
+  (size * (floor(rate)::bigint + case when ('0x' || substr(hash, 1, 13))::bigint::double / 4503599627370496.0
     < rate - floor(rate) then 1 else 0 end))::bigint as taken
 from sizes s join rates r on s.source is not distinct from r.source
 """

@@ -174,6 +174,11 @@ def test_mix(spark):
         assert sum(r.taken for r in of) == pytest.approx(of[0].target, rel=0.25)
     again = sorted(map(repr, mixing.plan(docs.repartition(7)).collect()))
     assert again == sorted(map(repr, plan))
+    same = [(k % 2 or None, say(k % 40 + 1), "one" if k % 3 else "two") for k in range(600)]  # no doc_id, or one for many
+    told = mixing.plan(spark.createDataFrame(same, "doc_id long, text string, source string")).collect()
+    for s in ("one", "two"):
+        of = [r for r in told if r.source == s]
+        assert sum(r.taken for r in of) == pytest.approx(of[0].target, rel=0.15)
     mixed = mixing.mix(docs)
     assert mixed.columns == docs.columns
     assert mixed.count() == sum(r.copies for r in plan)

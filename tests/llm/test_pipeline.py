@@ -59,7 +59,7 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     want = {}
     for r in rows:
         rate = min(3.0, targets[r["source"]] / sizes[r["source"]])
-        drawn = int(hashlib.md5(f"mix:{r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        drawn = int(hashlib.md5(f"mix:{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
         if n := int(rate) + (drawn < rate - int(rate)):
             want[r["doc_id"]] = n
 
