@@ -543,3 +543,6 @@ def clipboard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = documents(spark, sf_dir).select("doc_id", F.col("doc_id").alias("source"), F.lit(0).alias("ts"), "text")
     rows = engine.scan(texts.select("doc_id", watch.clipped("text").alias("text")), engine.Options(language="en", only=("card",)))[0]
     return watch.clipboard_alert(rows, texts).select("source", "hash", "risk_level")
+
+
+from . import written  # noqa: E402, F401
