@@ -27,10 +27,23 @@ class Options:
     only: tuple[str, ...] | None = None
 
 
+def is_scan(df: DataFrame) -> bool:
+    """Whether the plan only reads, picks and computes columns of files."""
+    todo = [df._jdf.queryExecution().optimizedPlan()]
+    while todo:
+        plan = todo.pop()
+        if plan.nodeName() not in ("Project", "Filter") and not plan.nodeName().startswith(("LogicalRelation", "Relation")):
+            return False
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+    return True
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a scan with fewer partitions than cores out to all; larger inputs stay as they are read."""
+    """Deal a scan with fewer partitions than cores out to all; larger inputs, and what is no scan, stay as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.queryExecution().toRdd().getNumPartitions() < min(n, 64) else df
+    if is_scan(df) and df._jdf.queryExecution().toRdd().getNumPartitions() < min(n, 64):
+        return df.repartition(n)
+    return df
 
 
 def prepare(docs: DataFrame, options: Options) -> DataFrame:
@@ -60,7 +73,7 @@ def scan(docs: DataFrame, options: Options | None = None) -> tuple[DataFrame, Da
         rows = rows.unionByName(
             found.select(
                 "doc_id", F.lit(95).alias("det_ord"), F.lit(0).alias("sub_ord"), F.col("start").alias("match_ord"), F.lit("names").alias("detector"), F.lit("rule").alias("engine"),
-                F.lit("navn (person)").alias("category"), "text", F.col("text").alias("raw_text"), F.lit("").alias("context"), "start", (F.col("start") + F.length("text")).alias("end"),
+                F.when(F.col("start") < 0, "⚠ Detektor-feil").otherwise("navn (person)").alias("category"), "text", F.col("text").alias("raw_text"), F.lit("").alias("context"), "start", (F.col("start") + F.length("text")).alias("end"),
                 F.lit("gul").alias("severity"), F.lit(None).cast("string").alias("confidence"), "reason",
             )
         )
@@ -90,14 +103,17 @@ def results(docs: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def register(spark) -> None:
-    """SQL function ``scan_text(text)``: rows (detector, category, text, severity) of one text."""
+    """SQL function ``match_text(text)``: rows (detector, text) of what the plain patterns match in one text.
+
+    A raw matcher for looking at single texts: no checks, no context rules, no categories. ``scan`` applies all of them.
+    """
     from pyspark.sql.functions import udtf
 
     specs = [(d.name, rx.java(d.pattern, d.flags)) for d in detect.registry(spark) if d.pattern and not d.near]
 
     @udtf(returnType="detector string, text string")
-    class ScanText:
-        """Matches of the plain patterns, before validity rules; the DataFrame scan applies those."""
+    class MatchText:
+        """Matches of the plain patterns."""
 
         def __init__(self):
             import re
@@ -109,4 +125,4 @@ def register(spark) -> None:
                 for m in pattern.finditer(text or ""):
                     yield name, m[0]
 
-    spark.udtf.register("scan_text", ScanText)
+    spark.udtf.register("match_text", MatchText)

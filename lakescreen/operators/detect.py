@@ -6,15 +6,12 @@ projection over its text and one explode; rules, snippets and first-of-a-value c
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions import checks as C
 from ..functions import rx
@@ -92,37 +89,45 @@ def _phone_reason(h: Hit) -> Column:
 AXIS_REASON = "graf-/akseverdi eller tallsekvens"
 
 
-def steady(values: list[int], least: int) -> bool:
+def _steady(values: Column, least: Column | int) -> Column:
     """Whether numbers rise or fall by one constant step."""
-    steps = {b - a for a, b in zip(values, values[1:], strict=False)}
-    return len(values) >= least and len(steps) == 1 and 0 not in steps
+    n = F.size(values)
+    steps = F.array_distinct(F.zip_with(F.slice(values, 1, F.greatest(n - 1, F.lit(0))), F.slice(values, 2, F.greatest(n - 1, F.lit(0))), lambda x, y: y - x))
+    return (n >= least) & (F.size(steps) == 1) & (steps[0] != 0)
 
 
-def on_an_axis(pre: str, m: str, post: str, technical: bool) -> bool:
+def on_an_axis(h: Hit, technical: Column) -> Column:
     """Whether a phone-like number is part of a regular run of numbers, as on the axis of a chart."""
-    if m.startswith(("+47", "0047")) or re.search(P.PHONE_LABEL_BEFORE, pre[-30:], re.I):
-        return False
-    pre, post = pre[-90:], post[:90]
-    window, a, b = pre + m + post, len(pre), len(pre) + len(m)
-    tokens = list(re.finditer(P.AXIS_TOKEN, window))
-    inside = [k for k, t in enumerate(tokens) if t.end() > a and t.start() < b]
-    if not inside:
-        return False
-    joined = lambda k: re.fullmatch(P.AXIS_SEPARATOR, window[tokens[k].end() : tokens[k + 1].start()]) is not None
-    first, last = inside[0], inside[-1]
-    while first > 0 and joined(first - 1):
-        first -= 1
-    while last + 1 < len(tokens) and joined(last):
-        last += 1
-    run = [int(t[0]) for t in tokens[first : last + 1]]
-    if steady(run, 4 if technical else 5):
-        return True
-    return re.search(P.CHART_WORDS, window, re.I) is not None and steady([int(tokens[k][0]) for k in inside], 4)
-
-
-@F.pandas_udf(BooleanType())
-def _axis(due: pd.Series, pre: pd.Series, m: pd.Series, post: pd.Series, technical: pd.Series) -> pd.Series:
-    return pd.Series([bool(d) and on_an_axis(a or "", b or "", c or "", bool(t)) for d, a, b, c, t in zip(due, pre, m, post, technical, strict=True)], dtype=bool)
+    labelled = h.m.startswith("+47") | h.m.startswith("0047") | rx.last(h.pre, 30).rlike(rx.java(P.PHONE_LABEL_BEFORE, "i"))
+    pre = rx.last(h.pre, 90)
+    window, a = F.concat(pre, h.m, F.substr(h.post, F.lit(1), F.lit(90))), F.length(pre)
+    b = a + F.length(h.m)
+    kind = "array<struct<k:int,run:int,inside:boolean,value:decimal(38,0)>>"
+    begin = F.struct(F.lit(0).alias("end"), F.lit(0).alias("run"), F.array().cast(kind).alias("out"))
+
+    def step(acc: Column, t: Column) -> Column:
+        joined = F.substr(window, acc["end"] + 1, t["start"] - acc["end"]).rlike(rx.java(P.AXIS_SEPARATOR))
+        run = acc["run"] + F.when(joined, 0).otherwise(1)
+        inside = (t["end"] > a) & (t["start"] < b)
+        one = F.struct(F.size(acc["out"]).alias("k"), run.alias("run"), inside.alias("inside"), t["m"].try_cast("decimal(38,0)").alias("value"))
+        return F.struct(t["end"].alias("end"), run.alias("run"), F.concat(acc["out"], F.array(one)).cast(kind).alias("out"))
+
+    def told(tokens: Column) -> Column:
+        inside = F.filter(tokens, lambda t: t["inside"])
+        first, last = inside[0], F.element_at(inside, -1)
+        run = F.filter(tokens, lambda t: (t["k"] <= first["k"]) & (t["run"] == first["run"]) | (t["k"] > first["k"]) & (t["k"] < last["k"]) | (t["k"] >= last["k"]) & (t["run"] == last["run"]))
+        values = lambda of: F.transform(of, lambda t: t["value"])
+        charted = window.rlike(rx.java(P.CHART_WORDS, "i")) & _steady(values(inside), 4)
+        return F.when(F.size(inside) > 0, _steady(values(run), F.when(technical, 4).otherwise(5)) | charted).otherwise(F.lit(False))
+
+    # Inside a lambda the tokens are found once.
+    regular = F.transform(F.array(F.aggregate(rx.offsets(window, rx.java(P.AXIS_TOKEN)), begin, step, lambda acc: acc["out"])), told)[0]
+    return F.when(labelled, F.lit(False)).otherwise(F.coalesce(regular, F.lit(False)))
+
+
+def phone_reason(h: Hit, technical: Column) -> Column:
+    """Why a phone-like number is none; null if it may be one."""
+    return F.coalesce(_phone_reason(h), F.when(on_an_axis(h, technical), AXIS_REASON))
 
 
 def _card_type(d: Column) -> Column:
@@ -136,11 +141,16 @@ def _card_type(d: Column) -> Column:
     )
 
 
-def _iban_ok(s: Column) -> Column:
+def iban_ok(s: Column) -> Column:
     turned = F.concat(F.substr(s, F.lit(5), F.length(s)), F.substr(s, F.lit(1), F.lit(4)))
     return F.length(s).between(14, 34) & F.substr(s, F.lit(1), F.lit(2)).isin(P.IBAN_COUNTRIES) & s.rlike("^[A-Z0-9]+$") & (C.mod97(turned) == 1)
 
 
+def account_ok(digits: Column) -> Column:
+    """Whether 11 digits are an account number and no birth number."""
+    return C.mod11(digits, [5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) & C.norwegian_id(digits).isNull()
+
+
 def _dni_ok(s: Column) -> Column:
     number = F.substr(s, F.lit(1), F.lit(8)).try_cast("int")
     return F.substr(F.lit(P.DNI_LETTERS), number % 23 + 1, F.lit(1)) == F.substr(s, F.lit(9), F.lit(1))
@@ -242,8 +252,8 @@ def registry(spark: SparkSession | None = None) -> tuple[Detector, ...]:
         D("orgnr_no", P.ORGNR, "organisasjonsnummer", NO, languages=("nb", "en", "da"), pack=4,
           valid=lambda h: C.mod11(_digits(h.m), [3, 2, 7, 6, 5, 4, 3, 2])),
         D("konto", P.KONTO, "kontonummer", NO, groups=7, languages=("nb", "en", "da"), pack=4,
-          valid=lambda h: C.mod11(konto(h), [5, 4, 3, 2, 7, 6, 5, 4, 3, 2]) & C.norwegian_id(konto(h)).isNull()),
-        D("phone_no", P.PHONE_NO, "telefonnummer", NO, languages=("nb", "en", "da"), reason=_phone_reason, pack=4),
+          valid=lambda h: account_ok(konto(h))),
+        D("phone_no", P.PHONE_NO, "telefonnummer", NO, languages=("nb", "en", "da"), reason=lambda h: phone_reason(h, h.row["technical"]), pack=4),
         D("persnr_sv", P.PERSNR_SV, lambda h: F.when(C.two(rx.last(h.g(1), 2), 0).between(61, 91), "samordningsnummer (SV)").otherwise("personnummer (SV)"), NO,
           groups=3, languages=("sv", "en"), pack=5,
           valid=lambda h: (lambda s, day: C.two(s, 2).between(1, 12) & F.when(day.between(61, 91), day - 60).otherwise(day).between(1, 31) & C.luhn(s))(
@@ -269,7 +279,7 @@ def registry(spark: SparkSession | None = None) -> tuple[Detector, ...]:
         D("dni", P.DNI, "DNI (ES)", ("id", "telefon"), groups=1, languages=("es",), shown=lambda h: h.compact(), valid=lambda h: _dni_ok(h.compact()), pack=10),
         D("nie", P.NIE, "NIE (ES)", ("id", "telefon"), groups=1, languages=("es",), shown=lambda h: F.upper(h.compact()), pack=10,
           valid=lambda h: _dni_ok(F.concat(F.translate(F.substr(F.upper(h.compact()), F.lit(1), F.lit(1)), "XYZ", "012"), F.substr(F.upper(h.compact()), F.lit(2), F.lit(8))))),
-        D("iban", P.IBAN, "IBAN", ("konto",), flags="i", groups=1, scope="iban", key=iban, raw=iban, radius=45, valid=lambda h: _iban_ok(iban(h)), pack=11,
+        D("iban", P.IBAN, "IBAN", ("konto",), flags="i", groups=1, scope="iban", key=iban, raw=iban, radius=45, valid=lambda h: iban_ok(iban(h)), pack=11,
           shown=lambda h: F.concat(F.substr(iban(h), F.lit(1), F.lit(4)), F.lit("…"), rx.last(iban(h), 4))),
         D("card", P.CARD, lambda h: F.concat(F.lit("kredittkort ("), _card_type(card(h)), F.lit(")")), ("konto",), groups=1, scope="card", key=card, raw=card, pack=12,
           valid=lambda h: _card_type(card(h)).isNotNull() & C.luhn(card(h)),
@@ -488,13 +498,8 @@ def scan(docs: DataFrame, categories: list[str] | None = None, only: tuple[str,
         "doc_id", F.length("text").alias("length"), "technical", F.explode(_apart(F.struct("text", F.lower("text").alias("low"), "language"), found)).alias("r")
     )
     rows = base.select("doc_id", "length", "technical", "r.k", "r.match_ord", "r.h.*")
-    seen = rows.withColumn("t", _apart(F.struct("k", "m", "g", "pre", "post", "start", "end", "length"), judged))
-    told = seen.where("t.ok").select("doc_id", "k", "match_ord", "start", "end", "m", "pre", "post", "technical", "t.*").drop("ok")
-    phone = next((n for n, (_, d) in enumerate(run) if d.name == "phone_no"), None)
-    if phone is not None:
-        due = (F.col("k") == phone) & F.col("reason").isNull()
-        on = _axis(due, F.col("pre"), F.col("m"), F.col("post"), F.col("technical"))
-        told = told.withColumn("reason", F.when(on, AXIS_REASON).otherwise(F.col("reason")))
+    seen = rows.withColumn("t", _apart(F.struct("k", "m", "g", "pre", "post", "start", "end", "length", "technical"), judged))
+    told = seen.where("t.ok").select("doc_id", "k", "match_ord", "start", "end", "t.*").drop("ok")
     if any(d.scope for _, d in run):
         first = Window.partitionBy("doc_id", "scope", "category_key", "key").orderBy("k", "match_ord")
         # Values that need not be the first of their kind are keyed by their place, so none shares a group.

@@ -105,7 +105,8 @@ def reason(name: Column, pre: Column, post: Column, technical: Column, lists: Li
 def candidates(docs: DataFrame, provider: Callable[[list[str], list[str]], list[list[tuple[int, int]]]] | None = None) -> DataFrame:
     """(doc_id, technical, start, m, pre, post) of possible names in the first ``NER_CHARS`` characters.
 
-    provider: a model, from texts and languages to places; without one, runs of capitalised words stand in.
+    provider: a model, from texts and languages to places; without one, runs of capitalised words stand in. A batch on
+    which it fails gives one row a document whose start is -1 and whose m tells the error.
     """
     text = F.substr("text", F.lit(1), F.lit(NER_CHARS))
     if provider is None:
@@ -115,7 +116,12 @@ def candidates(docs: DataFrame, provider: Callable[[list[str], list[str]], list[
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for r, found in zip(part.itertuples(), provider(part.text.tolist(), part.language.tolist()), strict=True):
+            try:
+                told = provider(part.text.tolist(), part.language.tolist())
+            except Exception as error:  # the scan goes on without names
+                rows = [(r.doc_id, r.technical, -1, f"{type(error).__name__}: {error}", "", "") for r in part.itertuples()]
+                told = [[]] * len(part)
+            for r, found in zip(part.itertuples(), told, strict=True):
                 rows += [(r.doc_id, r.technical, a, r.text[a:b], r.text[max(0, a - rx.AROUND) : a], r.text[b : b + rx.AROUND]) for a, b in found]
             yield pd.DataFrame(rows, columns=["doc_id", "technical", "start", "m", "pre", "post"])
 
@@ -124,12 +130,13 @@ def candidates(docs: DataFrame, provider: Callable[[list[str], list[str]], list[
 
 
 def names(docs: DataFrame, lists: Lists | None = None, provider: Callable | None = None) -> DataFrame:
-    """(doc_id, start, text, reason): each distinct candidate once, reason null where it is a name."""
+    """(doc_id, start, text, reason): each distinct candidate once, reason null where it is a name, and where start is -1."""
     lists = lists or Lists()
     found = candidates(docs, provider)
     first = Window.partitionBy("doc_id", "m").orderBy("start")
     once = found.where(~F.col("m").rlike("^[#-]")).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return once.select("doc_id", "start", F.col("m").alias("text"), reason(F.col("m"), F.col("pre"), F.col("post"), F.col("technical"), lists).alias("reason"))
+    why = F.when(F.col("start") >= 0, reason(F.col("m"), F.col("pre"), F.col("post"), F.col("technical"), lists))
+    return once.select("doc_id", "start", F.col("m").alias("text"), why.alias("reason"))
 
 
 def parse_lists(path: str) -> Lists:

@@ -100,6 +100,11 @@ def suggested_label(level: str = "risk_level") -> Column:
     return F.when(F.lower(level).isin("svart", "rød"), "Highly Confidential").when(F.lower(level) == "gul", "Confidential").otherwise("Internal")
 
 
+def label_metadata(label: str = "suggested_label", level: str = "risk_level", count: str = "finding_count", at: str = "scanned_at") -> Column:
+    """What is written beside a suggested label: its name, level, number of findings, time, and who says so."""
+    return F.struct(F.col(label).alias("label"), F.col(level).alias("risk_level"), F.col(count).alias("finding_count"), F.col(at).alias("scanned_at"), F.lit("lakescreen").alias("source"))
+
+
 def rollup(results: DataFrame, *by: str) -> DataFrame:
     """Extension: documents and findings by level over rolled-up dimensions."""
     return results.rollup(*by).agg(

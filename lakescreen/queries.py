@@ -545,4 +545,4 @@ def clipboard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.clipboard_alert(rows, texts).select("source", "hash", "risk_level")
 
 
-from . import written  # noqa: E402, F401
+from . import worked, written  # noqa: E402, F401

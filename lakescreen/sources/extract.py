@@ -9,7 +9,7 @@ import html
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -118,16 +118,31 @@ def from_odt(archive: zipfile.ZipFile) -> str:
 PACKED = {".docx": from_docx, ".pptx": from_pptx, ".xlsx": from_xlsx, ".odt": from_odt}
 
 
-def extract(suffix: str, data: bytes) -> tuple[str | None, str | None]:
-    """(text, error) of one file. Formats that need a provider say so; nothing is raised."""
+#: From the bytes of a file: its text; and for PDF files, the number of images in it.
+Provider = Callable[[bytes], str | tuple[str, int]]
+
+
+def extract(suffix: str, data: bytes, providers: dict[str, Provider] | None = None) -> tuple[str | None, str | None, int]:
+    """(text, error, images) of one file. Nothing is raised.
+
+    providers: functions that read what needs a library: ``.pdf``, and ``image`` for all pictures. Without one a PDF file
+    is an error, and a picture has no text.
+    """
+    own = (providers or {}).get("image" if suffix in IMAGES else suffix)
     try:
+        if own is not None:
+            told = own(data)
+            text, images = told if isinstance(told, tuple) else (told, int(suffix in IMAGES))
+            return (text or "").strip(), None, images
         if suffix in PACKED:
             with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                return PACKED[suffix](archive).strip(), None
-        if suffix == ".pdf" or suffix in IMAGES:
-            return (None, "no PDF provider") if suffix == ".pdf" else ("", None)
+                return PACKED[suffix](archive).strip(), None, 0
+        if suffix == ".pdf":
+            return None, "no PDF provider", 0
+        if suffix in IMAGES:
+            return "", None, 1
         if suffix not in SUFFIXES:
-            return None, f"unsupported: {suffix}"
+            return None, f"unsupported: {suffix}", 0
         text = decode(data)
         if suffix == ".csv":
             text = from_csv(text)
@@ -138,9 +153,9 @@ def extract(suffix: str, data: bytes) -> tuple[str | None, str | None]:
             text = re.sub(r"\s+", " ", text)
         elif suffix == ".rtf" and text.lstrip().startswith("{\\rtf"):
             text = re.sub(r"\s+", " ", re.sub(r"(?i)\\(?:[a-z]+(?:-?\d+)? ?|'[0-9a-f]{2}|[^a-z\s])|[{}]", "", text))
-        return text.strip(), None
+        return text.strip(), None, 0
     except Exception as error:  # a broken file is a row that says so
-        return None, f"{type(error).__name__}: {error}"
+        return None, f"{type(error).__name__}: {error}", 0
 
 
 def suffix_of(path: str | Column) -> Column:
@@ -148,23 +163,42 @@ def suffix_of(path: str | Column) -> Column:
     return F.lower(F.regexp_extract(col, r"(\.[^./]+)$", 1))
 
 
-def texts(files: DataFrame) -> DataFrame:
-    """(path, text, error, warning_code) of files (path, content)."""
+def texts(files: DataFrame, providers: dict[str, Provider] | None = None) -> DataFrame:
+    """(path, text, error, image_based, warning_code) of files (path, content)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [extract(s, d or b"") for s, d in zip(batch.column("suffix").to_pylist(), batch.column("content").to_pylist(), strict=True)]
-            text, error = zip(*rows, strict=True) if rows else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(text, pa.string()), pa.array(error, pa.string())], ["path", "text", "error"])
+            rows = [extract(s, d or b"", providers) for s, d in zip(batch.column("suffix").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            text, error, images = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(text, pa.string()), pa.array(error, pa.string()), pa.array(images, pa.int32())], ["path", "text", "error", "images"])
+
+    told = files.select("path", suffix_of("path").alias("suffix"), "content").mapInArrow(run, "path string, text string, error string, images int")
+    based = told.withColumn("image_based", image_based(F.col("images"), F.col("text")))
+    return based.select("path", "text", "error", "image_based", text_warning(F.col("text"), F.col("image_based")).alias("warning_code"))
+
+
+def meaningful(text: Column) -> Column:
+    """A text without the marks that stand for pictures."""
+    return F.trim(F.regexp_replace(text, "<!-- image -->", " "))
+
 
-    told = files.select("path", suffix_of("path").alias("suffix"), "content").mapInArrow(run, "path string, text string, error string")
-    return told.withColumn("warning_code", text_warning(F.col("text")))
+def image_based(images: Column, text: Column) -> Column:
+    """Whether a file has pictures and hardly any text of its own."""
+    return F.coalesce((images > 0) & (F.length(meaningful(F.coalesce(text, F.lit("")))) < 50), F.lit(False))
 
 
-def text_warning(text: Column) -> Column:
-    """Whether no text or little was found, image marks aside."""
-    plain = F.trim(F.regexp_replace(text, "<!-- image -->", " "))
-    return F.when(text.isNull(), None).when(plain == "", "no_text_extracted").when(F.length(plain) < 50, "little_text_extracted")
+def text_warning(text: Column, scanned: Column | None = None) -> Column:
+    """Whether no text or little was found, marks of pictures aside; files of pictures need more of it."""
+    plain = meaningful(text)
+    marked = text.contains("<!-- image -->") if scanned is None else scanned | text.contains("<!-- image -->")
+    little = (F.length(plain) < 50) | marked & (F.length(plain) < 200)
+    return F.when(text.isNull(), None).when(plain == "", "no_text_extracted").when(little, "little_text_extracted")
+
+
+def friendly_error(error: Column) -> Column:
+    """What a user is told of a file that could not be read."""
+    xml = F.lower(error).rlike("xml|not well-formed|badzipfile|syntax")
+    return F.when(error.isNull(), None).when(xml, "The file is damaged or not of the kind that its name says.").otherwise(error)
 
 
 def html_text(raw: Column) -> Column:
@@ -219,6 +253,27 @@ def folder_plan(spark: SparkSession, folder: str, recursive: bool = False, max_f
     return kept.withColumn("_walk", walk).orderBy("_walk").limit(most).drop("_walk").orderBy(F.lower("relative_path"))
 
 
+def plan_summary(plan: DataFrame, max_files: int = 500, samples: int = 10) -> DataFrame:
+    """One row for a ``folder_plan``: n_files, n_bytes, truncated (as many files as may be), and the first paths."""
+    first = F.slice(F.array_sort(F.collect_list(F.struct(F.lower("relative_path").alias("l"), "relative_path"))), 1, samples)
+    told = plan.limit(10_000).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"), F.transform(first, lambda x: x["relative_path"]).alias("samples"))
+    return told.withColumn("truncated", F.col("n_files") >= min(max(1, max_files), 10_000))
+
+
+#: From so many files or bytes on, a user is told that a scan will take long.
+MANY_FILES, MANY_BYTES = 100, 50 << 20
+
+
+def zip_summary(members: DataFrame) -> DataFrame:
+    """One row an archive of ``zip_members``: n_files and n_bytes to scan, n_skipped, whether it is large, whether it could be read."""
+    read = F.col("content").isNotNull()
+    told = members.groupBy("zip").agg(
+        F.count_if(read).alias("n_files"), F.coalesce(F.sum(F.length("content")), F.lit(0)).cast("long").alias("n_bytes"),
+        F.count_if(F.col("skipped").isNotNull()).alias("n_skipped"), F.bool_or(F.coalesce(F.col("skipped") == "not a zip", F.lit(False))).alias("unreadable"),
+    )
+    return told.withColumn("large", (F.col("n_files") >= MANY_FILES) | (F.col("n_bytes") >= MANY_BYTES))
+
+
 def zip_members(files: DataFrame, max_files: int = ZIP_FILES, max_bytes: int = ZIP_BYTES, max_member: int = ZIP_MEMBER) -> DataFrame:
     """(zip, ord, path, content, skipped): members of archives (path, content); those over a limit, unsafe or unsupported say why."""
 

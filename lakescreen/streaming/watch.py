@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -96,6 +96,45 @@ def stable_files(looks: DataFrame) -> DataFrame:
     return named.groupBy("path").applyInPandasWithState(_settled, "path string, mtime double, size long, look long", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+#: Alerts that are kept, folders that are watched at once.
+ALERTS, FOLDERS = 50, 3
+
+
+def scan_alerts(results: DataFrame, n: int = ALERTS) -> DataFrame:
+    """(timestamp, path, risk_level, finding_count, notify) of the last n scanned files; red and black ones call for a notice."""
+    severe = F.col("risk_level").isin("rød", "svart")
+    return results.select("timestamp", "path", "risk_level", "finding_count", severe.alias("notify")).orderBy(F.desc("timestamp"), "path").limit(n)
+
+
+def scan_changes(stable: DataFrame, scan: Callable[[DataFrame], DataFrame], history: str, notify: Callable[[DataFrame], None] | None = None):
+    """Start scanning what a stream of stable files brings: each batch's results are added to ``history``, severe ones told.
+
+    scan: from files (path, mtime, size, look) to results (timestamp, path, risk_level, finding_count). A batch that runs
+    again replaces its own part of the history.
+    """
+
+    def each(files: DataFrame, batch: int) -> None:
+        results = scan(files)
+        results.withColumn("source", F.lit("watch")).write.mode("overwrite").parquet(f"{history.rstrip('/')}/batch={batch}")
+        if notify is not None:
+            severe = scan_alerts(files.sparkSession.read.parquet(f"{history.rstrip('/')}/batch={batch}")).where("notify")
+            if not severe.isEmpty():
+                notify(severe)
+
+    return stable.writeStream.foreachBatch(each)
+
+
+def watch_all(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """One stream of looks at several folders, three at most."""
+    if not 1 <= len(folders) <= FOLDERS:
+        raise ValueError(f"1 to {FOLDERS} folders can be watched")
+    streams = [watch(spark, f) for f in folders]
+    out = streams[0]
+    for more in streams[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 def clipboard_alert(findings: DataFrame, texts: DataFrame) -> DataFrame:
     """(source, ts, hash, risk_level, finding_count, categories) of pasted texts that are red or black; never the text.
 

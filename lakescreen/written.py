@@ -35,7 +35,9 @@ def hexes(n: int, start: int = 1, salt: str = "") -> Sql:
 
 
 def say(*parts: str) -> Sql:
-    said = [p if isinstance(p, Sql) else "'" + p.replace("'", "''") + "'" for p in parts]
+    """Texts and expressions joined. Engines read backslashes in a literal differently, so none stands in one."""
+    apart = [x for p in parts for x in ([p] if isinstance(p, Sql) else [Sql("chr(92)") if k % 2 else q for k, q in enumerate(p.replace("\\", "\0\\\0").split("\0")) if q or p == ""])]
+    said = [p if isinstance(p, Sql) else "'" + p.replace("'", "''") + "'" for p in apart]
     return Sql(said[0] if len(said) == 1 else f"concat({', '.join(said)})")
 
 

@@ -120,11 +120,17 @@ def test_pruning(spark):
     assert engine.scan(docs, engine.Options(categories=[]))[0].count() == 0
 
 
-def test_axis_rule():
-    assert detect.on_an_axis("values 0 10 ", "20 30 40 50", " 60 70", False)
-    assert not detect.on_an_axis("tel: ", "20 30 40 50", " 60 70", False)
-    assert not detect.on_an_axis("", "22 34 56 71", "", False)
-    assert detect.on_an_axis("", "20 25 30 35", " axis", False)
+def test_numbers_on_an_axis(spark):
+    rows = [
+        ("values 0 10 ", "20 30 40 50", " 60 70", True), ("tel: ", "20 30 40 50", " 60 70", False), ("", "22 34 56 71", "", False), ("", "20 25 30 35", " axis", True),
+        ("", "20 25 30 35", "", False), ("x 10 15 ", "20 25 30 35", " 40 y", True), ("10 15, ", "20 25 30 36", " 40", False), ("50 40 ", "30 20", "", False),
+        ("", "20 20 20 20", " 20 20", False), ("1 ", "99999999", " 2", False), ("a 5 b 10 c 15 d ", "20 25 30 35", " e", False),
+    ]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, pre string, m string, post string, want boolean")
+    hit = detect.Hit(F.struct("m", "pre", "post"))
+    got = {r.k: (r.normal, r.technical) for r in frame.select("k", detect.on_an_axis(hit, F.lit(False)).alias("normal"), detect.on_an_axis(hit, F.lit(True)).alias("technical")).collect()}
+    assert [got[k][0] for k in range(len(rows))] == [r[3] for r in rows]
+    assert got[4] == (False, True)  # four numbers are enough in technical texts
 
 
 def test_categories_registry(spark):
