@@ -69,17 +69,18 @@ def table_values(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, header, text, context): amounts in the financial columns of tables drawn with bars.
 
     A header holds for the table lines that follow it, up to the next header or line without a bar. Only table lines leave
-    their document; lines next to one another have numbers next to one another, which tells the blocks.
+    their document; lines next to one another have numbers next to one another, which tells the blocks. Rows of one doc_id
+    are read one by one, and told together.
     """
     said = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x, k: F.struct(k.alias("line"), x.alias("said"))), lambda x: x["said"].contains("|"))
-    lines = docs.where(F.contains("text", F.lit("|"))).select("doc_id", F.inline(said))
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
+    lines = docs.where(F.contains("text", F.lit("|"))).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(said))
+    nth = F.row_number().over(Window.partitionBy("row").orderBy("line"))
     row = lines.withColumn("cells", cells_of(F.col("said"))).withColumn("block", F.col("line") - nth)
     row = row.where(~F.forall("cells", lambda c: c.rlike("^-*$")))
     headed = lambda c: c.rlike(rx.java(A.MONEY_HEADER, "i")) & ~c.rlike(rx.java(A.OTHER_HEADER, "i"))
     row = row.withColumn("money", F.filter(F.transform("cells", lambda c, k: F.when(headed(c), k)), lambda k: k.isNotNull()))
     head = F.when(F.size("money") > 0, F.struct("cells", "money"))
-    row = row.withColumn("head", F.last(head, ignorenulls=True).over(Window.partitionBy("doc_id", "block").orderBy("line")))
+    row = row.withColumn("head", F.last(head, ignorenulls=True).over(Window.partitionBy("row", "block").orderBy("line")))
     body = row.where((F.size("money") == 0) & F.col("head").isNotNull() & (F.size("cells") > F.array_max("head.money")))
     each = body.select("doc_id", "line", F.trim("said").alias("context"), "cells", "head", F.explode("head.money").alias("col"))
     told = each.select("doc_id", "line", "col", F.get("head.cells", "col").alias("header"), F.get("cells", "col").alias("text"), "context").where(is_amount(F.col("text")))
