@@ -41,6 +41,57 @@ def literal(value: str) -> str:
     return re.sub(r"([^\w\s]|_)", r"\\\1", value).replace("\\_", "_")
 
 
+def quoted(value: str) -> str:
+    """``value`` as a literal of Spark's SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def offsets_sql(text: str, pattern: str) -> str:
+    """``offsets`` as SQL; for many patterns one expression as text is built much faster than one by calls."""
+    p, empty = quoted(pattern), "cast(array() as array<struct<start:int,end:int,m:string>>)"
+    start, end = "acc.at + length(x.`1`)", "acc.at + length(x.`1`) + length(x.`0`)"
+    one = f"named_struct('start', {start}, 'end', {end}, 'm', x.`0`)"
+    step = f"if(x.`0` is null, acc, named_struct('at', {end}, 'out', concat(acc.out, array({one}))))"
+    return f"aggregate(arrays_zip(regexp_extract_all({text}, {p}, 0), split({text}, {p}, -1)), named_struct('at', 0, 'out', {empty}), (acc, x) -> {step}, acc -> acc.out)"
+
+
+#: Hits without their surroundings.
+BARE = "array<struct<start:int,end:int,m:string,g:array<string>>>"
+NO_BARE = f"cast(array() as {BARE})"
+
+
+def bare_sql(text: str, pattern: str, groups: int = 0, g: str | None = None) -> str:
+    """Hits without their surroundings, as SQL. g: another expression for the groups, of the hit ``o`` (start, end, m)."""
+    p = quoted(pattern)
+    if groups:
+        of = ", ".join([offsets_sql(text, pattern), *(f"regexp_extract_all({text}, {p}, {k})" for k in range(1, groups + 1))])
+        own = "array(" + ", ".join(f"z.`{k}`" for k in range(1, groups + 1)) + ")"
+        rows = f"transform(arrays_zip({of}), z -> named_struct('start', z.`0`.start, 'end', z.`0`.`end`, 'm', z.`0`.m, 'g', {own}))"
+    else:
+        own = g or "cast(array() as array<string>)"
+        rows = f"transform({offsets_sql(text, pattern)}, o -> named_struct('start', o.start, 'end', o.`end`, 'm', o.m, 'g', {own}))"
+    return f"if({text} rlike {p}, cast({rows} as {BARE}), {NO_BARE})"
+
+
+def around_sql(text: str, h: str) -> str:
+    """The characters before and after a hit, as SQL."""
+    low = f"greatest(0, {h}.start - {AROUND})"
+    return f"'pre', substring({text}, {low} + 1, {h}.start - {low}), 'post', substring({text}, {h}.`end` + 1, {AROUND})"
+
+
+def hits_sql(text: str, pattern: str) -> str:
+    """``hits`` without groups, as SQL."""
+    row = f"named_struct('start', h.start, 'end', h.`end`, 'm', h.m, 'g', h.g, {around_sql(text, 'h')})"
+    return f"transform({bare_sql(text, pattern)}, h -> {row})"
+
+
+def near_sql(found: str, text: str, keyword: str, within: int) -> str:
+    """``near`` as SQL, of bare hits."""
+    places = f"transform({offsets_sql(text, keyword)}, w -> w.start)"
+    kept = f"transform(array({places}), places -> filter({found}, h -> exists(places, w -> abs(w - h.start) < {within})))[0]"
+    return f"if({text} rlike {quoted(keyword)}, {kept}, {NO_BARE})"
+
+
 def offsets(text: Column, pattern: str | Column) -> Column:
     """array<struct<start, end, m>> of all matches, by one fold over the gaps between them; linear in the text."""
     p = F.lit(pattern) if isinstance(pattern, str) else pattern

@@ -73,7 +73,7 @@ def table_values(docs: DataFrame) -> DataFrame:
     are read one by one, and told together.
     """
     said = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x, k: F.struct(k.alias("line"), x.alias("said"))), lambda x: x["said"].contains("|"))
-    lines = docs.where(F.contains("text", F.lit("|"))).select("doc_id", F.monotonically_increasing_id().alias("row"), F.inline(said))
+    lines = docs.where(F.contains("text", F.lit("|"))).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.inline(said))
     nth = F.row_number().over(Window.partitionBy("row").orderBy("line"))
     row = lines.withColumn("cells", cells_of(F.col("said"))).withColumn("block", F.col("line") - nth)
     row = row.where(~F.forall("cells", lambda c: c.rlike("^-*$")))

@@ -6,8 +6,9 @@ projection over its text and one explode; rules, snippets and first-of-a-value c
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -45,14 +46,14 @@ class Detector:
     languages: tuple[str, ...] | None = None
     near: tuple[str, int] | None = None
     valid: Expr | None = None
-    shown: Expr = field(default=lambda h: h.m)
+    shown: Expr | None = None
     raw: Expr | None = None
     reason: Expr | None = None
     scope: str | None = None
     key: Expr | None = None
     radius: int = 40
     more: Expr | None = None  # characters after the match that belong to it
-    hits: Callable[[Column], Column] | None = None
+    hits: Callable[[str], str] | None = None  # SQL of the hits in a text, of its expression
     pack: int = 0
 
 
@@ -165,29 +166,29 @@ def _words(words: tuple[str, ...]) -> str:
     return r"(?<!\w)(" + "|".join(map(rx.literal, words)) + r")(?!\w)"
 
 
-def _in_heading(words: tuple[str, ...]) -> Callable[[Column], Column]:
-    def found(text: Column) -> Column:
-        heads = F.when(text.rlike(rx.java(P.HEADING, "m")), rx.offsets(text, rx.java(P.HEADING, "m")))
-        of = rx.hits(text, rx.java(_words(words), "i"))
-        inside = lambda h: F.coalesce(F.exists(heads, lambda s: (s["start"] <= h["start"]) & (h["start"] <= s["end"])), F.lit(False))
-        return F.transform(of, lambda h: h.withField("g", F.array(inside(h).cast("string")))).cast(rx.HIT)
+def _in_heading(words: tuple[str, ...]) -> Callable[[str], str]:
+    def found(text: str) -> str:
+        heads, pattern = rx.java(P.HEADING, "m"), rx.java(_words(words), "i")
+        spans = f"if({text} rlike {rx.quoted(heads)}, {rx.offsets_sql(text, heads)}, null)"
+        inside = "array(cast(coalesce(exists(heads, s -> s.start <= o.start and o.start <= s.`end`), false) as string))"
+        return f"if({text} rlike {rx.quoted(pattern)}, transform(array({spans}), heads -> {rx.bare_sql(text, pattern, 0, inside)})[0], {rx.NO_BARE})"
 
     return found
 
 
-def _sums(text: Column) -> Column:
-    rows = F.filter(rx.offsets(text, rx.java(P.TOTAL_ROW, "im")), lambda o: F.size(F.regexp_extract_all(o["m"], F.lit(rx.java(P.MONEY)), F.lit(1))) >= 2)
-    spans = F.when(text.rlike(rx.java(P.TOTAL_ROW, "im")), rows)
-    free = lambda h: ~F.coalesce(F.exists(spans, lambda s: (s["start"] <= h["start"]) & (h["start"] < s["end"])), F.lit(False))
-    return F.filter(rx.hits(text, rx.java(P.SUM_WORD, "i"), 1), free)
+def _sums(text: str) -> str:
+    rows = rx.java(P.TOTAL_ROW, "im")
+    two = f"size(regexp_extract_all(o.m, {rx.quoted(rx.java(P.MONEY))}, 1)) >= 2"
+    spans = f"if({text} rlike {rx.quoted(rows)}, filter({rx.offsets_sql(text, rows)}, o -> {two}), null)"
+    free = "not coalesce(exists(spans, s -> s.start <= h.start and h.start < s.`end`), false)"
+    return f"transform(array({spans}), spans -> filter({rx.bare_sql(text, rx.java(P.SUM_WORD, 'i'), 1)}, h -> {free}))[0]"
 
 
-def _streets(text: Column) -> Column:
+def _streets(text: str) -> str:
     """Hits of all address patterns in their order, less those that overlap an earlier one; by place."""
-    each = F.concat(*(rx.hits(text, rx.java(p)) for p in P.STREETS))
-    over = lambda h, s: (s["start"] <= h["start"]) & (h["start"] < s["end"]) | (s["start"] < h["end"]) & (h["end"] <= s["end"])
-    taken = F.aggregate(each, F.array().cast(rx.HIT), lambda acc, h: F.when(F.exists(acc, lambda s: over(h, s)), acc).otherwise(F.concat(acc, F.array(h))))
-    return F.array_sort(taken)
+    each = "concat(" + ", ".join(rx.bare_sql(text, rx.java(p)) for p in P.STREETS) + ")"
+    over = "s.start <= h.start and h.start < s.`end` or s.start < h.`end` and h.`end` <= s.`end`"
+    return f"array_sort(aggregate({each}, {rx.NO_BARE}, (acc, h) -> if(exists(acc, s -> {over}), acc, concat(acc, array(h)))))"
 
 
 def _tax_value(h: Hit) -> Column:
@@ -329,12 +330,13 @@ def registry(spark: SparkSession | None = None) -> tuple[Detector, ...]:
     )
 
 
-def _swift(text: Column) -> Column:
+def _swift(text: str) -> str:
     """BIC-shaped codes, each told whether a bank word starts within 200 characters."""
     words = rx.java(P.SWIFT_WORDS, "i")
-    places = F.when(text.rlike(words), F.transform(rx.offsets(text, words), lambda o: o["start"]))
-    close = lambda h: F.coalesce(F.exists(places, lambda k: F.abs(k - h["start"]) < 200), F.lit(False))
-    return F.transform(rx.hits(text, rx.java(P.SWIFT)), lambda h: h.withField("g", F.array(close(h).cast("string")))).cast(rx.HIT)
+    places = f"if({text} rlike {rx.quoted(words)}, transform({rx.offsets_sql(text, words)}, o -> o.start), null)"
+    close = "array(cast(coalesce(exists(places, w -> abs(w - o.start) < 200), false) as string))"
+    pattern = rx.java(P.SWIFT)
+    return f"if({text} rlike {rx.quoted(pattern)}, transform(array({places}), places -> {rx.bare_sql(text, pattern, 0, close)})[0], {rx.NO_BARE})"
 
 
 #: What a text must hold before a detector's pattern is tried: one of some literals in its lower-cased form, and a plain
@@ -419,10 +421,33 @@ NEEDS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def _may_hold(name: str, text: Column, low: Column) -> Column:
+#: A text's digits: other characters as two blanks where two or more of them follow one another. Looks for digits read it
+#: instead of the text, of which it is a small part.
+DIGITS_ONLY = r"[^0-9+]{2,}"
+OF_DIGITS = re.compile(r"(?:\[0-9\](?:\{[0-9]+\})?|-|\\\.|0|\||\[\+\]46)+")
+RUN = re.compile(r"\[0-9\](?:\{([0-9]+)\})?")
+
+
+def _look(look: str, text: str, digits: str) -> list[str]:
+    """Conditions of a plain look, the cheapest first."""
+    holds = lambda words: "(" + " or ".join(f"contains({text}, {rx.quoted(w)})" for w in words) + ")"
+    if not look:
+        return []
+    if OF_DIGITS.fullmatch(look):
+        return [f"{digits} rlike {rx.quoted(look)}"]
+    if re.fullmatch(r"[A-Z]+(?:\|[A-Z]+)*|%", look):
+        return [holds(look.split("|"))]
+    if re.fullmatch(r"\[[:#=-]+\]", look):
+        return [holds(look[1:-1])]
+    runs = [int(n or 1) for n in RUN.findall(look.split("|")[0])] if "|" not in look else []
+    return [f"{digits} rlike '[0-9]{{{n}}}'" for n in sorted(runs)[-1:]] + [f"{text} rlike {rx.quoted(look)}"]
+
+
+def _may_hold(name: str, text: str, low: str, digits: str) -> str:
     words, look = NEEDS.get(name, ((), ""))
-    ok = reduce(lambda a, b: a | b, (low.contains(w) for w in words)) if words else F.lit(True)
-    return ok & text.rlike(look) if look else ok
+    looks = _look(look, text, digits)
+    said = ["(" + " or ".join(f"contains({low}, {rx.quoted(w)})" for w in words) + ")"] if words else []
+    return " and ".join([*(x for x in looks if x.startswith(digits)), *said, *(x for x in looks if not x.startswith(digits))]) or "true"
 
 
 def _apart(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -435,15 +460,58 @@ def wanted(detectors: tuple[Detector, ...], selected: tuple[str, ...] | None) ->
     return [(k, d) for k, d in enumerate(detectors) if selected is None or set(d.keys) & set(selected)]
 
 
-def _rows(text: Column, low: Column, lang: Column, k: int, d: Detector) -> Column:
-    found = d.hits(text) if d.hits else rx.hits(text, rx.java(d.pattern, d.flags), d.groups)
+def _rows(k: int, d: Detector) -> str:
+    text, lang = "doc.text", "doc.language"
+    found = d.hits(text) if d.hits else rx.bare_sql(text, rx.java(d.pattern, d.flags), d.groups)
     if d.near:
-        found = rx.near(found, text, *d.near)
-    due = _may_hold(d.name, text, low)
+        found = rx.near_sql(found, text, *d.near)
+    due = _may_hold(d.name, text, "doc.low", "doc.digits")
     if d.languages:
-        due = lang.isin(*d.languages) & due
-    found = F.when(due, found).otherwise(F.array().cast(rx.HIT))
-    return F.transform(found, lambda h, i: F.struct(F.lit(k).alias("k"), i.cast("int").alias("match_ord"), h.alias("h")))
+        due = f"{lang} in ({', '.join(map(rx.quoted, d.languages))}) and {due}"
+    return f"transform(if({due}, {found}, {rx.NO_BARE}), (h, i) -> named_struct('k', {k}, 'match_ord', i, 'h', h))"
+
+
+def _all_hits(run: list[Detector]) -> str:
+    """SQL of the hits of all detectors in ``text``, read in ``language``: structs (k, match_ord, start, end, m, g, pre, post)."""
+    each = ", ".join(_rows(n, d) for n, d in enumerate(run))
+    doc = f"named_struct('text', text, 'low', lower(text), 'digits', regexp_replace(text, {rx.quoted(DIGITS_ONLY)}, '  '), 'language', language)"
+    row = f"named_struct('k', r.k, 'match_ord', r.match_ord, 'start', r.h.start, 'end', r.h.`end`, 'm', r.h.m, 'g', r.h.g, {rx.around_sql('doc.text', 'r.h')})"
+    # Inside a lambda the expression is evaluated as it stands, not compiled as one method, which would be too large.
+    return f"transform(array({doc}), doc -> transform(flatten(array({each})), r -> {row}))[0]"
+
+
+def _judged(run: list[Detector], r: Column) -> Column:
+    """What rules say of a hit ``r`` of one of ``run``: ok, category, text, raw_text, reason, key, more."""
+    h, k = Hit(r), r["k"]
+
+    def chosen(of: Callable[[Detector], Expr | None], default: Column) -> Column:
+        out = None
+        for n, d in enumerate(run):
+            if (value := of(d)) is not None:
+                out = (out if out is not None else F).when(k == n, value(h))
+        return default if out is None else out.otherwise(default)
+
+    nothing = F.lit(None).cast("string")
+    return F.struct(
+        F.coalesce(chosen(lambda d: d.valid, F.lit(True)), F.lit(False)).alias("ok"),
+        chosen(lambda d: None if isinstance(d.category, str) else d.category, nothing).alias("category"),
+        chosen(lambda d: d.shown, h.m).alias("text"),
+        chosen(lambda d: d.raw, F.lit("")).alias("raw_text"),
+        chosen(lambda d: d.reason, nothing).alias("reason"),
+        chosen(lambda d: d.key, nothing).alias("key"),
+        chosen(lambda d: d.more, F.lit(0)).alias("more"),
+    )
+
+
+#: Expressions of ``_judged`` by application and detectors: to build one for all detectors takes seconds.
+_BUILT: dict[tuple[str, ...], Column] = {}
+
+
+def _verdict(spark: SparkSession, run: list[Detector]) -> Column:
+    key = (spark.sparkContext.applicationId, *(d.name for d in run))
+    if key not in _BUILT:
+        _BUILT[key] = _apart(F.struct("k", "m", "g", "pre", "post", "technical"), lambda r: _judged(run, r))
+    return _BUILT[key]
 
 
 FINDING = (
@@ -460,46 +528,22 @@ def scan(docs: DataFrame, categories: list[str] | None = None, only: tuple[str,
     run = [(k, d) for k, d in wanted(detectors, dims.selected_keys(categories)) if only is None or d.name in only]
     if not run:
         return docs.limit(0).select("doc_id", *(F.lit(None).cast("int" if c.endswith("ord") or c in ("start", "end") else "string").alias(c) for c in FINDING[1:]), F.lit(None).cast("string").alias("reason"))
-    names = F.array(*(F.lit(d.name) for _, d in run))
-
-    def found(doc: Column) -> Column:
-        return F.flatten(F.array(*(_rows(doc["text"], doc["low"], doc["language"], n, d) for n, (_, d) in enumerate(run))))
-
-    def judged(r: Column) -> Column:
-        h, k = Hit(r), r["k"]
-
-        def chosen(of: Callable[[Detector], Column | None], default: Column) -> Column:
-            out = None
-            for n, (_, d) in enumerate(run):
-                value = of(d)
-                if value is not None:
-                    out = (out if out is not None else F).when(k == n, value)
-            return default if out is None else out.otherwise(default)
-
-        text_of = lambda v: F.lit(v) if isinstance(v, str) else v(h)
-        nothing = F.lit(None).cast("string")
-        more = chosen(lambda d: d.more and d.more(h), F.lit(0))
-        context = rx.snippet(
-            h.pre, F.concat(h.m, F.substr(h.post, F.lit(1), more)), F.substr(h.post, more + 1, F.lit(rx.AROUND)),
-            r["start"], r["end"] + more, r["length"], chosen(lambda d: F.lit(d.radius), F.lit(40)),
-        )
-        return F.struct(
-            F.coalesce(chosen(lambda d: d.valid and d.valid(h), F.lit(True)), F.lit(False)).alias("ok"),
-            chosen(lambda d: text_of(d.category), F.lit("")).alias("category"),
-            chosen(lambda d: d.shown(h), h.m).alias("text"),
-            chosen(lambda d: d.raw and d.raw(h), F.lit("")).alias("raw_text"),
-            chosen(lambda d: d.reason and d.reason(h), nothing).alias("reason"),
-            chosen(lambda d: d.scope and F.lit(d.scope), nothing).alias("scope"),
-            chosen(lambda d: d.key and d.key(h), nothing).alias("key"),
-            context.alias("context"),
-        )
-
-    base = docs.where("text is not null").select(
-        "doc_id", F.length("text").alias("length"), "technical", F.explode(_apart(F.struct("text", F.lower("text").alias("low"), "language"), found)).alias("r")
-    )
-    rows = base.select("doc_id", "length", "technical", "r.k", "r.match_ord", "r.h.*")
-    seen = rows.withColumn("t", _apart(F.struct("k", "m", "g", "pre", "post", "start", "end", "length", "technical"), judged))
-    told = seen.where("t.ok").select("doc_id", "k", "match_ord", "start", "end", "t.*").drop("ok")
+    place = lambda values: F.expr(f"element_at(array({', '.join(values)}), k + 1)")
+
+    base = docs.where("text is not null").select("doc_id", F.length("text").alias("length"), "technical", F.explode(F.expr(_all_hits([d for _, d in run]))).alias("r"))
+    rows = base.select("doc_id", "length", "technical", "r.*")
+    seen = rows.withColumn("t", _verdict(docs.sparkSession, [d for _, d in run])).where("t.ok")
+    more = F.col("t.more")
+    context = rx.snippet(
+        F.col("pre"), F.concat("m", F.substr("post", F.lit(1), more)), F.substr("post", more + 1, F.lit(rx.AROUND)),
+        F.col("start"), F.col("end") + more, F.col("length"), place([str(d.radius) for _, d in run]),
+    )
+    known = place([rx.quoted(d.category) if isinstance(d.category, str) else "cast(null as string)" for _, d in run])
+    scope = place([rx.quoted(d.scope) if d.scope else "cast(null as string)" for _, d in run])
+    told = seen.select(
+        "doc_id", "k", "match_ord", "start", "end", F.coalesce("t.category", known).alias("category"), "t.text", "t.raw_text", "t.reason", "t.key",
+        scope.alias("scope"), context.alias("context"),
+    )
     if any(d.scope for _, d in run):
         first = Window.partitionBy("doc_id", "scope", "category_key", "key").orderBy("k", "match_ord")
         # Values that need not be the first of their kind are keyed by their place, so none shares a group.
@@ -507,10 +551,9 @@ def scan(docs: DataFrame, categories: list[str] | None = None, only: tuple[str,
             "key", F.when(F.col("scope").isNull(), F.concat_ws(":", "k", "match_ord")).otherwise(F.col("key"))
         )
         told = told.withColumn("nth", F.row_number().over(first)).where("nth = 1")
-    place = lambda of: F.element_at(F.array(*(F.lit(of(k, d)) for k, d in run)), F.col("k") + 1)
     return told.select(
-        "doc_id", place(lambda _, d: d.pack).alias("det_ord"), place(lambda k, _: k).alias("sub_ord"), "match_ord",
-        F.element_at(names, F.col("k") + 1).alias("detector"), F.lit("rule").alias("engine"),
+        "doc_id", place([str(d.pack) for _, d in run]).alias("det_ord"), place([str(k) for k, _ in run]).alias("sub_ord"), "match_ord",
+        place([rx.quoted(d.name) for _, d in run]).alias("detector"), F.lit("rule").alias("engine"),
         "category", "text", F.when(F.col("raw_text") == "", F.col("text")).otherwise(F.col("raw_text")).alias("raw_text"), "context", "start", "end",
         dims.severity("category").alias("severity"), F.lit(None).cast("string").alias("confidence"), "reason",
     )

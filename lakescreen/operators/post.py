@@ -82,19 +82,23 @@ def parse_patterns(content: str) -> list[dict]:
     return out
 
 
+def _found(docs: DataFrame, patterns: list[str], most: int | None = None) -> DataFrame:
+    """(doc_id, n, ord, k, start, end, m, g, pre, post): hits of each pattern k in texts of n characters; ``most`` of each at most."""
+    of = lambda p: rx.hits_sql("doc.text", p) if most is None else f"slice({rx.hits_sql('doc.text', p)}, 1, {most})"
+    each = ", ".join(f"transform({of(p)}, h -> named_struct('k', {k}, 'h', h))" for k, p in enumerate(patterns))
+    none = f"cast(array() as array<struct<k:int,h:{rx.HIT[6:-1]}>>)"
+    all_ = f"transform(array(named_struct('text', text)), doc -> flatten(array({', '.join([none, each] if each else [none])})))[0]"
+    rows = docs.where("text is not null").select("doc_id", F.length("text").alias("n"), F.posexplode(F.expr(all_)).alias("ord", "r"))
+    return rows.select("doc_id", "n", "ord", "r.k", "r.h.*")
+
+
 def custom(docs: DataFrame, patterns: list[dict]) -> DataFrame:
     """Findings of own patterns, ``MOST_MATCHES`` matches of each at most, each value once, with the pattern's severity."""
     if len(patterns) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} patterns")
-    kind = "array<struct<category:string,severity:string,k:int,h:struct<start:int,end:int,m:string,g:array<string>,pre:string,post:string>>>"
-
-    def of(text: Column, k: int, p: dict) -> Column:
-        found = F.slice(rx.hits(text, rx.java(p["regex"], "i" if p["ignore_case"] else "")), 1, MOST_MATCHES)
-        return F.transform(found, lambda h: F.struct(F.lit(f"Egendefinert: {p['name']}").alias("category"), F.lit(p["severity"]).alias("severity"), F.lit(k).alias("k"), h.alias("h")))
-
-    each = lambda d: F.flatten(F.array(F.array().cast(kind), *(of(d["text"], k, p) for k, p in enumerate(patterns))))
-    rows = docs.where("text is not null").select("doc_id", F.length("text").alias("n"), F.posexplode(F.transform(F.array(F.struct("text")), each)[0]).alias("ord", "r"))
-    told = rows.select("doc_id", "n", "ord", "r.category", "r.severity", "r.k", "r.h.*").where("m <> ''")
+    rows = _found(docs, [rx.java(p["regex"], "i" if p["ignore_case"] else "") for p in patterns], MOST_MATCHES)
+    of = lambda values: F.element_at(F.array(F.lit(""), *map(F.lit, values)), F.col("k") + 2)
+    told = rows.where("m <> ''").withColumn("category", of([f"Egendefinert: {p['name']}" for p in patterns])).withColumn("severity", of([p["severity"] for p in patterns]))
     first = told.groupBy("doc_id", "k", "m").agg(F.min(F.struct("ord", "n", "category", "severity", "start", "end", "pre", "post")).alias("f"))
     return _told(first.select("doc_id", "k", "m", "f.*"), 90, 60)
 
@@ -104,12 +108,8 @@ def blacklist(docs: DataFrame, terms: list[str]) -> DataFrame:
     terms = list(dict.fromkeys(t for t in terms if t))
     if len(terms) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} terms")
-    patterns = [{"name": t, "regex": rx.literal(t), "severity": "rød", "ignore_case": True} for t in terms]
-    kind = "array<struct<k:int,h:struct<start:int,end:int,m:string,g:array<string>,pre:string,post:string>>>"
-    of = lambda text, k, p: F.transform(rx.hits(text, rx.java(p["regex"], "i")), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
-    each = lambda d: F.flatten(F.array(F.array().cast(kind), *(of(d["text"], k, p) for k, p in enumerate(patterns))))
-    rows = docs.where("text is not null").select("doc_id", F.length("text").alias("n"), F.posexplode(F.transform(F.array(F.struct("text")), each)[0]).alias("ord", "r"))
-    told = rows.select("doc_id", "n", "ord", F.lit("Blacklist").alias("category"), F.lit("rød").alias("severity"), "r.k", "r.h.*")
+    rows = _found(docs, [rx.java(rx.literal(t), "i") for t in terms])
+    told = rows.select("*", F.lit("Blacklist").alias("category"), F.lit("rød").alias("severity"))
     first = told.groupBy("doc_id", F.lower("m"), "start").agg(F.min(F.struct("ord", "k", "m", "n", "category", "severity", "end", "pre", "post")).alias("f"))
     return _told(first.select("doc_id", "start", "f.*"), 99, 70)
 
@@ -119,11 +119,7 @@ def clients(docs: DataFrame, names: list[str]) -> DataFrame:
     patterns = [rx.java(r"(?<!\w)" + rx.literal(n) + r"(?!\w)", "i") for n in dict.fromkeys(names)]
     if len(patterns) > MOST_TERMS:
         raise ValueError(f"more than {MOST_TERMS} names")
-    kind = "array<struct<k:int,h:struct<start:int,end:int,m:string,g:array<string>,pre:string,post:string>>>"
-    of = lambda text, k, p: F.transform(rx.hits(text, p), lambda h: F.struct(F.lit(k).alias("k"), h.alias("h")))
-    each = lambda d: F.flatten(F.array(F.array().cast(kind), *(of(d["text"], k, p) for k, p in enumerate(patterns))))
-    rows = docs.where("text is not null").select("doc_id", F.length("text").alias("n"), F.posexplode(F.transform(F.array(F.struct("text")), each)[0]).alias("ord", "r"))
-    told = rows.select("doc_id", "n", "ord", F.lit("kundenavn").alias("category"), F.lit("gul").alias("severity"), "r.k", "r.h.*")
+    told = _found(docs, patterns).select("*", F.lit("kundenavn").alias("category"), F.lit("gul").alias("severity"))
     return _told(told, 14, 50)
 
 

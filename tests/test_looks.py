@@ -59,7 +59,14 @@ AFTER = {"total_row": " 12 13", "birth_date": " 12.03.1985"}
 
 def _due(name, text):
     words, look = detect.NEEDS[name]
-    return (not words or any(w in text.lower() for w in words)) and (not look or re.search(look, text) is not None)
+    digits = re.sub(detect.DIGITS_ONLY, "  ", text)
+
+    def holds(condition):
+        if m := re.fullmatch(r"(digits|text) rlike '(.*)'", condition):
+            return re.search(m[2].replace("\\\\", "\\"), digits if m[1] == "digits" else text) is not None
+        return any(w in text for w in re.findall(r"contains\(text, '(.*?)'\)", condition))
+
+    return (not words or any(w in text.lower() for w in words)) and all(map(holds, detect._look(look, "text", "digits")))
 
 
 @pytest.fixture(scope="module")
