@@ -326,8 +326,11 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
     """Train on at most ``rows`` labelled documents of at most ``chars`` characters whose fold is not held out.
 
-    The sample is that of the least hashes of doc_id. Null labels and ids are left out; of repeated labels the highest
-    holds, and of repeated documents the text whose hash is least.
+    The sample is that of the least hashes of doc_id. Twice ``rows`` labels are drawn, so that many can be absent from
+    ``docs`` or have longer texts; if more are, the sample is smaller. Null labels and ids are left out; of repeated
+    labels, tied in doc_id, the highest holds, and of repeated documents the text whose hash is least. Empty tables, or
+    labels of one kind only, give a model that scores all texts alike. Columns other than doc_id, text and toxic are not
+    looked at.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     marked = labels.where("doc_id is not null and toxic is not null").where(fold != 1).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
@@ -342,7 +345,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: in
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """One row (doc_id, held_out, score, predicted) for each row of ``docs``, by a narrow pass over whole texts.
 
-    Null, empty and wordless texts score 0. Repeated rows score alike. A null doc_id is hashed as no text: not held out.
+    Null, empty and wordless texts score 0. A very long text is scored whole, window by window; memory follows the longest
+    one. Rows repeated or tied in doc_id score by their texts. A null doc_id is not held out. An empty table gives no
+    rows. Columns other than doc_id and text are not looked at, so others may have any names.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -362,7 +367,10 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more; columns stay as they are."""
+    """``docs`` without the rows that score ``threshold`` or more; columns, of any names, stay as they are.
+
+    Null, empty and very long texts, repeated rows and empty tables as in ``scores``: each row goes by its text alone.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     held = spark.sparkContext.broadcast(model)
