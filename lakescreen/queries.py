@@ -477,7 +477,22 @@ def merge_ai_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merged.select("doc_id", "text", "severity", "engine")
 
 
-@query("language_profile")
+def _language_sql() -> str:
+    """SQL of the languages and profiles of documents."""
+    said = "list_distinct(regexp_split_to_array(lower(substr(text, 1, 3000)), '[^\\p{L}]+'))"
+    score = lambda words: f"len(list_intersect(w, [{', '.join(repr(x) for x in dict.fromkeys(words.split()))}]))"
+    scores = ", ".join(f"{{'n': {score(words)}, 'tie': {int(code == 'en')}, 'code': '{code}'}}" for code, words in language.STOP_WORDS.items())
+    count = lambda p: f"least(3, len(regexp_extract_all(substr(text, 1, 50000), '{p}')))"
+    total = " + ".join(f"{count(p)} * {w}" for p, w in language.TECHNICAL)
+    strong = " or ".join(f"{count(p)} > 0" for p, w in language.TECHNICAL if w >= 3)
+    return f"""
+with s as (select doc_id, text, {said} as w from documents),
+b as (select doc_id, text, list_aggregate([{scores}], 'max') as best from s)
+select doc_id, case when length(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) < 80 or text is null or best.n < 3 then 'en' else best.code end as language,
+  case when coalesce(({strong}) or {total} >= 3, false) then 'technical' else 'normal' end as profile from b"""
+
+
+@query("language_profile", _language_sql())
 def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     return docs.select("doc_id", language.resolve(F.lit("auto"), F.col("text")).alias("language"), language.profile(F.lit("auto"), F.col("text")).alias("profile"))
@@ -497,7 +512,16 @@ def table_like(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.size(bars).cast("long").alias("bar_lines"))
 
 
-@query("looks_tabular")
+_TABULAR_SQL = r"""
+with l as (select doc_id, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(x)), lambda x: x <> '') as lines from documents),
+c as (select doc_id, len(lines) as n,
+  len(list_filter(lines[1:300], lambda x: regexp_matches(x, '\S\s{2,}\S') or length(x) - length(replace(x, chr(9), '')) >= 2 or length(x) - length(replace(x, '|', '')) >= 2)) as columns_,
+  len(list_filter(lines[1:300], lambda x: len(regexp_extract_all(x, '(?i)(?:\b\d{1,3}(?:[ .,\t]\d{3})+(?:[,.]\d{1,2})?\b|\b\d+[,.]\d{2}\b|\b\d+\s*(?:kr|nok|eur|usd|%|\$|€)\b)')) >= 2)) as numbers,
+  len(list_filter(lines[1:300], lambda x: regexp_matches(x, '(?i)\b(unit\s+price|quantity|qty|description|invoice|subtotal|total|vat|amount|table\s+\d+|kolonne|beløp|sum|mva|antall|enhetspris)\b'))) as words from l)
+select doc_id, n >= 3 and (columns_ >= 4 or columns_ >= 2 and (numbers >= 2 or words >= 2) or numbers >= 4 and words >= 1) as tabular from c"""
+
+
+@query("looks_tabular", _TABULAR_SQL)
 def looks_tabular(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", extract.looks_tabular(F.col("text")).alias("tabular"))
 
