@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, pii, simhash, tokenbin, tokencount, topk, toxicity, urlrules
+from . import decontam, linededup, mixing, pii, simhash, tokenbin, tokencount, topk, toxicity, urlrules, whiten
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op10_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, component, n, deviation, whitened, explained, identity_error: up to 32 components of every vector."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_SQL: dict[str, str] = {
