@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, pii, simhash, tokenbin, tokencount, topk, toxicity, urlrules, whiten
+from . import decontam, linededup, mixing, pii, prefixtrie, simhash, tokenbin, tokencount, topk, toxicity, urlrules, whiten
 from .common import table
 
 
@@ -59,6 +59,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.op10_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 of every node of the rebuilt conversations."""
+    return prefixtrie.op11_digest(table(spark, sf_dir, "conversations"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error: up to 32 components of every vector."""
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
@@ -75,6 +80,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_whitening": op13_whitening,
 }
 
@@ -83,4 +89,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_exact_top_k": topk.OP6_SQL,
     "op9_decontamination": decontam.OP9_SQL,
     "op10_line_dedup": linededup.OP10_SQL,
+    "op11_prefix_trie": prefixtrie.OP11_SQL,
 }
