@@ -268,7 +268,10 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def in_shards(distinct: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
-    """(shard, seq, n, first, before, after): ranges of the sequences; a range's first and last row know their neighbour outside."""
+    """(shard, seq, n, first, before, after): ranges of the sequences; a range's first and last row know their neighbour outside.
+
+    Rows of a shard lie together, in order.
+    """
     total = distinct.agg(F.sum(F.octet_length("seq"))).first()[0] or 0
     shards = max(distinct.sparkSession.sparkContext.defaultParallelism, -(-total // (TURN * shard_turns)))
     dealt = staged(distinct.repartitionByRange(shards, "seq").select(F.spark_partition_id().alias("shard"), "seq", "n", "first"), "shards")
@@ -278,17 +281,17 @@ def in_shards(distinct: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
         .agg(F.min("seq").alias("least"), F.max("seq").alias("most"))
         .select("shard", "least", "most", F.lag("most").over(along).alias("before"), F.lead("least").over(along).alias("after"))
     )
-    return dealt.join(ends, "shard").select(
+    known = dealt.join(ends, "shard").select(
         "shard", "seq", "n", "first", F.when(F.col("seq") == F.col("least"), F.col("before")).alias("before"), F.when(F.col("seq") == F.col("most"), F.col("after")).alias("after")
     )
+    return known.repartition(shards, "shard").sortWithinPartitions("shard", "seq")
 
 
 def nodes(rows: DataFrame, shard_turns: int = SHARD_TURNS) -> DataFrame:
     """The trie's nodes from rows (conv_id, seq), a sequence being ``TURN`` bytes a turn: see ``op11_digest``."""
     pieces = staged(chunks(rows), "ends")
     distinct = staged(pieces.groupBy("seq").agg(F.sum("n").alias("n"), F.min("start").alias("first")), "distinct")
-    sharded = in_shards(distinct, shard_turns)
-    found = staged(sharded.repartition("shard").sortWithinPartitions("shard", "seq").mapInArrow(_shards, NODE), "nodes")
+    found = staged(in_shards(distinct, shard_turns).mapInArrow(_shards, NODE), "nodes")
     summed = ("n_convs", "n_children", "n_leaves", "saved_tokens")
     opened = (
         found.where("path is not null")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, pii, prefixtrie, simhash, tokenbin, tokencount, topk, toxicity, urlrules, whiten
+from . import anngraph, decontam, linededup, mixing, pii, prefixtrie, simhash, tokenbin, tokencount, topk, toxicity, urlrules, whiten
 from .common import table
 
 
@@ -64,6 +64,11 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefixtrie.op11_digest(table(spark, sf_dir, "conversations"))
 
 
+def op12_ann_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 20 nearest found of every query vector."""
+    return anngraph.op12_digest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, component, n, deviation, whitened, explained, identity_error: up to 32 components of every vector."""
     return whiten.whiten(table(spark, sf_dir, "embeddings"))
@@ -81,6 +86,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_line_dedup": op10_line_dedup,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_ann_graph": op12_ann_graph,
     "op13_whitening": op13_whitening,
 }
 
