@@ -34,6 +34,8 @@ SHARD_NODES, DEGREE, RELAXED, BUILD_BEAM, BEAM = 8192, 32, 1.2, 64, 120
 ENTER, ASK, STEP = 512, 256, 4
 #: Queries of a block in the shared folder; rows of an index that are returned at a time.
 QUERY_ROWS, SLICE = 4096, 1024
+#: Nodes of the sample that sets each query's bar, at most, and their bytes.
+SEEDS, SEED_BYTES = 4096, 8 << 20
 
 
 def fit_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -261,8 +263,40 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return total
 
 
-def answers(graph: Graph, v: np.ndarray, ids: list[np.ndarray], asked: np.ndarray, q: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score): the k best of a shard for each query, none with its own id."""
+def bars(seed_ids: np.ndarray, seeds: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k-th best answer reaches, from some rows; none of its own id counts. A little lower, for rounding."""
+    if len(seeds) <= k:
+        return np.full(len(q), -np.inf)
+    score = np.where(asked[:, None] == seed_ids[None], -np.inf, q @ seeds.T)
+    best = np.partition(score, -k, axis=1)[:, -k]
+    return best - 1e-9 * norms(q) * norms(seeds).max()
+
+
+def barred(queries: DataFrame, indexed: DataFrame, k: int) -> DataFrame:
+    """``queries`` with their bars, so that a shard returns no rows that cannot be among the best."""
+    widest = indexed.agg(F.max("d")).first()[0] or 1
+    sample = indexed.select("v", "ids").orderBy(F.xxhash64("v"), "v").limit(max(1, min(SEEDS, SEED_BYTES // (8 * widest))))
+    known = queries.sparkSession.sparkContext.broadcast(sample.toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = known.value.combine_chunks()
+        ids = held.column("ids").to_pylist()
+        by_size = {}
+        for rows, v in _matrix(held.column("v").combine_chunks()) if held.num_rows else []:
+            sizes = [len(ids[r]) for r in rows]
+            by_size[v.shape[1]] = np.concatenate([ids[r] for r in rows]), np.repeat(v, sizes, axis=0)
+        for batch in batches:
+            bar, asked = np.full(batch.num_rows, -np.inf), batch.column("vec_id").to_numpy()
+            for rows, q in _matrix(batch.column("v")) if batch.num_rows else []:
+                if q.shape[1] in by_size:
+                    bar[rows] = bars(*by_size[q.shape[1]], asked[rows], q, k)
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(bar)], ["vec_id", "v", "bar"])
+
+    return queries.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, bar double")
+
+
+def answers(graph: Graph, v: np.ndarray, ids: list[np.ndarray], asked: np.ndarray, q: np.ndarray, bar: np.ndarray, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score): the k best of a shard for each query, none with its own id, none below its bar."""
     directions = np.c_[q / norms(q)[:, None], np.zeros(len(q))].astype(np.float32)
     found, _ = graph.beams(directions, beam)
     row, _ = np.nonzero(found >= 0)
@@ -270,7 +304,7 @@ def answers(graph: Graph, v: np.ndarray, ids: list[np.ndarray], asked: np.ndarra
     score = scores(q[row], v[node])
     sizes = np.array([len(ids[n]) for n in node], np.int64)
     row, score, vec = np.repeat(row, sizes), np.repeat(score, sizes), np.concatenate([ids[n] for n in node])
-    keep = vec != asked[row]
+    keep = (vec != asked[row]) & (score >= bar[row])
     row, score, vec = row[keep], score[keep], vec[keep]
     order = np.lexsort((vec, -score, row))
     row, score, vec = row[order], score[order], vec[order]
@@ -301,7 +335,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM,
     Queries lie in the shared folder in blocks; a task holds a shard's graph and reads the blocks of its length one by one.
     """
     spark = queries.sparkSession
-    asked = staged(queries, "asked")
+    asked = staged(barred(queries, indexed, k), "asked")
     blocks = max(1, -(-asked.count() // query_rows))
     folder = f"{shared_dir(spark).rstrip('/')}/staged/ann-queries-{uuid.uuid4().hex}"
     remove_at_exit(spark, folder)
@@ -318,9 +352,10 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM,
             graph = Graph(augmented(v, norms(v).max()), edges, int(np.argmax(shard.column("entry").to_numpy())))
             ids = [np.array(i, np.int64) for i in shard.column("ids").to_pylist()]
             for block in range(blocks):
-                query_ids, q = _block(f"{folder}/block={block}").get(v.shape[1], ((), ()))
+                query_ids, q, bar = _block(f"{folder}/block={block}").get(v.shape[1], ((), (), ()))
                 for at in range(0, len(query_ids), ASK):
-                    columns = answers(graph, v, ids, query_ids[at : at + ASK], q[at : at + ASK], k, beam)
+                    part = slice(at, at + ASK)
+                    columns = answers(graph, v, ids, query_ids[part], q[part], bar[part], k, beam)
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     dealt = indexed.repartition(max(1, shards), "part").sortWithinPartitions(*GRAPH, "node")
@@ -330,15 +365,15 @@ def search(indexed: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM,
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _block(folder: str) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of a block's queries, by length."""
+def _block(folder: str) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Ids, vectors and bars of a block's queries, by length."""
     system, path = open_folder(folder)
     if system.get_file_info(path).type == filesystems.FileType.NotFound:
         return {}
     names = [f.path for f in system.get_file_info(filesystems.FileSelector(path)) if f.path.endswith(".parquet")]
     rows = pa.concat_tables(parquet.ParquetFile(system.open_input_file(n)).read() for n in names).combine_chunks()
-    ids = rows.column("vec_id").to_numpy()
-    return {m.shape[1]: (ids[at], m) for at, m in _matrix(rows.column("v").combine_chunks())}
+    ids, bar = rows.column("vec_id").to_numpy(), rows.column("bar").to_numpy()
+    return {m.shape[1]: (ids[at], m, bar[at]) for at, m in _matrix(rows.column("v").combine_chunks())}
 
 
 def op12_digest(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
