@@ -34,8 +34,9 @@ SHARD_NODES, DEGREE, RELAXED, BUILD_BEAM, BEAM = 8192, 32, 1.2, 64, 120
 ENTER, ASK, STEP = 512, 256, 4
 #: Queries of a block in the shared folder; rows of an index that are returned at a time.
 QUERY_ROWS, SLICE = 4096, 1024
-#: Nodes of the sample that sets each query's bar, at most, and their bytes.
-SEEDS, SEED_BYTES = 4096, 8 << 20
+#: Nodes of the sample that sets each query's bar, at most, and their bytes. The bar is the sample's (SPARE * k)-th best, as a
+#: graph may miss some of what reaches it.
+SEEDS, SEED_BYTES, SPARE = 4096, 8 << 20, 3
 
 
 def fit_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -264,11 +265,11 @@ def scores(q: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def bars(seed_ids: np.ndarray, seeds: np.ndarray, asked: np.ndarray, q: np.ndarray, k: int) -> np.ndarray:
-    """A score that each query's k-th best answer reaches, from some rows; none of its own id counts. A little lower, for rounding."""
-    if len(seeds) <= k:
+    """A score that each query's best answers reach, from some rows; none of its own id counts. A little lower, for rounding."""
+    if len(seeds) <= SPARE * k:
         return np.full(len(q), -np.inf)
     score = np.where(asked[:, None] == seed_ids[None], -np.inf, q @ seeds.T)
-    best = np.partition(score, -k, axis=1)[:, -k]
+    best = np.partition(score, -SPARE * k, axis=1)[:, -SPARE * k]
     return best - 1e-9 * norms(q) * norms(seeds).max()
 
 
