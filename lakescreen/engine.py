@@ -18,9 +18,9 @@ class Options:
     categories: list[str] | None = None
     ignored: DataFrame | None = None
     whitelist: DataFrame | None = None
-    blacklist: list[str] = field(default_factory=list)
+    blacklist: list[str] | DataFrame = field(default_factory=list)
     patterns: list[dict] = field(default_factory=list)
-    clients: list[str] = field(default_factory=list)
+    clients: list[str] | DataFrame = field(default_factory=list)
     names: bool = False
     name_lists: names.Lists | None = None
     name_provider: object | None = None
@@ -66,7 +66,7 @@ def scan(docs: DataFrame, options: Options | None = None) -> tuple[DataFrame, Da
     rows = detect.scan(ready, options.categories, options.only)
     if options.patterns:
         rows = rows.unionByName(post.custom(ready, options.patterns), allowMissingColumns=True)
-    if options.clients:
+    if post.named(options.clients):
         rows = rows.unionByName(post.clients(ready, options.clients), allowMissingColumns=True)
     if options.names:
         found = names.names(ready, options.name_lists, options.name_provider)
@@ -84,7 +84,7 @@ def scan(docs: DataFrame, options: Options | None = None) -> tuple[DataFrame, Da
     kept = post.mark_whitelisted(kept, options.whitelist) if options.whitelist is not None else kept.withColumn("whitelisted", F.lit(False))
     if options.names and options.name_provider is None:
         kept = kept.unionByName(_no_provider(ready).withColumn("whitelisted", F.lit(False)), allowMissingColumns=True)
-    if options.blacklist:
+    if post.named(options.blacklist):
         kept = kept.unionByName(post.blacklist(ready, options.blacklist).withColumn("whitelisted", F.lit(False)))
     return kept.drop("reason"), post.in_categories(rows.where("reason is not null"), options.categories)
 

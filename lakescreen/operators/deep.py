@@ -276,7 +276,7 @@ def supplements(docs: DataFrame, categories: list[str]) -> DataFrame:
 
 
 def refine(
-    ai: DataFrame, docs: DataFrame, least: str = "low", whitelist: DataFrame | None = None, blacklist: list[str] | None = None,
+    ai: DataFrame, docs: DataFrame, least: str = "low", whitelist: DataFrame | None = None, blacklist: list[str] | DataFrame | None = None,
     categories: list[str] | None = None, ignored: DataFrame | None = None, lists: names.Lists | None = None,
 ) -> DataFrame:
     """Model findings (doc_id, ord, category, text, context, confidence) as they are told.
@@ -299,7 +299,7 @@ def refine(
         keyed = kept.withColumn("_own", F.col("category")).withColumn("category", named).select("*", *(F.lit(0).alias(c) for c in ("det_ord", "sub_ord")), F.col("ord").alias("match_ord"))
         kept = post.ignore(keyed, ignored).drop("category", "det_ord", "sub_ord", "match_ord").withColumnRenamed("_own", "category")
     kept = post.mark_whitelisted(kept, whitelist) if whitelist is not None else kept.withColumn("whitelisted", F.lit(False))
-    if blacklist:
+    if post.named(blacklist):
         listed = post.blacklist(docs, blacklist).select(
             "doc_id", (F.col("match_ord") + AFTER_TABLES).alias("ord"), "category", "text", "context", F.lit("high").alias("confidence"), "severity", F.lit(False).alias("whitelisted")
         )

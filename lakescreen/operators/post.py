@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tomllib
 
@@ -10,9 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rx
 from ..plans import dims
+from . import terms
 
-#: A list of patterns or terms up to this size is sent to all executors; larger ones are refused, as each is run on every text.
-MOST_TERMS = 2000
+#: Own patterns that one reading of the texts tries; more are tried by further readings.
+AT_A_TIME = 1000
 #: Matches that a custom pattern gives, and categories that a whitelist never clears.
 MOST_MATCHES = 200
 NEVER_WHITELISTED = r"prosjektsum|fødselsdato|fodselsdato|budsjettall|budsjett"
@@ -82,47 +84,50 @@ def parse_patterns(content: str) -> list[dict]:
     return out
 
 
-def _found(docs: DataFrame, patterns: list[str], most: int | None = None) -> DataFrame:
-    """(doc_id, n, ord, k, start, end, m, g, pre, post): hits of each pattern k in texts of n characters; ``most`` of each at most."""
-    of = lambda p: rx.hits_sql("doc.text", p) if most is None else f"slice({rx.hits_sql('doc.text', p)}, 1, {most})"
-    each = ", ".join(f"transform({of(p)}, h -> named_struct('k', {k}, 'h', h))" for k, p in enumerate(patterns))
+def _found(docs: DataFrame, patterns: list[str], most: int, first: int = 0) -> DataFrame:
+    """(doc_id, n, ord, k, start, end, m, g, pre, post): ``most`` hits at most of each pattern k in texts of n characters."""
+    of = lambda p: f"slice({rx.hits_sql('doc.text', p)}, 1, {most})"
+    each = ", ".join(f"transform({of(p)}, h -> named_struct('k', {k}, 'h', h))" for k, p in enumerate(patterns, first))
     none = f"cast(array() as array<struct<k:int,h:{rx.HIT[6:-1]}>>)"
     all_ = f"transform(array(named_struct('text', text)), doc -> flatten(array({', '.join([none, each] if each else [none])})))[0]"
     rows = docs.where("text is not null").select("doc_id", F.length("text").alias("n"), F.posexplode(F.expr(all_)).alias("ord", "r"))
-    return rows.select("doc_id", "n", "ord", "r.k", "r.h.*")
+    return rows.select("doc_id", "n", (F.col("ord") + first * most).alias("ord"), "r.k", "r.h.*")
 
 
 def custom(docs: DataFrame, patterns: list[dict]) -> DataFrame:
-    """Findings of own patterns, ``MOST_MATCHES`` matches of each at most, each value once, with the pattern's severity."""
-    if len(patterns) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} patterns")
-    rows = _found(docs, [rx.java(p["regex"], "i" if p["ignore_case"] else "") for p in patterns], MOST_MATCHES)
-    of = lambda values: F.element_at(F.array(F.lit(""), *map(F.lit, values)), F.col("k") + 2)
-    told = rows.where("m <> ''").withColumn("category", of([f"Egendefinert: {p['name']}" for p in patterns])).withColumn("severity", of([p["severity"] for p in patterns]))
-    first = told.groupBy("doc_id", "k", "m").agg(F.min(F.struct("ord", "n", "category", "severity", "start", "end", "pre", "post")).alias("f"))
-    return _told(first.select("doc_id", "k", "m", "f.*"), 90, 60)
-
-
-def blacklist(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Findings of listed terms, as parts of words too and whatever their case; once for each place and value."""
-    terms = list(dict.fromkeys(t for t in terms if t))
-    if len(terms) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} terms")
-    rows = _found(docs, [rx.java(rx.literal(t), "i") for t in terms])
-    told = rows.select("*", F.lit("Blacklist").alias("category"), F.lit("rød").alias("severity"))
+    """Findings of own patterns, ``MOST_MATCHES`` matches of each at most, each value once, with the pattern's severity.
+
+    Any pattern may be told, so each is tried on each text, ``AT_A_TIME`` of them in one reading of the texts.
+    """
+    java = [rx.java(p["regex"], "i" if p["ignore_case"] else "") for p in patterns]
+    rows = [_found(docs, java[at : at + AT_A_TIME], MOST_MATCHES, at) for at in range(0, len(java), AT_A_TIME)] or [_found(docs, [], MOST_MATCHES)]
+    own = docs.sparkSession.createDataFrame([(k, f"Egendefinert: {p['name']}", p["severity"]) for k, p in enumerate(patterns)], "k int, category string, severity string")
+    told = functools.reduce(DataFrame.unionByName, rows).where("m <> ''")
+    first = told.groupBy("doc_id", "k", "m").agg(F.min(F.struct("ord", "n", "start", "end", "pre", "post")).alias("f"))
+    return _told(first.select("doc_id", "k", "m", "f.*").join(own, "k"), 90, 60)
+
+
+def blacklist(docs: DataFrame, listed: list[str] | DataFrame) -> DataFrame:
+    """Findings of listed terms, as parts of words too and whatever their case; once for each place and value.
+
+    ``listed``: terms, or a table (term) or (k, term) of them, of any number.
+    """
+    told = terms.find(docs, listed).select("*", F.lit("Blacklist").alias("category"), F.lit("rød").alias("severity"))
     first = told.groupBy("doc_id", F.lower("m"), "start").agg(F.min(F.struct("ord", "k", "m", "n", "category", "severity", "end", "pre", "post")).alias("f"))
     return _told(first.select("doc_id", "start", "f.*"), 99, 70)
 
 
-def clients(docs: DataFrame, names: list[str]) -> DataFrame:
-    """Findings of listed client names as whole words, whatever their case, each place told."""
-    patterns = [rx.java(r"(?<!\w)" + rx.literal(n) + r"(?!\w)", "i") for n in dict.fromkeys(names)]
-    if len(patterns) > MOST_TERMS:
-        raise ValueError(f"more than {MOST_TERMS} names")
-    told = _found(docs, patterns).select("*", F.lit("kundenavn").alias("category"), F.lit("gul").alias("severity"))
+def clients(docs: DataFrame, listed: list[str] | DataFrame) -> DataFrame:
+    """Findings of listed client names as whole words, whatever their case, each place told; ``listed`` as for ``blacklist``."""
+    told = terms.find(docs, listed, whole_words=True).select("*", F.lit("kundenavn").alias("category"), F.lit("gul").alias("severity"))
     return _told(told, 14, 50)
 
 
+def named(listed: list[str] | DataFrame | None) -> bool:
+    """Whether a list of terms names any: a table may."""
+    return isinstance(listed, DataFrame) or bool(listed)
+
+
 def _told(rows: DataFrame, det_ord: int, radius: int) -> DataFrame:
     return rows.select(
         "doc_id", F.lit(det_ord).alias("det_ord"), F.col("k").alias("sub_ord"), F.col("ord").alias("match_ord"),

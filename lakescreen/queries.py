@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .functions import language
-from .operators import anonymize, batch, deep, names, post, risk
+from .operators import anonymize, batch, deep, names, post, risk, terms
 from .plans import dims
 from .sources import extract
 from .streaming import watch
@@ -379,6 +379,33 @@ def detect_blacklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", F.lower("text").alias("term")).agg(F.count("*").alias("n"))
 
 
+_NAMED = "select distinct c_name as term from customer union select distinct w from (select unnest(string_split(lower(text), ' ')) as w from benchmark) where length(w) > 3"
+
+
+@query("detect_many_terms", f"""
+select doc_id, term, sum((length(t) - length(replace(t, term, ''))) / length(term))::bigint as n
+from (select doc_id, lower(text) as t from documents) join ({_NAMED}) on contains(t, lower(term)) group by doc_id, term""")
+def detect_many_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All names of customers and all longer words of the benchmark as one list of terms, over all texts."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("term")).where("length(term) > 3")
+    listed = table(spark, sf_dir, "customer").select(F.col("c_name").alias("term")).union(words).distinct()
+    rows = terms.find(documents(spark, sf_dir), listed.select("term"))
+    return rows.groupBy("doc_id", F.lower("m").alias("term")).agg(F.count("*").alias("n"))
+
+
+@query("detect_clients_written", """
+select doc_id, 'kundenavn' as category, name as text, start::int as start from (
+  select o_orderkey as doc_id, c_name as name, unnest([7, 13 + length(c_name)]) as start
+  from orders join customer on o_custkey = c_custkey where o_orderkey % 3 <> 1)""")
+def detect_clients_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers as clients: an order's text names its own, twice as words and once as a part of one, or only as a part."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("name"))
+    said = F.concat(F.lit("seen: ("), "name", F.lit(") and "), "name", F.lit(", not "), "name", F.lit("x"))
+    orders = table(spark, sf_dir, "orders").join(customers, "o_custkey")
+    docs = orders.select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 3 == 1, F.concat("name", F.lit("9"))).otherwise(said).alias("text"))
+    return post.clients(docs, customers.select(F.lower("name").alias("term"))).select("doc_id", "category", "text", "start")
+
+
 @query("detect_custom", r"""
 select doc_id, 'Egendefinert: version' as category, m as text, 'rød' as severity from (
   select distinct doc_id, unnest(list_slice(regexp_extract_all(lower(text), 'version [0-9]+\.?[0-9]*'), 1, 200)) as m from documents)""")
