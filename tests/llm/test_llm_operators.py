@@ -1,6 +1,5 @@
 """The training-data operators against brute force on small tables: nulls, empty and long texts, ties, repeats, clashing columns."""
 
-import hashlib
 import random
 
 import numpy as np
@@ -397,7 +396,3 @@ def test_mined_rules_equal_counting(spark):
     pages = spark.createDataFrame([("a", ["p:0", "x"]), ("b", ["p:1"]), ("c", ["q"])], "key string, tokens array<string>")
     fired = {r.key: r.mined_verdict for r in urlrules.fire(pages, urlrules.mine(frame, 0.05, 0.9)).collect()}
     assert fired == {"a": "block", "b": "allow"}
-
-
-def test_digest_of_names():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
