@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -184,14 +188,53 @@ def merge_alerts(*alerts: DataFrame, n: int = 50) -> DataFrame:
     return merged.orderBy(F.desc("timestamp")).limit(n)
 
 
-def labels(rows: DataFrame, key: str = "doc_id", json: str = "payload") -> DataFrame:
-    """(key, id, name) of labels anywhere in a JSON payload, each once: objects that have an id or a name of a label."""
-    field = lambda *names: F.lit(r'"(?:' + "|".join(names) + r')"\s*:\s*"((?:[^"\\\\]|\\\\.)*)"')
-    objects = F.regexp_extract_all(F.col(json), F.lit(r"\{[^{}]*\}"), F.lit(0))
-    each = rows.select(key, F.explode(objects).alias("o"))
-    pick = lambda *names: F.nullif(F.get(F.regexp_extract_all("o", field(*names), F.lit(1)), F.lit(0)), F.lit(""))
-    told = each.select(key, pick("sensitivityLabelId", "labelId", "id").alias("id"), pick("displayName", "labelName", "sensitivityLabelName", "name").alias("name"))
-    return told.where("name is not null").distinct()
+def _labels_of(payload: str | None) -> list[tuple[int, str | None, str | None]]:
+    """(ord, id, name) of the labels in a JSON text, in the order of a walk from the top; of labels with one id the first."""
+    try:
+        todo = [json.loads(payload or "null")]
+    except (ValueError, RecursionError):
+        return []
+    found: dict[str, tuple[int, str | None, str | None]] = {}
+    while todo:
+        value = todo.pop()
+        if isinstance(value, dict):
+            keys = {k.casefold() for k in value}
+            label = None
+            if keys & {"id", "name"} and any("label" in k for k in keys):
+                label = value
+            elif keys & {"sensitivitylabel", "sensitivitylabelid"}:
+                nested = value.get("sensitivityLabel") or value.get("SensitivityLabel")
+                label = nested if isinstance(nested, dict) else value
+            if label is not None:
+                known = str(label.get("id") or label.get("labelId") or label.get("name") or label).casefold()
+                told = [next((str(label[k]) for k in ks if label.get(k)), None) for ks in (LABEL_IDS, LABEL_NAMES)]
+                found.setdefault(known, (len(found), *told))
+            value = list(value.values())
+        if isinstance(value, list):
+            todo += reversed(value)
+    return list(found.values())
+
+
+#: Fields of a label, the first that says anything counts.
+LABEL_IDS, LABEL_NAMES = ("id", "labelId", "sensitivityLabelId"), ("name", "displayName", "labelName", "sensitivityLabelName")
+
+
+def labels(rows: DataFrame, key: str = "doc_id", payload: str = "payload") -> DataFrame:
+    """(key, ord, id, name) of labels anywhere in a JSON payload, each once.
+
+    An object is a label if it has an id or a name and a field whose name holds "label", or is what the field
+    sensitivityLabel of another holds. Null payloads and those that are no JSON have none.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *label) for i, text in enumerate(batch.column("payload").to_pylist()) for label in _labels_of(text)]
+            i, *columns = zip(*found, strict=True) if found else ((), (), (), ())
+            kinds = (pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(pa.array(i, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], ["key", "ord", "id", "name"])
+
+    each = rows.select(F.col(key).alias("key"), F.col(payload).alias("payload")).mapInArrow(run, f"key {rows.schema[key].dataType.simpleString()}, ord int, id string, name string")
+    return each.withColumnRenamed("key", key)
 
 
 IDENTITY = "struct<displayName:string,email:string,id:string>"

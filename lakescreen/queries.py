@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .functions import language
-from .operators import anonymize, batch, deep, names, post, risk, terms
+from .operators import anonymize, batch, boxes, deep, names, post, risk, terms
 from .plans import dims
 from .sources import extract
 from .streaming import watch
@@ -406,6 +406,58 @@ def detect_clients_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return post.clients(docs, customers.select(F.lower("name").alias("term"))).select("doc_id", "category", "text", "start")
 
 
+# Words of a document on pages of 200, ten a line; of odd pages only lines are known. Values: its words 1 and 2, 5, and 11 to 13.
+_LAID_SQL = """
+with t as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ws from documents),
+w as (select doc_id, unnest(ws) as word, generate_subscripts(ws, 1) - 1 as i from t),
+laid as (select doc_id, i, i // 200 as page, i % 200 // 10 as line, word, 60 * (i % 10) as x0, 20 * (i % 200 // 10) as y0, 60 * (i % 10) + 8 * length(word) as x1,
+  lead(word) over p as next, lead(word, 2) over p as third, lead(60 * (i % 10) + 8 * length(word)) over p as x1b, lead(60 * (i % 10) + 8 * length(word), 2) over p as x1c,
+  lead(60 * (i % 10)) over p as x0b, lead(60 * (i % 10), 2) over p as x0c, lead(20 * (i % 200 // 10)) over p as yb, lead(20 * (i % 200 // 10), 2) over p as yc
+  from w window p as (partition by doc_id, i // 200 order by i)),
+v as (select doc_id, array_to_string(toks, '') as compact, arg_min(toks, k) as toks, min(k) as k from (
+  select doc_id, 0 as k, ws[1:2] as toks from t union all select doc_id, 1, ws[5:5] from t union all select doc_id, 2, ws[11:13] from t) where len(toks) > 0 group by doc_id, compact),
+rowed as (select l.doc_id, page, v.k, compact, least(x0, case when len(toks) > 1 then x0b end, case when len(toks) > 2 then x0c end) as x0,
+    least(y0, case when len(toks) > 1 then yb end, case when len(toks) > 2 then yc end) as y0,
+    greatest(x1, case when len(toks) > 1 then x1b end, case when len(toks) > 2 then x1c end) as x1,
+    greatest(y0, case when len(toks) > 1 then yb end, case when len(toks) > 2 then yc end) + 14 as y1
+  from laid l join v on l.doc_id = v.doc_id and page % 2 = 0 and word = toks[1] and (len(toks) < 2 or next = toks[2]) and (len(toks) < 3 or third = toks[3])),
+lines as (select doc_id, page, line, string_agg(word, '' order by i) as said, min(x0) as x0, min(y0) as y0, max(x1) as x1, min(y0) + 14 as y1 from laid group by all),
+lined as (select n.doc_id, n.page, v.k, compact, x0, y0, x1, y1 from lines n join v on n.doc_id = v.doc_id where length(compact) >= 4 and contains(said, compact)
+  and not exists (select 1 from rowed r where r.doc_id = n.doc_id and r.page = n.page and r.compact = v.compact)),
+found as (select * from rowed union all select * from lined)
+"""
+
+
+def _laid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Words and lines of documents with boxes, as an OCR service tells them, and values to mask."""
+    read = documents(spark, sf_dir).select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)).alias("ws"))
+    place = F.col("i") % 200
+    at = read.select("doc_id", F.posexplode("ws").alias("i", "word")).select(
+        "doc_id", "i", F.expr("i div 200").alias("page"), F.expr("i % 200 div 10").alias("line"), F.upper("word").alias("text"), (60 * (place % 10)).alias("x0"), (20 * F.expr("i % 200 div 10")).alias("y0"),
+    )
+    boxed = at.withColumn("x1", F.col("x0") + 8 * F.length("text")).withColumn("y1", F.col("y0") + 14)
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "text"))), lambda x: x["text"]), "-")
+    lines = boxed.groupBy("doc_id", "page", "line").agg(said.alias("text"), *(f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+    cut = lambda a, n: F.array_join(F.slice("ws", a, n), " ")
+    values = read.select("doc_id", F.posexplode(F.array(cut(1, 2), cut(5, 1), cut(11, 3))).alias("ord", "target"))
+    return boxed.where("page % 2 = 0").withColumnRenamed("i", "ord"), lines.withColumnRenamed("line", "ord"), values
+
+
+@query("ocr_boxes", _LAID_SQL + "select doc_id, page::bigint as page, x0::bigint as x0, y0::bigint as y0, x1::bigint as x1, y1::bigint as y1 from found group by all")
+def ocr_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return boxes.masks(boxes.hits(*_laid(spark, sf_dir))).select("doc_id", *(F.col(c).cast("long").alias(c) for c in ("page", *boxes.SIDES)))
+
+
+@query("ocr_values", _LAID_SQL + """
+select v.doc_id, (select count(*) from (select distinct page, x0, y0, x1, y1 from found f where f.doc_id = v.doc_id)) as n_boxes,
+  count(*) filter (exists (select 1 from found f where f.doc_id = v.doc_id and f.compact = v.compact)) as n_matched,
+  count(*) filter (not exists (select 1 from found f where f.doc_id = v.doc_id and f.compact = v.compact)) as n_unmatched from v group by v.doc_id""")
+def ocr_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words, lines, values = _laid(spark, sf_dir)
+    told = boxes.summary(boxes.hits(words, lines, values), values)
+    return told.select("doc_id", "n_boxes", F.size("matched").cast("long").alias("n_matched"), F.size("unmatched").cast("long").alias("n_unmatched"))
+
+
 @query("detect_custom", r"""
 select doc_id, 'Egendefinert: version' as category, m as text, 'rød' as severity from (
   select distinct doc_id, unnest(list_slice(regexp_extract_all(lower(text), 'version [0-9]+\.?[0-9]*'), 1, 200)) as m from documents)""")

@@ -7,23 +7,28 @@ import email
 import email.policy
 import html
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Suffixes, limits, excluded folders, headers.
 SUFFIXES = (".pdf", ".docx", ".pptx", ".xlsx", ".md", ".txt", ".html", ".csv", ".eml", ".rtf", ".odt", ".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
-EXCLUDED = (".git", ".venv", "venv", "node_modules", "__pycache__", ".idea", ".vscode", "dist", "build")
+EXCLUDED = (
+    ".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "venv", "__pycache__", "node_modules", "build", "dist", "Library", "AppData",
+)
 ZIP_FILES, ZIP_BYTES, ZIP_MEMBER = 1000, 250 << 20, 100 << 20
 HEADERS = ("From", "To", "Cc", "Bcc", "Subject", "Date", "Reply-To")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
+R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
@@ -38,10 +43,11 @@ def decode(data: bytes) -> str:
 
 
 def table_lines(rows: list[list[str]]) -> str:
-    """A table as bars, rows padded to equal length, a rule under the first."""
+    """A table's rows that say anything, cells between bars, padded to equal length; a rule under the first of several."""
+    rows = [row for row in rows if any(row)]
     wide = max(map(len, rows), default=0)
-    lines = ["| " + " | ".join([*row, *[""] * (wide - len(row))]) + " |" for row in rows]
-    return "\n".join([*lines[:1], "|" + " --- |" * wide, *lines[1:]]) if lines else ""
+    lines = [" | ".join([*row, *[""] * (wide - len(row))]) for row in rows]
+    return "\n".join([*lines[:1], *[" | ".join(["---"] * wide)][: len(lines) - 1], *lines[1:]])
 
 
 def from_csv(text: str) -> str:
@@ -65,38 +71,83 @@ def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
     return ElementTree.fromstring(archive.read(name))
 
 
-def _numbered(names: list[str], pattern: str) -> list[str]:
-    found = [(int(m[1]), n) for n in names if (m := re.fullmatch(pattern, n))]
-    return [n for _, n in sorted(found)]
+def _related(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    """(kind, name) of the parts that a part refers to, by id."""
+    folder, _, name = part.rpartition("/")
+    rels = f"{folder}/_rels/{name}.rels"
+    if rels not in archive.namelist():
+        return {}
+    full = lambda to: to.lstrip("/") if to.startswith("/") else posixpath.normpath(f"{folder}/{to}")
+    return {e.get("Id"): (e.get("Type", "").rpartition("/")[2], full(e.get("Target", ""))) for e in _xml(archive, rels)}
+
+
+def _in_order(archive: zipfile.ZipFile, part: str, tag: str) -> list[tuple[str | None, str]]:
+    """(title, name) of the parts that a part lists, in its order."""
+    parts = _related(archive, part)
+    listed = [(e.get("name"), parts.get(e.get(f"{R}id"), ("", ""))[1]) for e in _xml(archive, part).iter(tag)]
+    return [(title, name) for title, name in listed if name in archive.namelist()]
+
+
+#: Marks in runs of text that stand for characters.
+MARKS = {f"{W}tab": "\t", f"{W}br": "\n", f"{W}cr": "\n", f"{W}noBreakHyphen": "-", f"{A}br": "\v"}
+
+
+def _paragraphs(e: ElementTree.Element, space: str) -> list[str]:
+    """Texts of the paragraphs in ``e``, itself included."""
+    said = lambda x: x.text or "" if x.tag == f"{space}t" else MARKS.get(x.tag, "")
+    return ["".join(map(said, p.iter())) for p in e.iter(f"{space}p")]
 
 
 def from_docx(archive: zipfile.ZipFile) -> str:
     """Paragraphs and tables in the order of the body."""
-    said = lambda e: "".join(t.text or "" for t in e.iter(f"{W}t"))
     out = []
     for e in _xml(archive, "word/document.xml").find(f"{W}body"):
         if e.tag == f"{W}p":
-            out.append(said(e))
+            out += _paragraphs(e, W)[:1]
         elif e.tag == f"{W}tbl":
-            out.append(table_lines([[said(c).strip() for c in row.findall(f"{W}tc")] for row in e.findall(f"{W}tr")]))
-    return "\n".join(x for x in out if x.strip())
+            out.append(table_lines(_docx_rows(e)))
+    return "\n".join(x for x in out if x)
+
+
+def _docx_rows(table: ElementTree.Element) -> list[list[str]]:
+    """A table's cells; one that goes on from the row above says what that one says."""
+    rows, above = [], {}
+    for tr in table.findall(f"{W}tr"):
+        row, at = [], 0
+        for tc in tr.findall(f"{W}tc"):
+            how = tc.find(f"{W}tcPr")
+            span, merge = (how.find(f"{W}{n}") if how is not None else None for n in ("gridSpan", "vMerge"))
+            goes_on = merge is not None and merge.get(f"{W}val", "continue") == "continue"
+            text = above.get(at, "") if goes_on else "\n".join(_paragraphs(tc, W)).strip()
+            row.append(text)
+            above[at] = text
+            at += int(span.get(f"{W}val", "1")) if span is not None else 1
+        rows.append(row)
+    return rows
 
 
 def from_pptx(archive: zipfile.ZipFile) -> str:
+    """Slides in their order: texts of shapes, tables, and then the notes."""
     out = []
-    for name in _numbered(archive.namelist(), r"ppt/slides/slide(\d+)\.xml"):
-        notes = name.replace("slides/slide", "notesSlides/notesSlide")
-        for part in [name] + [notes] * (notes in archive.namelist()):
-            out += ["".join(t.text or "" for t in p.iter(f"{A}t")) for p in _xml(archive, part).iter(f"{A}p")]
-    return "\n".join(x for x in out if x.strip())
+    for _, name in _in_order(archive, "ppt/presentation.xml", f"{P}sldId"):
+        for shape in _xml(archive, name).find(f"{P}cSld/{P}spTree"):
+            if (said := shape.find(f"{P}txBody")) is not None:
+                out.append("\n".join(_paragraphs(said, A)))
+            for table in shape.iter(f"{A}tbl") if shape.tag == f"{P}graphicFrame" else ():
+                out.append(table_lines([["\n".join(_paragraphs(c, A)).strip() for c in row.findall(f"{A}tc")] for row in table.findall(f"{A}tr")]))
+        for kind, notes in _related(archive, name).values():
+            if kind == "notesSlide":
+                bodies = (sp for sp in _xml(archive, notes).iter(f"{P}sp") if any(ph.get("type") == "body" for ph in sp.iter(f"{P}ph")))
+                out += ["\n".join(_paragraphs(sp, A)) for sp in bodies]
+    return "\n".join(x for x in out if x)
 
 
 def from_xlsx(archive: zipfile.ZipFile) -> str:
+    """Sheets in the workbook's order, under their titles."""
     names = archive.namelist()
     shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in _xml(archive, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
-    sheets = [e.get("name") for e in _xml(archive, "xl/workbook.xml").iter(f"{S}sheet")]
     out = []
-    for title, name in zip(sheets, _numbered(names, r"xl/worksheets/sheet(\d+)\.xml"), strict=False):
+    for title, name in _in_order(archive, "xl/workbook.xml", f"{S}sheet"):
         out.append(f"[{title}]")
         for row in _xml(archive, name).iter(f"{S}row"):
             cells = []
@@ -235,9 +286,10 @@ def pdf_strategy(mode: Column, ocr: Column, fast: Column, layout: Column) -> Col
 
 
 def folder_plan(spark: SparkSession, folder: str, recursive: bool = False, max_files: int = 500, max_depth: int = 5, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
-    """(path, relative_path, file_size, modified): supported files, cut to ``max_files`` in the order of a walk, then by path.
+    """(path, relative_path, file_size, modified, truncated): supported files, cut to ``max_files`` in the order of a walk, then by path.
 
-    A walk takes a folder's files before its sub-folders. Hidden and excluded folders are left out.
+    A walk takes a folder's files before its sub-folders. Hidden and excluded folders are left out. truncated: whether the
+    cut left out a file.
     """
     most, deep = min(max(1, max_files), 10_000), min(max(0, max_depth), 50)
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
@@ -247,17 +299,19 @@ def folder_plan(spark: SparkSession, folder: str, recursive: bool = False, max_f
     parts = F.split(relative, "/")
     folders = F.slice(parts, 1, F.size(parts) - 1)
     named = files.withColumn("relative_path", relative).where(suffix_of("path").isin(*SUFFIXES)).where(F.size(folders) <= (deep if recursive else 0))
-    kept = named.where(~F.exists(folders, lambda d: d.startswith(".") | F.lower(d).isin(*excluded)))
+    kept = named.where(~F.exists(folders, lambda d: d.startswith(".") | F.lower(d).isin(*map(str.lower, excluded))))
     # Folders sort after files at each level.
     walk = F.transform(parts, lambda p, k: F.concat(F.when(k == F.size(parts) - 1, F.lit("0")).otherwise("1"), F.lower(p)))
-    return kept.withColumn("_walk", walk).orderBy("_walk").limit(most).drop("_walk").orderBy(F.lower("relative_path"))
+    first = kept.withColumn("_walk", walk).orderBy("_walk").limit(most + 1)  # one more tells whether any is left out
+    placed = first.withColumn("_at", F.row_number().over(Window.orderBy("_walk"))).withColumn("truncated", F.max("_at").over(Window.partitionBy()) > most)
+    return placed.where(F.col("_at") <= most).drop("_walk", "_at").orderBy(F.lower("relative_path"))
 
 
-def plan_summary(plan: DataFrame, max_files: int = 500, samples: int = 10) -> DataFrame:
-    """One row for a ``folder_plan``: n_files, n_bytes, truncated (as many files as may be), and the first paths."""
+def plan_summary(plan: DataFrame, samples: int = 10) -> DataFrame:
+    """One row for a ``folder_plan``: n_files, n_bytes, truncated, and the first paths."""
     first = F.slice(F.array_sort(F.collect_list(F.struct(F.lower("relative_path").alias("l"), "relative_path"))), 1, samples)
-    told = plan.limit(10_000).agg(F.count("*").alias("n_files"), F.coalesce(F.sum("file_size"), F.lit(0)).alias("n_bytes"), F.transform(first, lambda x: x["relative_path"]).alias("samples"))
-    return told.withColumn("truncated", F.col("n_files") >= min(max(1, max_files), 10_000))
+    size, cut = F.coalesce(F.sum("file_size"), F.lit(0)), F.coalesce(F.bool_or("truncated"), F.lit(False))
+    return plan.limit(10_000).agg(F.count("*").alias("n_files"), size.alias("n_bytes"), F.transform(first, lambda x: x["relative_path"]).alias("samples"), cut.alias("truncated"))
 
 
 #: From so many files or bytes on, a user is told that a scan will take long.

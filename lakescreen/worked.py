@@ -67,26 +67,47 @@ def files_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text", "error")
 
 
+_W, _D, _P = (f'xmlns:{k}="http://schemas.openxmlformats.org/{v}/2006/main"' for k, v in (("w", "wordprocessingml"), ("a", "drawingml"), ("p", "presentationml")))
+_R = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def _rels(**to: str) -> str:
+    kinds = {"n": "notesSlide", "s": "slide", "w": "worksheet"}
+    each = "".join(f'<Relationship Id="{k}" Type="http://x/{kinds[k[0]]}" Target="{v}"/>' for k, v in to.items())
+    return f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{each}</Relationships>'
+
+
 def office(suffix: str, a: str, b: str) -> bytes:
-    """A small office file that says two values."""
+    """A small office file that says two values: in tables with blank rows and merged cells, on slides and sheets out of order."""
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
         if suffix == ".docx":
-            w, p = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"', "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
-            cell = f"<w:tc>{p}</w:tc>"
+            p = "<w:p><w:r><w:t>{}</w:t></w:r></w:p>"
+            cell = lambda said, how="": f"<w:tc><w:tcPr>{how}</w:tcPr>{said and p.format(said)}</w:tc>"
+            down, on, wide = '<w:vMerge w:val="restart"/>', "<w:vMerge/>", '<w:gridSpan w:val="2"/>'
+            table = [[cell("A"), cell(b), cell("C", down)], [cell(""), cell(" "), cell("", on)], [cell("wide", wide), cell("", on)], [cell(""), cell("")]]
+            one = f"<w:tbl><w:tr>{cell('alone')}{cell(b)}</w:tr></w:tbl>"
             split = f"<w:p><w:r><w:t>{a[:2]}</w:t></w:r><w:r><w:t>{a[2:]} said</w:t></w:r></w:p>"
-            z.writestr("word/document.xml", f"<w:document {w}><w:body>{split}<w:tbl><w:tr>{cell.format('A')}{cell.format(b)}</w:tr></w:tbl></w:body></w:document>")
+            rows_ = "".join(f"<w:tr>{''.join(r)}</w:tr>" for r in table)
+            z.writestr("word/document.xml", f"<w:document {_W}><w:body>{split}<w:tbl>{rows_}</w:tbl><w:p/>{one}</w:body></w:document>")
         elif suffix == ".pptx":
-            d = 'xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"'
-            slide = "<p {}><a:p><a:r><a:t>{}</a:t></a:r></a:p></p>"
-            z.writestr("ppt/slides/slide2.xml", slide.format(d, b))
-            z.writestr("ppt/slides/slide1.xml", slide.format(d, a))
-            z.writestr("ppt/notesSlides/notesSlide1.xml", slide.format(d, "note"))
+            said = lambda x: f"<a:p><a:r><a:t>{x}</a:t></a:r></a:p>"
+            shape = lambda x, ph="": f"<p:sp><p:nvSpPr><p:nvPr>{ph}</p:nvPr></p:nvSpPr><p:txBody>{x}</p:txBody></p:sp>"
+            slide = lambda x: f"<p:sld {_P} {_D}><p:cSld><p:spTree>{x}</p:spTree></p:cSld></p:sld>"
+            cells = lambda *of: "<a:tr>" + "".join(f"<a:tc><a:txBody>{said(x)}</a:txBody></a:tc>" for x in of) + "</a:tr>"
+            z.writestr("ppt/presentation.xml", f'<p:presentation {_P} {_R}><p:sldIdLst><p:sldId id="1" r:id="s2"/><p:sldId id="2" r:id="s1"/></p:sldIdLst></p:presentation>')
+            z.writestr("ppt/_rels/presentation.xml.rels", _rels(s1="slides/slide1.xml", s2="/ppt/slides/slide2.xml"))
+            z.writestr("ppt/slides/slide1.xml", slide(f"<p:graphicFrame><a:graphic><a:tbl>{cells('Item', b)}{cells('', '')}{cells('x')}</a:tbl></a:graphic></p:graphicFrame>"))
+            z.writestr("ppt/slides/slide2.xml", slide(shape(said(a) + said("more")) + shape(said(""))))
+            z.writestr("ppt/slides/_rels/slide2.xml.rels", _rels(n1="../notesSlides/notesSlide7.xml"))
+            z.writestr("ppt/notesSlides/notesSlide7.xml", slide(shape(said("note"), '<p:ph type="body"/>') + shape(said("7"), '<p:ph type="sldNum"/>')))
         elif suffix == ".xlsx":
             s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-            z.writestr("xl/workbook.xml", f'<workbook {s}><sheets><sheet name="One" sheetId="1"/></sheets></workbook>')
+            z.writestr("xl/workbook.xml", f'<workbook {s} {_R}><sheets><sheet name="One" sheetId="1" r:id="w2"/><sheet name="Two" sheetId="2" r:id="w1"/></sheets></workbook>')
+            z.writestr("xl/_rels/workbook.xml.rels", _rels(w1="worksheets/sheet1.xml", w2="worksheets/sheet2.xml"))
             z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>{a}</t></si></sst>")
-            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c><c><v>12</v></c></row><row><c t="inlineStr"><is><t>{b}</t></is></c></row></sheetData></worksheet>')
+            z.writestr("xl/worksheets/sheet2.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c><c><v>12</v></c></row></sheetData></worksheet>')
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="inlineStr"><is><t>{b}</t></is></c></row></sheetData></worksheet>')
         else:
             z.writestr("content.xml", f"<x><p>{a}</p><p>{b} end</p></x>")
     return out.getvalue()
@@ -114,7 +135,9 @@ def _office_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _office_text(a: Sql, b: Sql) -> str:
     return cases(
-        say(a, " said", LINE, "| A | ", b, " |", LINE, "| --- | --- |"), say(a, LINE, "note", LINE, b), say("[One]", LINE, a, " | 12", LINE, b), say(a, LINE, b, " end"),
+        say(a, " said", LINE, "A | ", b, " | C", LINE, "--- | --- | ---", LINE, " |  | C", LINE, "wide | C | ", LINE, "alone | ", b),
+        say(a, LINE, "more", LINE, "note", LINE, "Item | ", b, LINE, "--- | ---", LINE, "x |"),
+        say("[One]", LINE, a, " | 12", LINE, "[Two]", LINE, b), say(a, LINE, b, " end"),
     )
 
 
@@ -124,14 +147,17 @@ def files_office(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text")
 
 
-@told("patch_office", where="where doc_id % 4 < 3", text=_office_text(Sql("'<Navn 1>'"), Sql("'<Tall>'")))
+_PATCHED = _office_text(Sql("'<Navn 1>'"), Sql("'<Tall>'"))
+
+
+@told("patch_office", text=f"case when doc_id % 4 < 3 then {_PATCHED} end", error="case when doc_id % 4 = 3 then 'unsupported: .odt' end")
 def patch_office(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Values in office files are replaced, across runs too, and the files are read again."""
+    """Values in office files are replaced, across runs too, and the files are read again; other files say why not."""
     values = rows(spark, sf_dir, a=_A, b=_B)
     labels = values.select("doc_id", F.col("a").alias("target"), F.lit("<Navn 1>").alias("label")).unionByName(values.select("doc_id", F.col("b").alias("target"), F.lit("<Tall>").alias("label")))
     done = redact.patch_files(_office_files(spark, sf_dir), labels)
-    read = extract.texts(done.where("error is null"))
-    return read.select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text")
+    read = extract.texts(done.where("error is null")).select(F.regexp_extract("path", r"^(\d+)", 1).cast("long").alias("doc_id"), "text", "error")
+    return read.unionByName(done.where("error is not null").select("doc_id", F.lit(None).cast("string").alias("text"), "error"))
 
 
 def archive(_path: str, a: str, b: str) -> bytes:
@@ -570,10 +596,20 @@ def api_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told_.select("doc_id", F.col("json").contains('"category":"c"').alias("says"), F.col("json").contains("hidden").alias("tells"))
 
 
-@told("label_names", id=cases("'7'", "'8'"), name=cases("'Confidential'", "'Secret'"), where="where name is not null")
+_PAYLOADS = (
+    ("""'{"value": [{"sensitivityLabel": {"id": "L', {n}, '", "name": "Secret {{', {n}, '}}", "owner": {{"x": [1, {{}}]}}}}}}]}}'""", say("L", _N), say("Secret {", _N, "}")),
+    ("""'{{"id": "', {n}, '", "name": "budget.docx", "parent": {{"id": "x", "name": "labels"}}}}'""", None, None),
+    ("""'[{{"id": "d', {n}, '", "labelName": "top", "label": {{"id": "e", "name": "below"}}}}]'""", say("d", _N), say("top")),
+    ("""'{{"a": [{{"labelId": "', {n}, '", "name": "First"}}, [[{{"labelId": "', {n}, '", "name": "Again"}}]]], "b": "{{no}} \\\\"label\\\\" ["}}'""", say(_N), say("First")),
+    ("""'{{"deep": {{"deeper": {{"sensitivityLabelId": "s', {n}, '", "note": "}}{{"}}}}}}'""", say("s", _N), NOTHING),
+    ("""'{{broken "label": {{"id": ', {n}, '}}'""", None, None),
+)
+
+
+@told("label_names", id=cases(*(_said(p[1]) for p in _PAYLOADS)), name=cases(*(_said(p[2]) for p in _PAYLOADS)), where="where id is not null")
 def label_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels anywhere in a payload, each once."""
-    payload = cases("""'{"a": {"labels": [{"id": "7", "displayName": "Confidential"}, {"id": "7", "displayName": "Confidential"}]}}'""", """'{"x": [{"y": {"labelId": "8", "labelName": "Secret"}}]}'""")
+    """Labels anywhere in a payload, each once; objects that no field names labels are none."""
+    payload = cases(*("concat(" + p[0].replace("{{", "{").replace("}}", "}").replace("{n}", str(_N)) + ")" for p in _PAYLOADS))
     return batch.labels(rows(spark, sf_dir, payload=payload)).select("doc_id", "id", "name")
 
 

@@ -11,6 +11,7 @@ from lakescreen.functions import language
 from lakescreen.operators import anonymize, batch, deep, names, post, risk
 from lakescreen.sources import extract
 from lakescreen.streaming import watch
+from lakescreen.worked import office
 
 FIND = "doc_id long, ord int, category string, text string, raw_text string, severity string"
 
@@ -95,28 +96,11 @@ def test_exports_are_safe(spark):
     assert [r.r for r in named.collect()] == [True, True, False]
 
 
-def office(kind):
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        if kind == ".docx":
-            w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
-            z.writestr("word/document.xml", f"<w:document {w}><w:body><w:p><w:r><w:t>Hei</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>A</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>B</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>")
-        elif kind == ".pptx":
-            z.writestr("ppt/slides/slide1.xml", '<p xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main"><a:p><a:r><a:t>Lysbilde</a:t></a:r></a:p></p>')
-        elif kind == ".xlsx":
-            s = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-            z.writestr("xl/workbook.xml", f'<workbook {s}><sheets><sheet name="Ark" sheetId="1"/></sheets></workbook>')
-            z.writestr("xl/sharedStrings.xml", f"<sst {s}><si><t>navn</t></si></sst>")
-            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {s}><sheetData><row><c t="s"><v>0</v></c><c><v>12</v></c></row></sheetData></worksheet>')
-        else:
-            z.writestr("content.xml", "<a><b>en</b> to</a>")
-    return out.getvalue()
-
-
 @pytest.mark.parametrize(("suffix", "data", "text"), [
     (".txt", "blåbær".encode("cp1252"), "blåbær"), (".html", b"<script>x</script><p>A &amp; B</p>", "A & B"), (".csv", b"a,b\n,\nc,", "a | b\nc"),
     (".eml", b"From: a@b.no\nSubject: Hei\n\nInnhold", "From: a@b.no\nSubject: Hei\nInnhold"), (".rtf", rb"{\rtf1\b Hei\b0  der}", "Hei der"),
-    (".docx", office(".docx"), "Hei\n| A | B |\n| --- | --- |"), (".pptx", office(".pptx"), "Lysbilde"), (".xlsx", office(".xlsx"), "[Ark]\nnavn | 12"), (".odt", office(".odt"), "en\nto"),
+    (".docx", office(".docx", "Hei", "B"), "Hei said\nA | B | C\n--- | --- | ---\n |  | C\nwide | C | \nalone | B"), (".xlsx", office(".xlsx", "navn", "x"), "[One]\nnavn | 12\n[Two]\nx"),
+    (".pptx", office(".pptx", "Lysbilde", "7"), "Lysbilde\nmore\nnote\nItem | 7\n--- | ---\nx |"), (".odt", office(".odt", "en", "to"), "en\nto end"),
 ])
 def test_extraction(suffix, data, text):
     assert extract.extract(suffix, data)[:2] == (text, None)
@@ -129,7 +113,11 @@ def test_extraction_of_files(spark, tmp_path):
         (tmp_path / name).write_bytes(data)
     plan = extract.folder_plan(spark, str(tmp_path), recursive=True)
     assert [r.relative_path for r in plan.collect()] == ["a/c.csv", "b.txt", "f.docx"]
-    assert [r.relative_path for r in extract.folder_plan(spark, str(tmp_path), recursive=True, max_files=1).collect()] == ["b.txt"]
+    cut = extract.folder_plan(spark, str(tmp_path), recursive=True, max_files=1)
+    assert [r.relative_path for r in cut.collect()] == ["b.txt"] and extract.plan_summary(cut).first().truncated
+    n = plan.count()
+    for most in (n, n + 1):
+        assert not extract.plan_summary(extract.folder_plan(spark, str(tmp_path), recursive=True, max_files=most)).first().truncated
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path)).select("path", "content")
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.error and r.error.split(":")[0], r.warning_code) for r in extract.texts(files).collect()}
     assert got["c.csv"] == ("x | y", None, "little_text_extracted") and got["f.docx"][1] == "BadZipFile" and got["b.txt"][2] is None
@@ -209,7 +197,14 @@ def test_summaries(spark):
     assert {(r.zip, r.risk_ord, r.n_files, r.scan_status) for r in batch.archive_summary(results).collect()} == {("a", 3, 2, "partial"), ("b", 0, 1, "success")}
     checked = spark.createDataFrame([(1, "x", "removed"), (1, "y", "remaining"), (2, "z", "removed")], "doc_id long, target string, status string")
     assert {(r.doc_id, r.removed, r.passed) for r in batch.redaction_audit(checked).collect()} == {(1, 1, False), (2, 1, True)}
-    rows = spark.createDataFrame([(1, '{"a": {"labels": [{"id": "7", "displayName": "Confidential"}, {"id": "7", "displayName": "Confidential"}]}}')], "doc_id long, payload string")
-    assert [(r.id, r.name) for r in batch.labels(rows).collect()] == [("7", "Confidential")]
+    payloads = ['{"value": [{"sensitivityLabel": {"id": "7", "displayName": "Confidential"}}, {"labelId": "7", "name": "Again"}]}', '{"id": "1", "name": "budget.docx"}', None, "no {json", "[" * 100_000]
+    rows = spark.createDataFrame(list(enumerate(payloads)), "doc_id long, payload string")
+    assert [(r.doc_id, r.ord, r.id, r.name) for r in batch.labels(rows).collect()] == [(0, 0, "7", "Confidential")]
     alerts = spark.createDataFrame([(1, "a"), (3, "b")], "timestamp long, f string")
     assert [r.f for r in batch.merge_alerts(alerts, alerts.where("timestamp = 1"), n=2).collect()] == ["b", "a"]
+
+
+def test_tables_say_what_their_rows_say():
+    assert extract.table_lines([["Item", "Amount"], ["", ""]]) == "Item | Amount"
+    assert extract.table_lines([["a", "b", "c"], [""], ["d"]]) == "a | b | c\n--- | --- | ---\nd |  | "
+    assert extract.table_lines([]) == extract.table_lines([["", ""]]) == ""
