@@ -15,7 +15,7 @@ from . import engine
 from .functions import language
 from .operators import anonymize, batch, boxes, deep, names, post, risk, terms
 from .plans import dims
-from .sources import extract
+from .sources import extract, shared
 from .streaming import watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -650,6 +650,58 @@ def change_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.changes(one).select("path", "look", "mtime")
 
 
+# Looks of a quarter of a day; a user's file is there if the user did something, and changes every fourth look.
+_LOOKS_SQL = """
+l as (select distinct '/f/' || user_id as path, floor((look + user_id % 4) / 4)::double as mtime, user_id as size, look, timestamp '2024-01-01' + interval 1 minute * (look * 360) as t
+  from (select user_id, date_diff('minute', timestamp '2024-01-01', ts) // 360 + 1 as look from events))
+"""
+
+
+@query("watch_replay", f"""
+with {_LOOKS_SQL},
+p as (select *, lag({{'mtime': mtime, 'size': size, 'look': look}}) over w as was, lead(t) over w as following, (select max(t) from l) as ending from l window w as (partition by path order by look)),
+q as (select *, coalesce(was.look = look - 1 and was.mtime = mtime and was.size = size, false) as same, coalesce(following, ending) - t > interval 15 hour as leaves from p),
+r as (select *, lag(same) over (partition by path order by look) as was_same, lag(look) over (partition by path order by look) as was_look from q)
+select path, 'stable' as event, mtime, size, look from r where same and not was_same and was_look <> 1
+union all select path, 'gone', mtime, size, look from r where leaves""")
+def watch_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Looks at files, as a stream in several parts: what is stable, and what is gone after two and a half looks."""
+    own = spark.newSession()  # its settings are this stream's
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", watch.STATE_STORE)
+    looks = table(own, sf_dir, "events").selectExpr("user_id", "cast(timestampdiff(minute, timestamp_ntz '2024-01-01 00:00:00', cast(ts as timestamp_ntz)) div 360 + 1 as bigint) as look").distinct()
+    told = looks.selectExpr(
+        "concat('/f/', user_id) as path", "cast(floor((look + user_id % 4) / 4) as double) as mtime", "user_id as size", "look", "timestamp_seconds(1704067200 + look * 21600) as at",
+    )
+    base = shared.folder(spark, "watch")
+    for part in range(4):  # files in order, each a batch of the stream
+        told.where(F.least(F.expr("look div 40"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = own.readStream.schema(told.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    events = watch.file_events(stream, 15 * 3600)
+    events.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{base}/out")
+
+
+@query("cooldown_alerts", """
+with recursive p as (
+  select *, row_number() over (partition by source order by ts, hash) as i from (
+    select user_id % 20 as source, ts, event_type || floor(value)::bigint % 2 as hash, event_type in ('error', 'purchase') as severe from events)),
+s as (
+  select source, i, ts, hash, severe as hit, case when severe then hash end as told, case when severe then ts end as told_at from p where i = 1
+  union all
+  select source, i, ts, hash, hit, case when hit then hash else known end, case when hit then ts else known_at end from (
+    select *, severe and (fresh or hash <> last) and hash is distinct from known and (known_at is null or ts - known_at >= interval 4 hour) as hit from (
+      select p.*, s.hash as last, p.ts - s.ts > interval 12 hour as fresh, case when not p.ts - s.ts > interval 12 hour then s.told end as known,
+        case when not p.ts - s.ts > interval 12 hour then s.told_at end as known_at from s join p on p.source = s.source and p.i = s.i + 1)))
+select source, epoch_us(ts)::bigint as us, hash from s where hit""")
+def cooldown_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What users do as pastes: an alert depends on the one before it."""
+    pastes = table(spark, sf_dir, "events").selectExpr(
+        "user_id % 20 as source", "ts", "concat(event_type, cast(floor(value) as bigint) % 2) as hash", "event_type in ('error', 'purchase') as severe",
+    )
+    rows = watch.throttled(pastes.withColumn("ts", F.col("ts").cast("timestamp")), 4 * 3600, 12 * 3600)
+    return rows.select("source", F.unix_micros("ts").alias("us"), "hash")
+
+
 @query("clipboard_alerts", f"""
 select c.doc_id as source, sha256(d.text) as hash, 'svart' as risk_level from (select distinct doc_id from ({_card_sql("substr(text, 1, 50000)")})) c join documents d on c.doc_id = d.doc_id where length(trim(d.text)) >= 15""")
 def clipboard_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,16 +86,3 @@ def test_watched_files_are_scanned_and_told(spark, tmp_path):
     assert {r.path for r in spark.read.parquet(str(tmp_path / "history")).collect()} == {"/a-svart", "/b-gul"}
     with pytest.raises(ValueError):
         watch.watch_all(spark, ["a", "b", "c", "d"])
-
-
-def test_alerts_are_throttled(spark, tmp_path):
-    at = lambda s: datetime(2024, 1, 1, 0, 0, s, tzinfo=UTC)
-    rows = [("s", at(0), "x", True), ("s", at(1), "x", True), ("s", at(2), "y", True), ("s", at(20), "x", True), ("s", at(30), "y", False), ("s", at(40), "y", True), ("t", at(0), "x", True), ("s", at(50), "z", True)]
-    schema = "source string, ts timestamp, hash string, severe boolean"
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    running = watch.throttle(stream).writeStream.format("memory").queryName("told").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    running.processAllAvailable()
-    running.stop()
-    # Not what was just seen, not what was told last, not within the cooldown.
-    assert {(r.source, r.hash, r.ts.second) for r in spark.table("told").collect()} == {("s", "x", 0), ("t", "x", 0), ("s", "z", 50)}

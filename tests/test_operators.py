@@ -165,18 +165,6 @@ def test_changes_and_alerts(spark):
     assert sorted((r.path, r.look) for r in watch.changes(looks).collect()) == [("/a", 1), ("/a", 3), ("/b", 3)]
 
 
-def test_streams(spark, tmp_path):
-    looks = [[("/a", 1.0, 5, 1)], [("/a", 1.0, 5, 2), ("/b", 1.0, 1, 2)], [("/a", 1.0, 5, 3), ("/b", 2.0, 2, 3)], [("/b", 2.0, 2, 4)]]
-    schema = "path string, mtime double, size long, look long"
-    for k, rows in enumerate(looks):
-        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{k}"))
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-    running = watch.stable_files(stream).writeStream.format("memory").queryName("stable").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    running.processAllAvailable()
-    running.stop()
-    assert [(r.path, r.look) for r in spark.table("stable").collect()] == [("/b", 4)]
-
-
 def test_clients_and_the_missing_model(spark):
     docs = spark.createDataFrame([(1, "Møte hos ACME i dag, acmex ikke"), (2, None)], "doc_id long, text string")
     found, _ = engine.scan(docs, engine.Options(language="nb", only=("email",), clients=["Acme"], names=True))
