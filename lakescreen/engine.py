@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import language, rx
-from .operators import detect, names, post, risk
+from .operators import detect, langmodel, names, post, risk
 
 
 @dataclass(frozen=True)
@@ -25,6 +25,7 @@ class Options:
     name_lists: names.Lists | None = None
     name_provider: object | None = None
     only: tuple[str, ...] | None = None
+    language_model: DataFrame | None = None
 
 
 def is_scan(df: DataFrame) -> bool:
@@ -47,8 +48,11 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def prepare(docs: DataFrame, options: Options) -> DataFrame:
-    """(doc_id, text, language, technical): what detectors read."""
+    """(doc_id, text, language, technical): what detectors read. A learnt model decides for ``auto`` where there is one."""
     wish = F.col("lang") if options.language == "column" else F.lit(options.language)
+    if options.language == "auto" and options.language_model is not None:
+        docs = docs.join(langmodel.detect(docs, options.language_model).select("doc_id", F.col("language").alias("_told")), "doc_id", "left")
+        wish = F.coalesce("_told", F.lit("en"))
     return docs.select(
         "doc_id", "text", language.resolve(wish, F.col("text")).alias("language"),
         (language.profile(F.lit(options.profile), F.col("text")) == "technical").alias("technical"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .functions import language
-from .operators import anonymize, batch, boxes, deep, names, post, risk, terms
+from .operators import anonymize, batch, boxes, deep, langmodel, names, post, risk, terms
 from .plans import dims
 from .sources import extract, shared
 from .streaming import watch
@@ -571,6 +571,41 @@ select doc_id, case when length(trim(regexp_replace(text, '^\\s+|\\s+$', '', 'g'
   case when coalesce(({strong}) or {total} >= 3, false) then 'technical' else 'normal' end as profile from b"""
 
 
+# The model learns from even documents; trigrams of a word between blanks, counted by the word.
+_MODEL_SQL = r"""
+with w as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '\p{L}+')) as word from documents where doc_id % 2 = 0),
+g as (select lang, unnest(list_transform(range(1, length(word) + 1), lambda i : substr(' ' || word || ' ', i::int, 3))) as gram, n from (select lang, word, count(*) as n from w where lang is not null group by all)),
+c as (select gram, lang, sum(n)::bigint as n from g group by all),
+t as (select lang as language, sum(n) as total, (select count(distinct gram) from c) as size from c group by lang),
+model as (
+  select p.gram, p.language, coalesce(c.n, 0)::bigint as n, ln((coalesce(c.n, 0) + 0.5::double) / (total + 0.5::double * size)) as weight
+  from (select gram, language, total, size from (select distinct gram from c) cross join t) p left join c on c.gram = p.gram and c.lang = p.language)
+"""
+
+
+def _language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmodel.train(engine.spread(table(spark, sf_dir, "documents")).where("doc_id % 2 = 0"))
+
+
+@query("language_model", _MODEL_SQL + "select gram, language, n, round(weight, 9) as weight from model")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _language_model(spark, sf_dir).select("gram", "language", "n", F.round("weight", 9).alias("weight"))
+
+
+@query("language_learnt", _MODEL_SQL + r""",
+dw as (select doc_id, unnest(regexp_extract_all(lower(substr(text, 1, 3000)), '\p{L}+')) as word from documents where length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 80),
+dg as (select doc_id, unnest(list_transform(range(1, length(word) + 1), lambda i : substr(' ' || word || ' ', i::int, 3))) as gram from dw),
+s as (select doc_id, language, sum(weight) as score from dg join model using (gram) group by all),
+b as (select doc_id, arg_min(language, (-round(score, 6), language)) as language from s group by doc_id),
+d as (select d.doc_id, d.lang, coalesce(b.language, 'en') as language from documents d left join b on b.doc_id = d.doc_id)
+select lang, doc_id % 2 = 1 as held_out, language, count(*) as n from d group by all""")
+def language_learnt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How documents' languages are told, those that the model has learnt from and the others."""
+    docs = engine.spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+    told = docs.select("doc_id", "lang").join(langmodel.detect(docs, _language_model(spark, sf_dir)), "doc_id")
+    return told.groupBy("lang", (F.col("doc_id") % 2 == 1).alias("held_out"), "language").agg(F.count("*").alias("n"))
+
+
 @query("language_profile", _language_sql())
 def language_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
