@@ -12,6 +12,7 @@ documents without a telling window are left out as wrong labels.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -29,8 +30,8 @@ WORD_DIM, CHAR_DIM, HIDDEN = 6, 6, 8
 CHAR_ROWS = 1 << 12
 #: Word beginnings of so many bytes are characters' evidence too; their log-odds are kept in so many rows.
 PREFIXES, PREFIX_ROWS = range(4, 9), 1 << 18
-#: Bounds of the training sample: rows, characters of a document that may be in it, known words.
-SAMPLE_ROWS, SAMPLE_CHARS, VOCAB = 4000, 20_000, 20_000
+#: Bounds of the training sample: rows, characters of one document in it, the pieces that a longer one gives, known words.
+SAMPLE_ROWS, SAMPLE_CHARS, PIECES, VOCAB = 4000, 20_000, 20, 20_000
 #: Rounds of training, passes over a round's windows, least log-odds of a word that tells.
 ROUNDS, PASSES, CLEAR = 3, 3, 1.2
 THRESHOLD = 0.7
@@ -234,7 +235,7 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> Model:
     begins = beginnings(words, first)
     pairs = np.unique(doc_of * np.int64(len(distinct)) + ids)
     toxic, df = np.zeros(PREFIX_ROWS), np.zeros(PREFIX_ROWS, np.int64)
-    for k in range(len(PREFIXES)):  # one length at a time, for the driver's memory
+    for k in range(len(PREFIXES)):  # one length at a time, for the task's memory
         more = _counts(pairs // len(distinct), begins[pairs % len(distinct), k], PREFIX_ROWS, y)
         toxic, df = toxic + more[0], df + more[1]
     del pairs, doc_of
@@ -323,23 +324,35 @@ def score_texts(model: Model, column: pa.Array) -> np.ndarray:
     return out
 
 
+def in_pieces(text: F.Column, chars: int, pieces: int = PIECES) -> F.Column:
+    """A text of up to ``chars`` characters as it is; of a longer one so many in all, in pieces from its beginning to its end."""
+    size, n = chars // pieces, F.length(text)
+    at = lambda i: (i * (n - size) / (pieces - 1)).cast("int") + 1
+    cut = F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), lambda i: F.regexp_replace(F.substr(text, at(i), F.lit(size)), r"^\S*\s|\s\S*$", ""))
+    return F.when(n > chars, F.array_join(cut, "\n")).otherwise(text)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Model:
-    """Train on at most ``rows`` labelled documents of at most ``chars`` characters whose fold is not held out.
+    """Train on at most ``rows`` labelled documents whose fold is not held out; of a text over ``chars`` characters on pieces.
 
-    The sample is that of the least hashes of doc_id. Twice ``rows`` labels are drawn, so that many can be absent from
-    ``docs`` or have longer texts; if more are, the sample is smaller. Null labels and ids are left out; of repeated
-    labels, tied in doc_id, the highest holds, and of repeated documents the text whose hash is least. Empty tables, or
-    labels of one kind only, give a model that scores all texts alike. Columns other than doc_id, text and toxic are not
-    looked at.
+    The sample is that of the least hashes of doc_id among labelled documents that ``docs`` has. Null labels, ids and texts
+    are left out; of repeated labels, tied in doc_id, the highest holds, and of repeated documents the text whose hash is
+    least. Empty tables, or labels of one kind only, give a model that scores all texts alike. Columns other than doc_id,
+    text and toxic are not looked at. One task trains, as the sample is bounded; what comes to the driver is the model.
     """
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     marked = labels.where("doc_id is not null and toxic is not null").where(fold != 1).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    kept = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars)
-    one = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "toxic"), F.xxhash64("text")).alias("r"))
-    got = one.select("doc_id", "r.*").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    got.sort(key=lambda r: r.doc_id)
-    return train([r.text for r in got], [r.toxic for r in got])
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    kept = marked.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    one = texts.join(F.broadcast(kept), "doc_id").groupBy("doc_id", "toxic").agg(F.min_by(in_pieces(F.col("text"), chars), F.xxhash64("text")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sample = sorted((r["doc_id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        model = train([text for _, text, _ in sample], [toxic for *_, toxic in sample])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(tuple(model))], pa.binary())], ["model"])
+
+    got = one.repartition(1).mapInArrow(run, "model binary").collect()
+    return Model(*pickle.loads(got[0].model)) if got else train([], [])
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
