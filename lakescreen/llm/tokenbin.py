@@ -388,11 +388,12 @@ def training_order(docs: DataFrame, length: int = LENGTH, shard_rows: int = SHAR
 def sharded(docs: DataFrame, folder: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS, key: int = KEY, path: str = VOCABULARY) -> DataFrame:
     """Rows of ``training_order`` with the MD5 of their ids instead of the ids, which are in the shards.
 
-    Whoever reads all rows has the shards written in the same pass, as ``shard-<k>.bin`` in a folder that all executors
-    share: without one, in a folder of its own under the shared one, so no shard of another run is found among them.
+    The shards are written by this call, as ``shard-<k>.bin`` in a folder that all executors share: without one, in a folder
+    of its own under the shared one, so no shard of another run is found among them. The rows are a manifest that the same
+    pass has written; reading some of them, or all again, leaves the shards alone.
     """
     folder = folder or f"{shared_dir(docs.sparkSession).rstrip('/')}/shards-{uuid.uuid4().hex}"
-    return _materialised(docs, length, shard_rows, key, path, folder)
+    return staged(_materialised(docs, length, shard_rows, key, path, folder), "manifest")
 
 
 def write_shards(docs: DataFrame, folder: str | None = None, length: int = LENGTH, shard_rows: int = SHARD_ROWS) -> DataFrame:

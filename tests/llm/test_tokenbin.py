@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -201,3 +202,16 @@ def test_queries_write_their_shards(spark, tmp_path, monkeypatch):
         assert [x.tobytes() for x in T.read_from(str(folder), 0)] == [want[n][2] for n in range(len(want))]
         assert by_slot == {n: hashlib.md5(w[2]).hexdigest() for n, w in want.items()}
         assert all(f.name.startswith("shard-") for f in folder.iterdir())
+
+
+def test_shards_are_whole_whatever_is_read_of_the_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"document {k} " * (k % 9 + 1)) for k in range(200)], "doc_id long, text string").repartition(3)
+    want, some = str(tmp_path / "all"), str(tmp_path / "some")
+    n = T.sharded(docs, want, length=16, shard_rows=8).count()
+    rows = T.sharded(docs, some, length=16, shard_rows=8)
+    names = sorted(os.listdir(some))
+    assert names == sorted(os.listdir(want)) and len(names) == -(-n // 8)
+    before = {x: os.stat(f"{some}/{x}").st_mtime_ns for x in names}
+    assert len(rows.limit(1).collect()) == 1 and rows.select("slot").count() == n
+    assert {x: os.stat(f"{some}/{x}").st_mtime_ns for x in names} == before
+    assert all(open(f"{some}/{x}", "rb").read() == open(f"{want}/{x}", "rb").read() for x in names)
