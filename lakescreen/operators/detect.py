@@ -474,7 +474,8 @@ def _rows(k: int, d: Detector) -> str:
 def _all_hits(run: list[Detector]) -> str:
     """SQL of the hits of all detectors in ``text``, read in ``language``: structs (k, match_ord, start, end, m, g, pre, post)."""
     each = ", ".join(_rows(n, d) for n, d in enumerate(run))
-    doc = f"named_struct('text', text, 'low', lower(text), 'digits', regexp_replace(text, {rx.quoted(DIGITS_ONLY)}, '  '), 'language', language)"
+    fields = {"text": "text", "low": "lower(text)", "digits": f"regexp_replace(text, {rx.quoted(DIGITS_ONLY)}, '  ')", "language": "language"}
+    doc = "named_struct(" + ", ".join(f"'{k}', {v}" for k, v in fields.items() if k == "text" or f"doc.{k}" in each) + ")"  # what no detector of the run reads is not made
     row = f"named_struct('k', r.k, 'match_ord', r.match_ord, 'start', r.h.start, 'end', r.h.`end`, 'm', r.h.m, 'g', r.h.g, {rx.around_sql('doc.text', 'r.h')})"
     # Inside a lambda the expression is evaluated as it stands, not compiled as one method, which would be too large.
     return f"transform(array({doc}), doc -> transform(flatten(array({each})), r -> {row}))[0]"

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from . import engine
 from .functions import language
-from .operators import anonymize, batch, deep, lists, post, redact, risk
+from .operators import anonymize, audits, batch, deep, lists, post, redact, risk
 from .queries import query, table
-from .sources import extract
+from .sources import extract, shared
 from .streaming import watch
 from .written import KEY, LINE, Sql, by_case, digits, number, say
 
@@ -431,6 +431,27 @@ def audit_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact.audit_summary(rows(spark, sf_dir, removed="2", not_found="1", remaining=f"cast({KEY} % 3 > 0 as int)", passed=f"{KEY} % 3 = 0"))
 
 
+@query("audit_refresh", f"""
+select 'e' || lpad({KEY}::varchar, 12, '0') as id, case when {KEY} % 3 = 0 then 'error' when {KEY} % 3 = 1 then 'needs_review' else 'passed' end as status,
+  case when {KEY} % 3 > 0 then (case when {KEY} % 3 = 1 then 1 else 2 end)::bigint end as removed, case when {KEY} % 3 > 0 then (case when {KEY} % 3 = 1 then 1 else 0 end)::bigint end as remaining
+from orders order by 1 desc limit 100""")
+def audit_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies are entered and checked; they change, or go, and are checked again, twice: an entry each, the last hundred."""
+    folder = shared.folder(spark, "audit-log")
+    made = rows(spark, sf_dir, id=f"concat('e', lpad(cast({KEY} as string), 12, '0'))", a=say("a", _N, "@b.no"), b=say("X ", _N))
+    own = made.select(
+        "id", F.timestamp_seconds("doc_id").alias("created_at"), F.concat(F.lit("/c/"), "id").alias("path"), F.lit(True).alias("details"),
+        F.array(*(F.struct(F.lit("c").alias("category"), F.col(c).alias("text")) for c in ("a", "b"))).alias("selected"), F.lit(None).cast(audits.VERIFICATION).alias("verification"),
+    )
+    scan = lambda docs: engine.scan(docs, engine.Options(language="en", only=("email",)))[0]
+    copies = own.select("path", F.lit("clean").alias("text"), F.lit(None).cast("string").alias("error"))
+    audits.put(spark, folder, audits.verified(own, copies, scan, F.timestamp_seconds(F.lit(1))))
+    changed = made.where("doc_id % 3 > 0").select(F.concat(F.lit("/c/"), "id").alias("path"), F.when(F.col("doc_id") % 3 == 1, F.concat(F.lit("mail "), "a")).otherwise("clean").alias("text"), F.lit(None).cast("string").alias("error"))
+    for second in (2, 2):
+        audits.refresh(spark, folder, made.select("id"), changed, scan, F.timestamp_seconds(F.lit(second)))
+    return audits.last(spark, folder).select("id", "verification.status", "verification.removed", "verification.remaining")
+
+
 _ROW = say("| Cost | ", number(100, 999), " | 2020-01-02 | 5 % |")
 
 
