@@ -75,8 +75,45 @@ def safe_cell(value: Column) -> Column:
     return F.when(text.rlike(r"^[=+\-@]"), F.concat(F.lit("'"), text)).otherwise(text)
 
 
+#: What a spreadsheet needs before the header to read a file as UTF-8.
+MARK = "﻿"
+CSV_COLUMNS = ("severity", "category", "engine", "confidence", "text", "context")
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.select(*(safe_cell(F.col(c)).alias(c) for c in rows.columns)).write.csv(path, header=True, encoding="UTF-8", mode="overwrite")
+    """Rows as CSV files with safe cells, each with a mark of UTF-8 and a header; quotes in cells are doubled."""
+    first, *others = rows.columns
+    cells = [safe_cell(F.col(first)).alias(f"{MARK}{first}"), *(safe_cell(F.col(c)).alias(c) for c in others)]
+    rows.select(*cells).write.csv(path, header=True, encoding="UTF-8", mode="overwrite", escape='"', emptyValue="", lineSep="\n")
+
+
+def csv_cell(value: Column) -> Column:
+    """A cell that is quoted where it has to be."""
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    return F.when(text.rlike('[,"\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def _in_order(findings: DataFrame, row: Column, name: str) -> DataFrame:
+    """(doc_id, name): an array of ``row`` of each document's findings, in their order."""
+    each = findings.select("doc_id", F.struct("det_ord", "sub_ord", "match_ord", row.alias("row")).alias("r"))
+    return each.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row"]).alias(name))
+
+
+def findings_csv(results: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, csv): a document's findings as one CSV file, marked as UTF-8, with a header; only the header without any."""
+    row = F.concat_ws(",", *(csv_cell(F.col(c)) for c in CSV_COLUMNS))
+    joined = results.select("doc_id").join(_in_order(findings, row, "rows"), "doc_id", "left")
+    lines = F.concat(F.array(F.lit(MARK + ",".join(CSV_COLUMNS))), F.coalesce("rows", F.array().cast("array<string>")), F.array(F.lit("")))
+    return joined.select("doc_id", F.array_join(lines, "\r\n").alias("csv"))
+
+
+def findings_json(results: DataFrame, findings: DataFrame) -> DataFrame:
+    """(doc_id, json): a document's risk and findings as one JSON file; null fields are told as such."""
+    row = F.struct(*(F.col(c) for c in CSV_COLUMNS))
+    joined = results.join(_in_order(findings, row, "findings"), "doc_id", "left")
+    kept = [c for c in ("relative_path", "risk_level", "scan_status", "risk_summary", "language", "finding_count") if c in results.columns]
+    none = F.array().cast(f"array<struct<{','.join(f'{c}:string' for c in CSV_COLUMNS)}>>")
+    return joined.select("doc_id", F.to_json(F.struct(*kept, F.coalesce("findings", none).alias("findings")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_json(rows: DataFrame, path: str) -> None:
@@ -85,7 +122,7 @@ def write_json(rows: DataFrame, path: str) -> None:
 
 def write_text(anonymized: DataFrame, path: str) -> None:
     """Anonymised texts as text files, one row each."""
-    anonymized.select(F.col("anonymized").alias("value")).write.text(path, mode="overwrite", lineSep="\n")
+    anonymized.select(F.col("anonymized").alias("value")).write.mode("overwrite").text(path, lineSep="\n")
 
 
 def escape(value: Column) -> Column:

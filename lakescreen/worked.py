@@ -608,6 +608,42 @@ def html_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch.html_report(results, found)
 
 
+_MAIL = say('Write, "', _N, '" to a', _N, "@b.no, please")
+
+
+@query("findings_files", f"""
+select {KEY} as doc_id, chr(65279) || 'severity,category,engine,confidence,text,context' || chr(13) || chr(10) || 'gul,e-post,rule,,a' || {_N} || '@b.no,"Write, ""' || {_N}
+  || '"" to a' || {_N} || '@b.no, please"' || chr(13) || chr(10) as csv, 'a' || {_N} || '@b.no' as mail, 1::bigint as n from orders""")
+def findings_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of documents as CSV and JSON files; the JSON is read again."""
+    docs = rows(spark, sf_dir, text=_MAIL)
+    found = engine.scan(docs, engine.Options(language="en", only=("email",)))[0]
+    results = engine.results(docs.select("doc_id"), found)
+    made = batch.findings_csv(results, found).join(batch.findings_json(results, found), "doc_id")
+    read = F.from_json("json", "finding_count bigint, findings array<struct<text:string,category:string>>")
+    return made.select("doc_id", "csv", read["findings"][0]["text"].alias("mail"), read["finding_count"].alias("n"))
+
+
+_PATH = say("=p", _N, ',"x" æ')
+
+
+@query("export_files", f"""
+select {KEY} as doc_id, 'csv' as way, chr(39) || {_PATH} as said, '' as note from orders union all select {KEY}, 'json', {_PATH}, null from orders
+union all select null, 'text', {_PATH} || ' anon', null from orders""")
+def export_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows as CSV, JSON and text files, read again; no cell of the CSV is a formula."""
+    folder = shared.folder(spark, "exports")
+    made = rows(spark, sf_dir, path=_PATH, note=NOTHING)
+    batch.write_csv(made, f"{folder}/csv")
+    batch.write_json(made, f"{folder}/json")
+    batch.write_text(made.select(F.concat("path", F.lit(" anon")).alias("anonymized")), f"{folder}/text")
+    csv = spark.read.csv(f"{folder}/csv", header=True, escape='"')
+    csv = csv.select(F.col(next(c for c in csv.columns if c.endswith("doc_id"))).cast("long").alias("doc_id"), F.lit("csv").alias("way"), F.col("path").alias("said"), F.coalesce("note", F.lit("")).alias("note"))
+    json = spark.read.schema("doc_id long, path string, note string").json(f"{folder}/json").select("doc_id", F.lit("json").alias("way"), F.col("path").alias("said"), "note")
+    text = spark.read.text(f"{folder}/text").select(F.lit(None).cast("long").alias("doc_id"), F.lit("text").alias("way"), F.col("value").alias("said"), F.lit(None).cast("string").alias("note"))
+    return csv.unionByName(json).unionByName(text)
+
+
 @told("api_payloads", says="true", tells="false")
 def api_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What an API tells of a document; never its text."""
