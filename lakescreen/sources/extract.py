@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import folders
+
 # Suffixes, limits, excluded folders, headers.
 SUFFIXES = (".pdf", ".docx", ".pptx", ".xlsx", ".md", ".txt", ".html", ".csv", ".eml", ".rtf", ".odt", ".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
 IMAGES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
@@ -288,18 +290,12 @@ def pdf_strategy(mode: Column, ocr: Column, fast: Column, layout: Column) -> Col
 def folder_plan(spark: SparkSession, folder: str, recursive: bool = False, max_files: int = 500, max_depth: int = 5, excluded: tuple[str, ...] = EXCLUDED) -> DataFrame:
     """(path, relative_path, file_size, modified, truncated): supported files, cut to ``max_files`` in the order of a walk, then by path.
 
-    A walk takes a folder's files before its sub-folders. Hidden and excluded folders are left out. truncated: whether the
-    cut left out a file.
+    A walk takes a folder's files before its sub-folders. Hidden and excluded folders, and links to folders, are left out.
+    truncated: whether the cut left out a file. The folder is one that the driver and all tasks see.
     """
-    most, deep = min(max(1, max_files), 10_000), min(max(0, max_depth), 50)
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    root = folder.rstrip("/").removeprefix("file:")
-    files = listing.select("path", F.col("length").alias("file_size"), F.col("modificationTime").alias("modified"))
-    relative = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + re.escape(re.sub("^/*", "/", root)) + "/?", "")
-    parts = F.split(relative, "/")
-    folders = F.slice(parts, 1, F.size(parts) - 1)
-    named = files.withColumn("relative_path", relative).where(suffix_of("path").isin(*SUFFIXES)).where(F.size(folders) <= (deep if recursive else 0))
-    kept = named.where(~F.exists(folders, lambda d: d.startswith(".") | F.lower(d).isin(*map(str.lower, excluded))))
+    most, deep = min(max(1, max_files), 10_000), min(max(0, max_depth), 50) if recursive else 0
+    kept = folders.files(spark, re.sub("^file:/*", "/", folder), deep, most + 1, excluded, SUFFIXES)
+    parts = F.split("relative_path", "/")
     # Folders sort after files at each level.
     walk = F.transform(parts, lambda p, k: F.concat(F.when(k == F.size(parts) - 1, F.lit("0")).otherwise("1"), F.lower(p)))
     first = kept.withColumn("_walk", walk).orderBy("_walk").limit(most + 1)  # one more tells whether any is left out
