@@ -85,7 +85,7 @@ def table_values(docs: DataFrame) -> DataFrame:
     each = body.select("doc_id", "line", F.trim("said").alias("context"), "cells", "head", F.explode("head.money").alias("col"))
     told = each.select("doc_id", "line", "col", F.get("head.cells", "col").alias("header"), F.get("cells", "col").alias("text"), "context").where(is_amount(F.col("text")))
     first = told.groupBy("doc_id", F.lower("header").alias("_h"), F.lower("text").alias("_t")).agg(F.min(F.struct("line", "col", "header", "text", "context")).alias("f"))
-    return first.select("doc_id", (F.col("f.line") * 1000 + F.col("f.col")).cast("long").alias("ord"), "f.header", "f.text", "f.context")
+    return first.select("doc_id", (F.col("f.line").cast("long") * 1_000_000 + F.col("f.col")).alias("ord"), "f.header", "f.text", "f.context")
 
 
 def prompts(parts: DataFrame, categories: list[str], language: str = "nb") -> DataFrame:
@@ -252,7 +252,7 @@ SUPPLEMENTS = (
     ("telefon", ("us_phone",), "Telefonnummer"), ("bankkonto", ("konto",), "Kontonummer"), ("bankkonto", ("iban",), "IBAN"),
 )
 #: Places of the findings of a model, of supplements, of tables and of listed terms, in the order in which they are told.
-AFTER_MODEL, AFTER_RULES, AFTER_TABLES = 10_000_000, 20_000_000, 2_000_000_000
+AFTER_MODEL, AFTER_RULES, AFTER_TABLES = 10**9, 10**12, 10**16
 
 
 def supplements(docs: DataFrame, categories: list[str]) -> DataFrame:
@@ -267,7 +267,7 @@ def supplements(docs: DataFrame, categories: list[str]) -> DataFrame:
     for x, n in named.items():
         name = name.when(F.col("detector") == x, F.lit(n) if n else F.concat(F.upper(F.substr("category", F.lit(1), F.lit(1))), F.substr("category", F.lit(2), F.lit(99))))
     sure = F.when(F.col("category") == "mulig personnummer (format)", "medium").otherwise("high")
-    place = F.lit(AFTER_MODEL) + F.col("sub_ord") * 100_000 + F.col("match_ord")
+    place = F.lit(AFTER_MODEL) + F.col("sub_ord").cast("long") * 10**9 + F.col("match_ord")
     told = found.select("doc_id", place.cast("long").alias("ord"), (name.otherwise(F.col("category")) if named else F.col("category")).alias("category"), "text", "context", sure.alias("confidence"))
     if "budsjett_tall" in categories:
         tables = table_values(docs).select("doc_id", (F.col("ord") + AFTER_RULES).alias("ord"), F.lit("Budsjettall").alias("category"), "text", "context", F.lit("high").alias("confidence"))
