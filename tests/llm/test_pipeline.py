@@ -1,6 +1,7 @@
 """The pipeline's rows against a plain version of its stages."""
 
 import hashlib
+import math
 import random
 
 import corpus_pipeline
@@ -31,6 +32,35 @@ def tables(folder):
     return [dict(zip(docs, row, strict=True)) for row in zip(*docs.values(), strict=True)], list(enumerate(items))
 
 
+def unit(said):
+    """A number below 1 by a string's MD5."""
+    return int(hashlib.md5(said.encode()).hexdigest()[:13], 16) / 2**52
+
+
+def drawn(docs, source, fraction, seed="mix"):
+    """Of a source's documents (doc_id, text, words) those that get another copy: from the largest sizes on, by plain sums."""
+    classes = {}
+    for doc, text, n in docs:
+        shift = max(n.bit_length() - 7, 0)
+        classes.setdefault(n >> shift << shift, []).append((unit(f"{seed}:{doc}:{hashlib.md5((text or '').encode()).hexdigest()}"), doc, n))
+    total, seen, took, out = float(sum(n for *_, n in docs)), 0.0, 0.0, set()
+    for c in sorted(classes, reverse=True):
+        own = sorted(classes[c])
+        w, u = float(sum(n for *_, n in own)), unit(f"{seed}:{'=' + source if source is not None else ''}:{c}")
+        seen += w
+        if c == 0:
+            k = math.floor(fraction * len(own) + u)
+        else:
+            mean = w / len(own)
+            most, least = math.floor((fraction * total - took) / mean), math.ceil((fraction * total - took - (total - seen)) / mean)
+            k = math.floor((fraction * seen - took) / mean + u)
+            k = k if least > most else min(most, max(least, k))
+            k = min(len(own), max(0, k))
+            took += k * mean
+        out |= {doc for _, doc, _ in own[:k]}
+    return out
+
+
 def test_pipeline_equals_its_stages(spark, tmp_path):
     rows, items = tables(str(tmp_path))
     sf = str(tmp_path)
@@ -56,12 +86,9 @@ def test_pipeline_equals_its_stages(spark, tmp_path):
     for r in rows:
         sizes[r["source"]] = sizes.get(r["source"], 0) + words[r["doc_id"]]
     targets = level(sizes, mixing.WEIGHTS)
-    want = {}
-    for r in rows:
-        rate = min(3.0, targets[r["source"]] / sizes[r["source"]])
-        drawn = int(hashlib.md5(f"mix:{r['doc_id']}:{hashlib.md5((r['text'] or '').encode()).hexdigest()}".encode()).hexdigest()[:13], 16) / 2**52
-        if n := int(rate) + (drawn < rate - int(rate)):
-            want[r["doc_id"]] = n
+    rates = {s: min(3.0, targets[s] / n) for s, n in sizes.items()}
+    more = {s: drawn([(r["doc_id"], r["text"], words[r["doc_id"]]) for r in rows if r["source"] == s], s, rate - int(rate)) for s, rate in rates.items()}
+    want = {r["doc_id"]: n for r in rows if (n := int(rates[r["source"]]) + (r["doc_id"] in more[r["source"]]))}
 
     tokenizer = tokenbin.Tokenizer(tokenbin.vocabulary())
     of = {r["doc_id"]: len(tokenizer.encode(r["text"] or "")) // 2 + 1 for r in rows}
