@@ -43,6 +43,31 @@ def test_all_terms_are_found(spark, whole_words, broadcast_bytes):
     assert {terms.folded(t) for t in ("STRASSE", "strasse")} == {"strasse"} and len(terms.folded("İẞŉ")) == 3
 
 
+def test_terms_that_begin_alike_are_filed_apart(spark):
+    names = spark.range(3000).selectExpr("0 as k", "concat('Customer#', lpad(cast(id as string), 9, '0')) as term")
+    filed = terms.index(terms.listed(spark, names), spark.createDataFrame([("no name",)], "text string"), [16]).groupBy("gram").count()
+    assert filed.agg({"count": "max"}).first()[0] <= 10
+    docs = spark.createDataFrame([(1, "customer#000000007, Customer#000002999x"), (2, "Customer#000003000")], SCHEMA)
+    for most in (1 << 26, 30_000, 0):
+        assert {(r.doc_id, r.start, r.m) for r in terms.find(docs, names, broadcast_bytes=most).collect()} == {(1, 0, "customer#000000007"), (1, 20, "Customer#000002999")}
+
+
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 700, 0])
+def test_terms_of_every_width(spark, broadcast_bytes):
+    rng = random.Random(5)
+    docs = [(k, "".join(rng.choice("abÅ😀") for _ in range(200))) for k in range(30)]
+    listed = [docs[k % 30][1][3 : 3 + n] for k, n in enumerate([1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 32, 33, 64, 70])] + ["ab" * 20, "b" * 9]
+    rows = terms.find(spark.createDataFrame(docs, SCHEMA), listed, False, broadcast_bytes).collect()
+    assert sorted((r.doc_id, r.k, r.start, r.end, r.m, r.pre, r.post, r.n) for r in rows) == sorted(plain(docs, listed, False))
+
+
+def test_many_hits_are_told_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(terms, "TOLD_AT_ONCE", 10)
+    batch = terms.pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3]})
+    got = list(terms._told(batch, lambda i: [(0, k, k + 1, 99, "a", "", "") for k in range((25, 0, 4)[i])]))
+    assert max(b.num_rows for b in got) < 20 and [r for b in got for r in b.column("doc_id").to_pylist()] == [1] * 25 + [3] * 4
+
+
 def test_a_list_as_a_table_and_lists_without_terms(spark):
     docs = spark.createDataFrame([(1, "Term5 and term77"), (2, None)], SCHEMA)
     table = spark.range(5000).selectExpr("concat('term', id) as term")
