@@ -51,7 +51,7 @@ def by_case(values: list[str | None]) -> str:
 
 
 def texts(spark: SparkSession, sf_dir: str, said: list[str]) -> DataFrame:
-    return engine.spread(table(spark, sf_dir, "orders").selectExpr(f"{KEY} as doc_id", f"{by_case(said)} as text"))
+    return engine.dealt(table(spark, sf_dir, "orders").select(KEY)).selectExpr(f"{KEY} as doc_id", f"{by_case(said)} as text")
 
 
 def found(name: str, lang: str, only: str | tuple[str, ...], *cases: Case) -> None:
