@@ -68,22 +68,25 @@ def cells_of(line: Column) -> Column:
 def table_values(docs: DataFrame) -> DataFrame:
     """(doc_id, ord, header, text, context): amounts in the financial columns of tables drawn with bars.
 
-    A header holds for the table lines that follow it, up to the next header or line without a bar. Only table lines leave
-    their document; lines next to one another have numbers next to one another, which tells the blocks. Rows of one doc_id
-    are read one by one, and told together.
+    A header holds for the table lines that follow it, up to the next header or line without a bar. Lines of a text are
+    read in its row, where each header takes the slice of lines up to the next one, so only amounts leave it. Rows of one
+    doc_id are read one by one, and told together.
     """
-    said = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x, k: F.struct(k.alias("line"), x.alias("said"))), lambda x: x["said"].contains("|"))
-    lines = docs.where(F.contains("text", F.lit("|"))).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.inline(said))
-    nth = F.row_number().over(Window.partitionBy("row").orderBy("line"))
-    row = lines.withColumn("cells", cells_of(F.col("said"))).withColumn("block", F.col("line") - nth)
-    row = row.where(~F.forall("cells", lambda c: c.rlike("^-*$")))
     headed = lambda c: c.rlike(rx.java(A.MONEY_HEADER, "i")) & ~c.rlike(rx.java(A.OTHER_HEADER, "i"))
-    row = row.withColumn("money", F.filter(F.transform("cells", lambda c, k: F.when(headed(c), k)), lambda k: k.isNotNull()))
-    head = F.when(F.size("money") > 0, F.struct("cells", "money"))
-    row = row.withColumn("head", F.last(head, ignorenulls=True).over(Window.partitionBy("row", "block").orderBy("line")))
-    body = row.where((F.size("money") == 0) & F.col("head").isNotNull() & (F.size("cells") > F.array_max("head.money")))
-    each = body.select("doc_id", "line", F.trim("said").alias("context"), "cells", "head", F.explode("head.money").alias("col"))
-    told = each.select("doc_id", "line", "col", F.get("head.cells", "col").alias("header"), F.get("cells", "col").alias("text"), "context").where(is_amount(F.col("text")))
+    money = lambda cells: F.filter(F.transform(cells, lambda c, k: F.when(headed(c), k)), lambda k: k.isNotNull())
+    said = F.filter(F.transform(F.split("text", r"\r?\n"), lambda x, k: F.struct(k.alias("line"), x.alias("said"))), lambda x: x["said"].contains("|"))
+    # Lines next to one another have numbers next to one another, which tells the blocks.
+    cut = F.transform(said, lambda x, k: F.struct(x["line"].alias("line"), (x["line"] - k).alias("block"), x["said"].alias("said"), cells_of(x["said"]).alias("cells")))
+    full = F.filter(cut, lambda x: ~F.forall(x["cells"], lambda c: c.rlike("^-*$")))
+    lines = F.transform(full, lambda x: F.struct(x["line"].alias("line"), x["block"].alias("block"), x["said"].alias("said"), x["cells"].alias("cells"), money(x["cells"]).alias("money")))
+    row = docs.where(F.contains("text", F.lit("|"))).select("doc_id", lines.alias("lines"))
+    heads = F.transform("lines", lambda x, k: F.when(F.size(x["money"]) > 0, F.struct(k.alias("at"), x["block"].alias("block"), x["cells"].alias("cells"), x["money"].alias("money"))))
+    row = row.withColumn("heads", F.filter(heads, lambda h: h.isNotNull()))
+    until = lambda k: F.coalesce(F.get("heads", k + 1)["at"], F.size("lines"))
+    below = lambda h, k: F.filter(F.slice("lines", h["at"] + 2, until(k) - h["at"] - 1), lambda x: (x["block"] == h["block"]) & (F.size(x["cells"]) > F.array_max(h["money"])))
+    parts = row.select("doc_id", F.inline(F.transform("heads", lambda h, k: F.struct(h["cells"].alias("head"), h["money"].alias("money"), below(h, k).alias("body")))))
+    each = parts.select("doc_id", "head", "money", F.explode("body").alias("x")).select("doc_id", "head", "x", F.explode("money").alias("col"))
+    told = each.select("doc_id", "x.line", "col", F.get("head", "col").alias("header"), F.get("x.cells", "col").alias("text"), F.trim("x.said").alias("context")).where(is_amount(F.col("text")))
     first = told.groupBy("doc_id", F.lower("header").alias("_h"), F.lower("text").alias("_t")).agg(F.min(F.struct("line", "col", "header", "text", "context")).alias("f"))
     return first.select("doc_id", (F.col("f.line").cast("long") * 1_000_000 + F.col("f.col")).alias("ord"), "f.header", "f.text", "f.context")
 
