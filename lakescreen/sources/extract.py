@@ -26,6 +26,8 @@ EXCLUDED = (
     ".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".venv", "venv", "__pycache__", "node_modules", "build", "dist", "Library", "AppData",
 )
 ZIP_FILES, ZIP_BYTES, ZIP_MEMBER = 1000, 250 << 20, 100 << 20
+#: Members of archives that are handed on at once: so many, or so many bytes.
+MOST_ROWS, MOST_HELD = 10_000, 16 << 20
 HEADERS = ("From", "To", "Cc", "Bcc", "Subject", "Date", "Reply-To")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
@@ -324,6 +326,24 @@ def zip_summary(members: DataFrame) -> DataFrame:
     return told.withColumn("large", (F.col("n_files") >= MANY_FILES) | (F.col("n_bytes") >= MANY_BYTES))
 
 
+def member_batches(rows: Iterator[tuple], most_rows: int = MOST_ROWS, most_held: int = MOST_HELD) -> Iterator[pa.RecordBatch]:
+    """Members in batches of their own size: a batch for each archive would cost more than small archives do."""
+    kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), kinds, strict=True)], ["zip", "ord", "path", "content", "skipped"])
+
+    for row in rows:
+        held.append(row)
+        size += len(row[3] or b"")
+        if len(held) >= most_rows or size >= most_held:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def zip_members(files: DataFrame, max_files: int = ZIP_FILES, max_bytes: int = ZIP_BYTES, max_member: int = ZIP_MEMBER) -> DataFrame:
     """(zip, ord, path, content, skipped): members of archives (path, content); those over a limit, unsafe or unsupported say why."""
 
@@ -352,11 +372,8 @@ def zip_members(files: DataFrame, max_files: int = ZIP_FILES, max_bytes: int = Z
             yield path, k, name, None if why else archive.read(m), why
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
-        for batch in batches:
-            for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                if rows := list(members(path, data or b"")):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["zip", "ord", "path", "content", "skipped"])
+        each = (zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True) for b in batches)
+        return member_batches(row for batch in each for path, data in batch for row in members(path, data or b""))
 
     return files.select("path", "content").mapInArrow(run, "zip string, ord int, path string, content binary, skipped string")
 
