@@ -126,7 +126,8 @@ def patched(suffix: str, data: bytes, pairs: list[tuple[str, str]]) -> bytes:
                 root = ElementTree.fromstring(content)
                 owners = (paragraph,) if paragraph else (f"{SHEET}si", f"{SHEET}is")
                 if any([_runs(root, o, run, pairs) for o in owners]):
-                    content = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
+                    # As one string; to write bytes it would encode each tag by itself.
+                    content = ("<?xml version='1.0' encoding='utf-8'?>\n" + ElementTree.tostring(root, encoding="unicode")).encode("utf-8", "xmlcharrefreplace")
             copy.writestr(member, content)
     return out.getvalue()
 

@@ -219,15 +219,17 @@ def suffix_of(path: str | Column) -> Column:
 
 
 def texts(files: DataFrame, providers: dict[str, Provider] | None = None) -> DataFrame:
-    """(path, text, error, image_based, warning_code) of files (path, content)."""
+    """(path, text, error, image_based, warning_code) of files (path, content); those that have an error already (error) keep it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [extract(s, d or b"", providers) for s, d in zip(batch.column("suffix").to_pylist(), batch.column("content").to_pylist(), strict=True)]
+            each = zip(*(batch.column(c).to_pylist() for c in ("suffix", "content", "before")), strict=True)
+            rows = [extract(s, d or b"", providers) if before is None else (None, before, 0) for s, d, before in each]
             text, error, images = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(text, pa.string()), pa.array(error, pa.string()), pa.array(images, pa.int32())], ["path", "text", "error", "images"])
 
-    told = files.select("path", suffix_of("path").alias("suffix"), "content").mapInArrow(run, "path string, text string, error string, images int")
+    before = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
+    told = files.select("path", suffix_of("path").alias("suffix"), "content", before.alias("before")).mapInArrow(run, "path string, text string, error string, images int")
     based = told.withColumn("image_based", image_based(F.col("images"), F.col("text")))
     return based.select("path", "text", "error", "image_based", text_warning(F.col("text"), F.col("image_based")).alias("warning_code"))
 
