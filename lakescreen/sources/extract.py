@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import folders
+from . import folders, zips
 
 # Suffixes, limits, excluded folders, headers.
 SUFFIXES = (".pdf", ".docx", ".pptx", ".xlsx", ".md", ".txt", ".html", ".csv", ".eml", ".rtf", ".odt", ".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp")
@@ -71,25 +71,67 @@ def from_eml(text: str) -> str:
     return "\n".join(out)
 
 
-def _xml(archive: zipfile.ZipFile, name: str) -> ElementTree.Element:
-    return ElementTree.fromstring(archive.read(name))
+class Archive:
+    """The parts of an office file, by name."""
 
+    def __init__(self, data: bytes):
+        self.data, self.zip = data, zipfile.ZipFile(io.BytesIO(data))
+        self.names = self.zip.NameToInfo
 
-def _related(archive: zipfile.ZipFile, part: str) -> dict[str, tuple[str, str]]:
+    def read(self, name: str) -> bytes:
+        return zips.read(self.zip, self.data, self.zip.getinfo(name))
+
+
+#: Bytes of a part, and parts, that a task remembers what it has read of.
+MOST_KNOWN, KNOWN = 16 << 10, 512
+
+
+class known:  # noqa: N801
+    """``read`` of a part, which is not read again where another file holds the same part: layouts, relations, notes."""
+
+    def __init__(self, read: Callable[[bytes], object]):
+        self.read, self.kept = read, {}
+
+    def __reduce__(self):
+        return known, (self.read,)  # tasks begin without what others remember
+
+    def __call__(self, part: bytes):
+        if len(part) > MOST_KNOWN:
+            return self.read(part)
+        if part not in self.kept:
+            if len(self.kept) >= KNOWN:
+                self.kept.clear()
+            self.kept[part] = self.read(part)
+        return self.kept[part]
+
+
+@known
+def _relations(part: bytes) -> list[tuple[str | None, str, str]]:
+    """(id, kind, target) of what a part refers to."""
+    return [(e.get("Id"), e.get("Type", "").rpartition("/")[2], e.get("Target", "")) for e in ElementTree.fromstring(part)]
+
+
+def _related(archive: Archive, part: str) -> dict[str, tuple[str, str]]:
     """(kind, name) of the parts that a part refers to, by id."""
     folder, _, name = part.rpartition("/")
     rels = f"{folder}/_rels/{name}.rels"
-    if rels not in archive.namelist():
+    if rels not in archive.names:
         return {}
     full = lambda to: to.lstrip("/") if to.startswith("/") else posixpath.normpath(f"{folder}/{to}")
-    return {e.get("Id"): (e.get("Type", "").rpartition("/")[2], full(e.get("Target", ""))) for e in _xml(archive, rels)}
+    return {key: (kind, full(to)) for key, kind, to in _relations(archive.read(rels))}
+
 
+@known
+def _listed(part: bytes) -> list[tuple[str | None, str | None]]:
+    """(title, id) of the slides or sheets that a part lists."""
+    return [(e.get("name"), e.get(f"{R}id")) for e in ElementTree.fromstring(part).iter() if e.tag in (f"{P}sldId", f"{S}sheet")]
 
-def _in_order(archive: zipfile.ZipFile, part: str, tag: str) -> list[tuple[str | None, str]]:
-    """(title, name) of the parts that a part lists, in its order."""
+
+def _in_order(archive: Archive, part: str) -> list[tuple[str | None, str]]:
+    """(title, name) of the slides or sheets that a part lists, in its order."""
     parts = _related(archive, part)
-    listed = [(e.get("name"), parts.get(e.get(f"{R}id"), ("", ""))[1]) for e in _xml(archive, part).iter(tag)]
-    return [(title, name) for title, name in listed if name in archive.namelist()]
+    listed = [(title, parts.get(key, ("", ""))[1]) for title, key in _listed(archive.read(part))]
+    return [(title, name) for title, name in listed if name in archive.names]
 
 
 #: Marks in runs of text that stand for characters.
@@ -102,10 +144,15 @@ def _paragraphs(e: ElementTree.Element, space: str) -> list[str]:
     return ["".join(map(said, p.iter())) for p in e.iter(f"{space}p")]
 
 
-def from_docx(archive: zipfile.ZipFile) -> str:
+def from_docx(archive: Archive) -> str:
+    return _docx(archive.read("word/document.xml"))
+
+
+@known
+def _docx(part: bytes) -> str:
     """Paragraphs and tables in the order of the body."""
     out = []
-    for e in _xml(archive, "word/document.xml").find(f"{W}body"):
+    for e in ElementTree.fromstring(part).find(f"{W}body"):
         if e.tag == f"{W}p":
             out += _paragraphs(e, W)[:1]
         elif e.tag == f"{W}tbl":
@@ -130,43 +177,63 @@ def _docx_rows(table: ElementTree.Element) -> list[list[str]]:
     return rows
 
 
-def from_pptx(archive: zipfile.ZipFile) -> str:
+def from_pptx(archive: Archive) -> str:
     """Slides in their order: texts of shapes, tables, and then the notes."""
     out = []
-    for _, name in _in_order(archive, "ppt/presentation.xml", f"{P}sldId"):
-        for shape in _xml(archive, name).find(f"{P}cSld/{P}spTree"):
-            if (said := shape.find(f"{P}txBody")) is not None:
-                out.append("\n".join(_paragraphs(said, A)))
-            for table in shape.iter(f"{A}tbl") if shape.tag == f"{P}graphicFrame" else ():
-                out.append(table_lines([["\n".join(_paragraphs(c, A)).strip() for c in row.findall(f"{A}tc")] for row in table.findall(f"{A}tr")]))
+    for _, name in _in_order(archive, "ppt/presentation.xml"):
+        out += _slide(archive.read(name))
         for kind, notes in _related(archive, name).values():
             if kind == "notesSlide":
-                bodies = (sp for sp in _xml(archive, notes).iter(f"{P}sp") if any(ph.get("type") == "body" for ph in sp.iter(f"{P}ph")))
-                out += ["\n".join(_paragraphs(sp, A)) for sp in bodies]
+                out += _notes(archive.read(notes))
     return "\n".join(x for x in out if x)
 
 
-def from_xlsx(archive: zipfile.ZipFile) -> str:
+@known
+def _slide(part: bytes) -> list[str]:
+    out = []
+    for shape in ElementTree.fromstring(part).find(f"{P}cSld/{P}spTree"):
+        if (said := shape.find(f"{P}txBody")) is not None:
+            out.append("\n".join(_paragraphs(said, A)))
+        for table in shape.iter(f"{A}tbl") if shape.tag == f"{P}graphicFrame" else ():
+            out.append(table_lines([["\n".join(_paragraphs(c, A)).strip() for c in row.findall(f"{A}tc")] for row in table.findall(f"{A}tr")]))
+    return out
+
+
+@known
+def _notes(part: bytes) -> list[str]:
+    bodies = (sp for sp in ElementTree.fromstring(part).iter(f"{P}sp") if any(ph.get("type") == "body" for ph in sp.iter(f"{P}ph")))
+    return ["\n".join(_paragraphs(sp, A)) for sp in bodies]
+
+
+def from_xlsx(archive: Archive) -> str:
     """Sheets in the workbook's order, under their titles."""
-    names = archive.namelist()
-    shared = ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in _xml(archive, "xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+    shared = _shared(archive.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in archive.names else []
     out = []
-    for title, name in _in_order(archive, "xl/workbook.xml", f"{S}sheet"):
+    for title, name in _in_order(archive, "xl/workbook.xml"):
         out.append(f"[{title}]")
-        for row in _xml(archive, name).iter(f"{S}row"):
-            cells = []
-            for c in row.iter(f"{S}c"):
-                value = "".join(t.text or "" for t in c.iter(f"{S}t")) if c.get("t") == "inlineStr" else (c.findtext(f"{S}v") or "")
-                cells.append(shared[int(value)] if c.get("t") == "s" and value else value)
+        for row in _sheet(archive.read(name)):
+            cells = [shared[int(value)] if points and value else value for points, value in row]
             if kept := [c for c in cells if c.strip()]:
                 out.append(" | ".join(kept))
     return "\n".join(out)
 
 
-def from_odt(archive: zipfile.ZipFile) -> str:
-    if "content.xml" not in archive.namelist():
+@known
+def _shared(part: bytes) -> list[str]:
+    return ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(part).iter(f"{S}si")]
+
+
+@known
+def _sheet(part: bytes) -> list[list[tuple[bool, str]]]:
+    """Rows of cells: whether a cell points at a shared text, and its value."""
+    value = lambda c: "".join(t.text or "" for t in c.iter(f"{S}t")) if c.get("t") == "inlineStr" else (c.findtext(f"{S}v") or "")
+    return [[(c.get("t") == "s", value(c)) for c in row.iter(f"{S}c")] for row in ElementTree.fromstring(part).iter(f"{S}row")]
+
+
+def from_odt(archive: Archive) -> str:
+    if "content.xml" not in archive.names:
         return ""
-    said = (x.strip() for e in _xml(archive, "content.xml").iter() for x in (e.text or "", e.tail or ""))
+    said = (x.strip() for e in ElementTree.fromstring(archive.read("content.xml")).iter() for x in (e.text or "", e.tail or ""))
     return "\n".join(x for x in said if x)
 
 
@@ -190,8 +257,7 @@ def extract(suffix: str, data: bytes, providers: dict[str, Provider] | None = No
             text, images = told if isinstance(told, tuple) else (told, int(suffix in IMAGES))
             return (text or "").strip(), None, images
         if suffix in PACKED:
-            with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                return PACKED[suffix](archive).strip(), None, 0
+            return PACKED[suffix](Archive(data)).strip(), None, 0
         if suffix == ".pdf":
             return None, "no PDF provider", 0
         if suffix in IMAGES:
