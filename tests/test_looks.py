@@ -107,3 +107,27 @@ def test_swedish_phones_of_every_form(spark):
     docs = spark.createDataFrame([(k, f"Ring {t} nu") for k, t in enumerate(PHONES_SV)], "doc_id long, text string")
     got = {(r.doc_id, r.text) for r in engine.scan(docs, engine.Options(language="sv", only=("phone_sv",)))[0].collect()}
     assert got == set(enumerate(PHONES_SV))
+
+
+def test_hits_are_judged_once_and_found_where_they_are(spark):
+    """A filter over exploded hits judged each twice; places of one match come without a fold."""
+    from pyspark.sql import functions as F
+
+    texts = [
+        (1, "Fnr 01019000083, konto 1000.00.00006 og 1000 00 00006"), (2, "x01019000083 01019000083x 1000.00.00006y 21057212345"), (3, "æ 😀 01019000083 ø"),
+        (4, "tel +1 (234) 567-8901, x234 567 8902, (234) 567-8903"), (5, "a" * 70 + "@b.no " + "." + "c" * 64 + "@d.no e@f.no"), (6, None), (7, ""),
+    ]
+    only = ("email", "fnr", "konto", "us_phone")
+    docs = spark.createDataFrame(texts, "doc_id long, text string").select("doc_id", "text", F.lit("en").alias("language"), F.lit(False).alias("technical"))
+    found = detect.scan(docs, None, only)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    judged = "CASE WHEN (lambda"
+    assert "Filter" not in plan.split("Generate")[0] and judged not in plan.split("Generate")[0] and judged in plan
+    said = dict(texts)
+    rows = sorted((r.doc_id, r.detector, r.start, r.end) for r in found.where("reason is null").collect())
+    assert all(re.sub(r"[^\w@]", "", said[d][a:b]) for d, _, a, b in rows)
+    plain = {"fnr": r"\b([0-9]{11})\b|\b([0-9]{6})[ ]([0-9]{5})\b", "email": r"(?<![.\w])[\w.+\-]{1,64}@[\w\-]{1,63}(?:\.[\w\-]{1,63})+(?![@\w])",
+             "us_phone": r"(?<![\w])(?:(?:\+?1|\+01|001)[\s.\-]*)?(?:\(([2-9]\d{2})\)|([2-9]\d{2}))[\s.\-]*([2-9]\d{2})[\s.\-]*(\d{4})(?![\w])"}
+    want = sorted((d, n, m.start(), m.end()) for d, t in texts for n, p in plain.items() for m in re.finditer(p, t or ""))
+    assert [r for r in rows if r[1] != "konto"] == want
+    assert [(d, said[d][a:b]) for d, n, a, b in rows if n == "konto"] == [(1, "1000.00.00006"), (1, "1000 00 00006")]
